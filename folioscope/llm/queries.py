@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folioscope.llm import mixing, sharding
+from folioscope.llm import mixing, quality, sharding
 
 
 def queries():
     return {
+        "op1_quality_forest": quality.op1_quality_forest,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_hilbert_shards": sharding.op3_hilbert_shards,
     }
