@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import mixing, quality, sharding
+from folioscope.llm import mixing, quality, sharding, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_quality_forest": quality.op1_quality_forest,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_hilbert_shards": sharding.op3_hilbert_shards,
+        "op7_toxicity_mil": toxicity.op7_toxicity_mil,
     }
 
 
