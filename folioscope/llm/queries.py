@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import mixing, quality, sharding, simhash, toxicity
+from folioscope.llm import decontaminate, mixing, quality, sharding, simhash, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_hilbert_shards": sharding.op3_hilbert_shards,
         "op7_toxicity_mil": toxicity.op7_toxicity_mil,
+        "op8_string_tiling": decontaminate.op8_string_tiling,
         "op9_simhash_vptree": simhash.op9_simhash_vptree,
     }
 
