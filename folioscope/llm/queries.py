@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, mixing, quality, sharding, simhash, toxicity
+from folioscope.llm import decontaminate, mixing, quality, sharding, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_quality_forest": quality.op1_quality_forest,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_hilbert_shards": sharding.op3_hilbert_shards,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op7_toxicity_mil": toxicity.op7_toxicity_mil,
         "op8_string_tiling": decontaminate.op8_string_tiling,
         "op9_simhash_vptree": simhash.op9_simhash_vptree,
