@@ -109,7 +109,7 @@ class Batch:
 
     def cut(self) -> None:
         """seg_start, seg_last (first and last window), key and doc row of every segment."""
-        n, w = len(self.tokens), self.rules.width
+        w = self.rules.width
         self.hashes = Hashes(self.rules.values(self.tokens))
         long = self.ends - self.starts >= w
         if not long.any():
@@ -117,7 +117,8 @@ class Batch:
             self.key = np.zeros(0, np.uint64)
             self.valid = np.zeros(0, bool)
             return
-        least, have = mix(self.hashes.all(self.rules.piece)), 1
+        pieces = mix(self.hashes.all(self.rules.piece))
+        least, have = pieces, 1
         span = w - self.rules.piece + 1
         while have < span:  # least of `have` pieces -> of up to twice as many
             step = min(have, span - have)
@@ -138,7 +139,19 @@ class Batch:
         self.seg_start, self.seg_last = np.flatnonzero(first), np.flatnonzero(last)
         self.key, self.valid = least[self.seg_start], valid
         self.seg_doc = np.searchsorted(self.ends, self.seg_start, "right")
-        assert n >= m
+        self.pieces = pieces
+
+    def own_repeats(self) -> np.ndarray:
+        """Whether a segment has its key's piece twice or more: only then can two of its own windows be equal."""
+        if not len(self.key):
+            return np.zeros(0, bool)
+        n = len(self.pieces) + 1
+        known, which = np.unique(self.pieces, return_inverse=True)
+        places = np.sort(which.astype(np.int64) * n + np.arange(n - 1))
+        block = np.searchsorted(known, self.key) * n
+        second = np.searchsorted(places, block + self.seg_start) + 1
+        end = block + self.seg_last + self.rules.width - self.rules.piece
+        return (second < len(places)) & (places[np.minimum(second, len(places) - 1)] <= end)
 
     def seg_hash(self, pick=slice(None)) -> np.ndarray:
         start, end = self.seg_start[pick], self.seg_last[pick] + self.rules.width
@@ -184,7 +197,8 @@ def anchors(rules: Rules, buckets: int, table: pa.Table) -> pa.Table:
     if rules.ordered and len(cuts):
         multi = np.minimum.reduceat(doc, cuts) != np.maximum.reduceat(doc, cuts)
     else:
-        multi = count > 1
+        again = b.own_repeats()[order]
+        multi = (count > 1) | (np.logical_or.reduceat(again, cuts) if len(cuts) else False)
     keys, counts = key[cuts], np.where(multi, -count, count).astype(np.int32)
     order, names, borders = _split((keys % np.uint64(buckets)).astype(np.int64))
     rows = {int(k): [keys[order[s:e]], counts[order[s:e]], None] for k, s, e in zip(names, borders, borders[1:], strict=False)}
