@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -29,10 +30,11 @@ from pyspark.sql import types as T
 
 from folioscope.llm.common import load
 
-SAMPLE = 12000
+SAMPLE = 8000
 MIN_DOCS = 6
+MIN_LIFT = 4.0
 EPOCHS = 120
-L1 = 3e-4
+L1 = 1e-4
 RATE = 0.25
 #: The logit of a sentence without evidence is fixed: thousands of them leave a document under 0.02.
 BIAS = -12.0
@@ -90,18 +92,26 @@ class NoisyOr:
     def word_weight(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in word_features(word))
 
-    def fit(self, bags: list[list[list[str]]], labels: np.ndarray, epochs: int = EPOCHS, l1: float = L1, rate: float = RATE) -> NoisyOr:
-        n_bags: dict[str, int] = {}
-        for bag in bags:
-            for f in {f for w in {w for s in bag for w in s} for f in word_features(w)}:
-                n_bags[f] = n_bags.get(f, 0) + 1
-        ids = {f: i for i, f in enumerate(sorted(f for f, n in n_bags.items() if n >= MIN_DOCS))}
-        col, sent, bag_of = [], [], []
-        for b, bag in enumerate(bags):
-            for s in bag:
+    def fit(self, texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, l1: float = L1, rate: float = RATE) -> NoisyOr:
+        """Weights can only be positive, so features are taken from toxic documents: those in MIN_DOCS of them
+        or more, and relatively more often than in clean ones. Texts are cut one at a time."""
+        counts: dict[str, list[int]] = {}
+        for toxic in (True, False):
+            for text in (t for t, y in zip(texts, labels, strict=True) if (y > 0) == toxic):
+                for f in {f for w in set(flat(text).split()) for f in word_features(w)}:
+                    if toxic:
+                        counts.setdefault(f, [0, 0])[0] += 1
+                    elif f in counts:
+                        counts[f][1] += 1
+        odds = (labels > 0).sum() / max((labels <= 0).sum(), 1)
+        ids = {f: i for i, f in enumerate(sorted(f for f, (t, c) in counts.items() if t >= MIN_DOCS and t > MIN_LIFT * odds * c))}
+        del counts
+        col, sent, bag_of = array("i"), array("i"), array("i")
+        for b, text in enumerate(texts):
+            for s in sentences(text):
                 found = [ids[f] for w in set(s) for f in word_features(w) if f in ids]
-                col += found
-                sent += [len(bag_of)] * len(found)
+                col.extend(found)
+                sent.extend([len(bag_of)] * len(found))
                 bag_of.append(b)
         col, sent, bag_of = (np.array(x, np.int64) for x in (col, sent, bag_of))
         y = labels > 0
@@ -111,7 +121,7 @@ class NoisyOr:
         for t in range(1, epochs + 1):
             z = bias + np.bincount(sent, x[col], len(bag_of))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            none = np.bincount(bag_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags))
+            none = np.bincount(bag_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(texts))
             some = np.maximum(-np.expm1(none), 1e-9)
             # d loss / d logit of a sentence: p in a clean bag, -p * (1 - some) / some in a toxic one
             dz = share[bag_of] * p * np.where(y[bag_of], -(1 - some[bag_of]) / some[bag_of], 1.0)
@@ -165,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NoisyOr:
     y = np.array([r[2] > 0 for r in rows], bool)
     if not y.any() or y.all():
         return NoisyOr()
-    return NoisyOr().fit([sentences(r[1]) for r in rows], y)
+    return NoisyOr().fit([r[1] for r in rows], y)
 
 
 SCORED = T.StructType(
