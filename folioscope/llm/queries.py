@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import automaton_dedup, decontaminate, mixing, quality, sharding, simhash, suffix_dedup, toxicity
+from folioscope.llm import automaton_dedup, decontaminate, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_hilbert_shards": sharding.op3_hilbert_shards,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_line_runs": line_dedup.op5_line_runs,
         "op6_automaton_dedup": automaton_dedup.op6_automaton_dedup,
         "op7_toxicity_mil": toxicity.op7_toxicity_mil,
         "op8_string_tiling": decontaminate.op8_string_tiling,
@@ -19,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_mix_sources": mixing.OP2_SQL}
+    return {"op2_mix_sources": mixing.OP2_SQL, "op5_line_runs": line_dedup.OP5_SQL}
