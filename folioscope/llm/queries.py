@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from folioscope.llm import automaton_dedup, decontaminate, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, toxicity
+from folioscope.llm import automaton_dedup, decontaminate, licenses, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, toxicity
 
 
 def queries():
     return {
         "op1_quality_forest": quality.op1_quality_forest,
+        "op10_license_scan": licenses.op10_license_scan,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_hilbert_shards": sharding.op3_hilbert_shards,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
