@@ -70,9 +70,7 @@ def mark_lines(docs: DataFrame, least: int = MIN_LINES) -> DataFrame:
 
 
 def _kept():
-    lines = F.split("text", "\n", -1)
-    index = F.sequence(F.lit(0), F.size(lines) - 1)
-    left = F.transform(F.array_except(index, F.col("_drop")), lambda i: F.element_at(lines, i + 1))
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_drop", i))
     return F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
 
 
