@@ -1 +1 @@
-
+"""See the modules."""

@@ -14,7 +14,11 @@ def _t(name):
 
 
 orders, customer, lineitem, nation, region, part, supplier, events, documents, labels = map(_t, ("orders", "customer", "lineitem", "nation", "region", "part", "supplier", "events", "documents", "labels"))
-_n = F.count(F.lit(1)).alias("n")
+
+
+def _n():
+    return F.count(F.lit(1)).alias("n")
+
 
 # --- joins
 
@@ -51,7 +55,7 @@ def join_two_sources_coalesced(spark, sf_dir):
 @query("""WITH m AS (SELECT o_custkey, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY ALL)
 SELECT a.o_custkey, a.m, CASE WHEN a.n > 0 AND b.n > 0 THEN 'both_solved' END AS change FROM m a JOIN m b ON a.o_custkey = b.o_custkey AND b.m = a.m - 1""")
 def join_run_with_previous(spark, sf_dir):
-    m = orders(spark, sf_dir).groupBy("o_custkey", F.month("o_orderdate").alias("m")).agg(_n)
+    m = orders(spark, sf_dir).groupBy("o_custkey", F.month("o_orderdate").alias("m")).agg(_n())
     before = m.select("o_custkey", (F.col("m") + 1).alias("m"), F.col("n").alias("k"))
     return m.join(before, ["o_custkey", "m"]).select("o_custkey", "m", F.when((F.col("n") > 0) & (F.col("k") > 0), "both_solved").alias("change"))
 
@@ -81,7 +85,7 @@ def outer_merge_sides(spark, sf_dir):
 
     m = side("F", "na").join(side("P", "nb"), "k", "full_outer")
     s = F.when(F.col("na").isNull(), "second").when(F.col("nb").isNull(), "first").otherwise("both")
-    return m.groupBy(s.alias("side")).agg(_n, F.sum(F.coalesce("na", F.lit(0))).alias("na"), F.sum(F.coalesce("nb", F.lit(0))).alias("nb"))
+    return m.groupBy(s.alias("side")).agg(_n(), F.sum(F.coalesce("na", F.lit(0))).alias("na"), F.sum(F.coalesce("nb", F.lit(0))).alias("nb"))
 
 
 @query("""SELECT n_name, bool_or(r.r_name LIKE 'A%' OR n.n_name LIKE '%1') AS hit FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey GROUP BY n_name""")
@@ -101,7 +105,7 @@ def registry_join(spark, sf_dir):
 @query("""WITH s AS (SELECT o_orderstatus AS run, o_orderpriority AS field, count(*) AS n FROM orders GROUP BY ALL)
 SELECT s.run, s.field, s.n, s.n - b.n AS difference FROM s JOIN s b ON b.run = 'F' AND b.field = s.field""")
 def difference_to_baseline(spark, sf_dir):
-    s = orders(spark, sf_dir).groupBy(F.col("o_orderstatus").alias("run"), F.col("o_orderpriority").alias("field")).agg(_n)
+    s = orders(spark, sf_dir).groupBy(F.col("o_orderstatus").alias("run"), F.col("o_orderpriority").alias("field")).agg(_n())
     b = s.filter("run = 'F'").select("field", F.col("n").alias("base"))
     return s.join(b, "field").select("run", "field", "n", (F.col("n") - F.col("base")).alias("difference"))
 
@@ -193,7 +197,7 @@ def seeded_sample(spark, sf_dir):
 @query("WITH c AS (SELECT *, count(*) OVER (PARTITION BY p_brand) AS k FROM part) SELECT p_partkey, p_brand FROM c WHERE k <= 80")
 def small_groups_whole(spark, sf_dir):
     p = part(spark, sf_dir).select("p_partkey", "p_brand")
-    small = p.groupBy("p_brand").agg(_n).filter("n <= 80").drop("n")
+    small = p.groupBy("p_brand").agg(_n()).filter("n <= 80").drop("n")
     return p.join(small, "p_brand", "left_semi").select("p_partkey", "p_brand")
 
 
@@ -214,7 +218,7 @@ def orphan_rows(spark, sf_dir):
 
 @query("SELECT o_orderpriority AS key, count(*) AS n FROM orders GROUP BY 1")
 def count_by_key(spark, sf_dir):
-    return orders(spark, sf_dir).groupBy(F.col("o_orderpriority").alias("key")).agg(_n).orderBy(F.desc("n"), "key")
+    return orders(spark, sf_dir).groupBy(F.col("o_orderpriority").alias("key")).agg(_n()).orderBy(F.desc("n"), "key")
 
 
 @query("SELECT count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem")
@@ -224,12 +228,12 @@ def distinct_counts(spark, sf_dir):
 
 @query("SELECT c_mktsegment AS key, count(*) AS n, round(avg(c_acctbal), 4) AS mean, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer GROUP BY 1")
 def group_summary(spark, sf_dir):
-    return customer(spark, sf_dir).groupBy(F.col("c_mktsegment").alias("key")).agg(_n, F.round(F.avg("c_acctbal"), 4).alias("mean"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
+    return customer(spark, sf_dir).groupBy(F.col("c_mktsegment").alias("key")).agg(_n(), F.round(F.avg("c_acctbal"), 4).alias("mean"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
 
 
 @query("SELECT p_type AS key, count(*) AS n, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1")
 def rows_and_clusters(spark, sf_dir):
-    return part(spark, sf_dir).groupBy(F.col("p_type").alias("key")).agg(_n, F.count_distinct("p_brand").alias("brands"))
+    return part(spark, sf_dir).groupBy(F.col("p_type").alias("key")).agg(_n(), F.count_distinct("p_brand").alias("brands"))
 
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.02), 6) AS p2, round(quantile_cont(l_extendedprice, 0.05), 6) AS p5, round(quantile_cont(l_extendedprice, 0.10), 6) AS p10, round(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round(median(l_extendedprice), 6) AS p50 FROM lineitem GROUP BY 1")
@@ -246,7 +250,7 @@ def null_skipping_average(spark, sf_dir):
 
 @query("SELECT CAST(least(floor(l_discount * 100), 9) AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY 1")
 def hist_bins(spark, sf_dir):
-    return lineitem(spark, sf_dir).groupBy(F.least(F.floor(F.col("l_discount") * 100), F.lit(9)).cast("int").alias("bin")).agg(_n)
+    return lineitem(spark, sf_dir).groupBy(F.least(F.floor(F.col("l_discount") * 100), F.lit(9)).cast("int").alias("bin")).agg(_n())
 
 
 @query("SELECT count(*) AS pages, sum(CASE WHEN contains(html, '<nav') THEN 1 ELSE 0 END) AS nav, sum(CASE WHEN contains(html, '<h1') THEN 1 ELSE 0 END) AS h1, sum(CASE WHEN contains(html, '<table') THEN 1 ELSE 0 END) AS tables FROM pages")
@@ -259,7 +263,7 @@ def tag_presence(spark, sf_dir):
 def running_headers(spark, sf_dir):
     """Lines that a document repeats three times or more."""
     lines = documents(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
-    return lines.filter(F.length("line") > 8).groupBy("doc_id", "line").agg(_n).filter("n >= 3").withColumn("line", F.md5("line"))
+    return lines.filter(F.length("line") > 8).groupBy("doc_id", "line").agg(_n()).filter("n >= 3").withColumn("line", F.md5("line"))
 
 
 @query("SELECT round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sd, median(l_quantity) AS mid FROM lineitem")
@@ -270,13 +274,13 @@ def column_moments(spark, sf_dir):
 @query("SELECT source, l.quality = 1 AS gate, count(*) AS n, count(*) FILTER (WHERE n_chars > 500) AS produced, count(*) FILTER (WHERE n_chars > 500 AND toxic = 0) AS correct FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL")
 def subset_counts(spark, sf_dir):
     x = documents(spark, sf_dir).select("doc_id", "source", "n_chars").join(labels(spark, sf_dir), "doc_id")
-    return x.groupBy("source", (F.col("quality") == 1).alias("gate")).agg(_n, F.count_if(F.col("n_chars") > 500).alias("produced"), F.count_if((F.col("n_chars") > 500) & (F.col("toxic") == 0)).alias("correct"))
+    return x.groupBy("source", (F.col("quality") == 1).alias("gate")).agg(_n(), F.count_if(F.col("n_chars") > 500).alias("produced"), F.count_if((F.col("n_chars") > 500) & (F.col("toxic") == 0)).alias("correct"))
 
 
 @query("""WITH h AS (SELECT conv_id, avg(CASE WHEN length(text) > 300 THEN 1.0 ELSE 0.0 END) AS ratio FROM conversations GROUP BY conv_id) SELECT count(*) AS n, count(*) FILTER (WHERE ratio = 0) AS none, count(*) FILTER (WHERE ratio < 0.5) AS low, count(*) FILTER (WHERE ratio >= 0.8) AS high FROM h""")
 def hit_ratio_bands(spark, sf_dir):
     h = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.avg((F.length("text") > 300).cast("double")).alias("r"))
-    return h.agg(_n, F.count_if(F.col("r") == 0).alias("none"), F.count_if(F.col("r") < 0.5).alias("low"), F.count_if(F.col("r") >= 0.8).alias("high"))
+    return h.agg(_n(), F.count_if(F.col("r") == 0).alias("none"), F.count_if(F.col("r") < 0.5).alias("low"), F.count_if(F.col("r") >= 0.8).alias("high"))
 
 
 @query("SELECT l_shipmode_n AS bucket, sum(q) AS gold, sum(f) AS found, sum(CASE WHEN f > 0 THEN 1 ELSE 0 END) AS matched FROM (SELECT l_linenumber AS l_shipmode_n, CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS f FROM lineitem) GROUP BY 1")
@@ -349,7 +353,7 @@ def lowest_first(spark, sf_dir):
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 10")
 def topk_groups(spark, sf_dir):
-    return documents(spark, sf_dir).groupBy("source").agg(_n).orderBy(F.desc("n"), "source").limit(10)
+    return documents(spark, sf_dir).groupBy("source").agg(_n()).orderBy(F.desc("n"), "source").limit(10)
 
 
 @query("SELECT l_suppkey, max(l_extendedprice) AS price, arg_max(l_partkey, l_extendedprice * 1000000 - l_partkey) AS part FROM lineitem GROUP BY 1")
