@@ -29,7 +29,7 @@ def _star(edges: DataFrame, nodes: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for the nodes of edges (a, b): component is the least node that can be reached.
+    """(node, component): component is the least node that can be reached; that node itself has no row.
 
     The edges may come in any direction, repeated, or as loops. Rounds go on until the edges are stars.
     """

@@ -64,20 +64,20 @@ def later_copies(docs: DataFrame, least: int = MIN_LINES) -> DataFrame:
 
 
 def mark_lines(docs: DataFrame, least: int = MIN_LINES) -> DataFrame:
-    """docs with _drop, the numbers of the lines to delete (null where there are none)."""
-    drop = later_copies(docs.select("doc_id", "text"), least).groupBy("did").agg(F.collect_list("pos").alias("_drop"))
-    return docs.withColumn("_did", _name()).join(drop.withColumnRenamed("did", "_did"), "_did", "left").drop("_did")
+    """docs with _fs_drop, the numbers of the lines to delete (null where there are none)."""
+    drop = later_copies(docs.select("doc_id", "text"), least).groupBy("did").agg(F.collect_list("pos").alias("_fs_drop"))
+    return docs.withColumn("_fs_did", _name()).join(drop.withColumnRenamed("did", "_fs_did"), "_fs_did", "left").drop("_fs_did")
 
 
 def _kept():
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_drop", i))
-    return F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_fs_drop", i))
+    return F.when(F.col("_fs_drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
 
 
 def drop_repeated_lines(docs: DataFrame, least: int = MIN_LINES) -> DataFrame:
     """docs with later copies of repeated line runs deleted from text."""
-    marked = mark_lines(docs, least).withColumn("_text", _kept())
-    return marked.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    marked = mark_lines(docs, least).withColumn("_fs_text", _kept())
+    return marked.select(*[F.col("_fs_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_line_runs(spark, sf_dir):
@@ -87,7 +87,7 @@ def op5_line_runs(spark, sf_dir):
     return marked.select(
         "doc_id",
         n.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("_fs_drop"), F.lit(0)).cast("long").alias("n_removed"),
         F.sha2(F.coalesce(_kept(), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 

@@ -86,15 +86,15 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     Each row gets a draw of its own, also rows that share a doc_id: draws are listed by
     (doc_id, source, size) and rows take them by their number within it. The texts are shuffled once.
     """
-    key = F.struct(F.col("doc_id"), F.col("source"), F.col("size")).alias("_k")
+    key = F.struct(F.col("doc_id"), F.col("source"), F.col("size")).alias("_fs_k")
     sized = docs.withColumn("size", word_count(F.col("text"))).select("doc_id", "source", "size")
     drawn = sample_counts(materialize(sized), seed).select(key, "copies")
-    drawn = drawn.groupBy("_k").agg(F.sort_array(F.collect_list("copies")).alias("_draws")).filter(F.array_max("_draws") > 0)
+    drawn = drawn.groupBy("_fs_k").agg(F.sort_array(F.collect_list("copies")).alias("_fs_draws")).filter(F.array_max("_fs_draws") > 0)
     own = F.struct(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
-    rows = docs.withColumn("_k", own)
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64("text"))))
-    both = rows.join(drawn, "_k").withColumn("_n", F.element_at("_draws", F.col("_i"))).filter("_n > 0")
-    repeated = both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    rows = docs.withColumn("_fs_k", own)
+    rows = rows.withColumn("_fs_i", F.row_number().over(Window.partitionBy("_fs_k").orderBy(F.xxhash64("text"))))
+    both = rows.join(drawn, "_fs_k").withColumn("_fs_n", F.element_at("_fs_draws", F.col("_fs_i"))).filter("_fs_n > 0")
+    repeated = both.withColumn("_fs_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_fs_n"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

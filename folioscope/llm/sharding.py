@@ -120,15 +120,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows") ->
     """docs with cell, shard and slot added (names that the input already has are replaced)."""
     light = docs.select("doc_id", "source", "lang", _size().alias("size"), _crc().alias("text_crc32"))
     placed = shard_rows(materialize(light), shards, law)
-    key = F.struct("doc_id", "source", "lang", "size", "text_crc32").alias("_k")
-    placed = placed.select(key, F.struct("cell", "shard", "slot").alias("_at"))
-    placed = placed.groupBy("_k").agg(F.sort_array(F.collect_list("_at")).alias("_at"))
+    key = F.struct("doc_id", "source", "lang", "size", "text_crc32").alias("_fs_k")
+    placed = placed.select(key, F.struct("cell", "shard", "slot").alias("_fs_at"))
+    placed = placed.groupBy("_fs_k").agg(F.sort_array(F.collect_list("_fs_at")).alias("_fs_at"))
     own = F.struct(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("lang").alias("lang"), _size().alias("size"), _crc().alias("text_crc32"))
-    rows = docs.withColumn("_k", own)
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64("text"))))
-    both = rows.join(placed, "_k").withColumn("_at", F.element_at("_at", F.col("_i")))
+    rows = docs.withColumn("_fs_k", own)
+    rows = rows.withColumn("_fs_i", F.row_number().over(Window.partitionBy("_fs_k").orderBy(F.xxhash64("text"))))
+    both = rows.join(placed, "_fs_k").withColumn("_fs_at", F.element_at("_fs_at", F.col("_fs_i")))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("cell", "shard", "slot")]
-    return both.select(*kept, F.col("_at.cell").alias("cell"), F.col("_at.shard").alias("shard"), F.col("_at.slot").alias("slot"))
+    return both.select(*kept, F.col("_fs_at.cell").alias("cell"), F.col("_fs_at.shard").alias("shard"), F.col("_fs_at.slot").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
