@@ -109,8 +109,8 @@ def heading_lower(c: Column) -> Column:
 
 
 def heading_norm(c: Column) -> Column:
-    """A heading without its number."""
-    return F.trim(F.regexp_replace(F.trim(heading_lower(c)), r"^[ivxlcdm0-9]{1,4}[.)]?\s*", ""))
+    """A heading without its number; a lowered Roman I may have lost its dot."""
+    return F.trim(F.regexp_replace(F.trim(heading_lower(c)), r"^[iıvxlcdm0-9]{1,4}[.)]?\s*", ""))
 
 
 def mojibake_fix(c: Column) -> Column:

@@ -45,7 +45,7 @@ FUNCTIONS = {
     "norm_token": (n.token_norm, _collapse(_drop(_sql_translate(_low(_table(T, n.SHORT_GLYPHS)), *n.TURKISH_FOLD), r"[^\p{L}\p{N}_\s]", " "))),
     "norm_bibliography": (n.bibliography_norm, f"trim({_drop(_sql_translate(f'lower({T})', *n.BIBLIOGRAPHY_FOLD), '[^0-9a-zà-ÿ]+', ' ')})"),
     "norm_heading_lower": (n.heading_lower, f"lower({_table(T, n.HEADING_LOWER)})"),
-    "norm_heading": (n.heading_norm, f"trim(regexp_replace(trim(lower({_table(T, n.HEADING_LOWER)})), '^[ivxlcdm0-9]{{1,4}}[.)]?\\s*', ''))"),
+    "norm_heading": (n.heading_norm, f"trim(regexp_replace(trim(lower({_table(T, n.HEADING_LOWER)})), '^[iıvxlcdm0-9]{{1,4}}[.)]?\\s*', ''))"),
     "norm_mojibake": (n.mojibake_fix, _table(T, n.MOJIBAKE)),
     "norm_alnum": (n.alnum_ascii, _drop(f"lower({T})", "[^a-z0-9]")),
     "norm_join_hyphens": (n.join_hyphens, _drop(T, r"-(<lb/>|\s)+")),

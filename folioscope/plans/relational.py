@@ -78,7 +78,7 @@ def pending_ids(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
-SELECT CASE WHEN a.k IS NULL THEN 'second' WHEN b.k IS NULL THEN 'first' ELSE 'both' END AS side, count(*) AS n, sum(coalesce(a.n, 0)) AS na, sum(coalesce(b.n, 0)) AS nb FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
+SELECT CASE WHEN a.k IS NULL THEN 'second' WHEN b.k IS NULL THEN 'first' ELSE 'both' END AS side, count(*) AS n, CAST(sum(coalesce(a.n, 0)) AS BIGINT) AS na, CAST(sum(coalesce(b.n, 0)) AS BIGINT) AS nb FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
 def outer_merge_sides(spark, sf_dir):
     def side(status, name):
         return orders(spark, sf_dir).filter(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias(name))
@@ -253,7 +253,7 @@ def hist_bins(spark, sf_dir):
     return lineitem(spark, sf_dir).groupBy(F.least(F.floor(F.col("l_discount") * 100), F.lit(9)).cast("int").alias("bin")).agg(_n())
 
 
-@query("SELECT count(*) AS pages, sum(CASE WHEN contains(html, '<nav') THEN 1 ELSE 0 END) AS nav, sum(CASE WHEN contains(html, '<h1') THEN 1 ELSE 0 END) AS h1, sum(CASE WHEN contains(html, '<table') THEN 1 ELSE 0 END) AS tables FROM pages")
+@query("SELECT count(*) AS pages, CAST(sum(CASE WHEN contains(html, '<nav') THEN 1 ELSE 0 END) AS BIGINT) AS nav, CAST(sum(CASE WHEN contains(html, '<h1') THEN 1 ELSE 0 END) AS BIGINT) AS h1, CAST(sum(CASE WHEN contains(html, '<table') THEN 1 ELSE 0 END) AS BIGINT) AS tables FROM pages")
 def tag_presence(spark, sf_dir):
     h = F.col("html")
     return table(spark, sf_dir, "pages").agg(F.count(F.lit(1)).alias("pages"), *[F.sum(h.contains(t).cast("int")).alias(n) for t, n in (("<nav", "nav"), ("<h1", "h1"), ("<table", "tables"))])
@@ -283,7 +283,7 @@ def hit_ratio_bands(spark, sf_dir):
     return h.agg(_n(), F.count_if(F.col("r") == 0).alias("none"), F.count_if(F.col("r") < 0.5).alias("low"), F.count_if(F.col("r") >= 0.8).alias("high"))
 
 
-@query("SELECT l_shipmode_n AS bucket, sum(q) AS gold, sum(f) AS found, sum(CASE WHEN f > 0 THEN 1 ELSE 0 END) AS matched FROM (SELECT l_linenumber AS l_shipmode_n, CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS f FROM lineitem) GROUP BY 1")
+@query("SELECT l_shipmode_n AS bucket, CAST(sum(q) AS BIGINT) AS gold, CAST(sum(f) AS BIGINT) AS found, CAST(sum(CASE WHEN f > 0 THEN 1 ELSE 0 END) AS BIGINT) AS matched FROM (SELECT l_linenumber AS l_shipmode_n, CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS f FROM lineitem) GROUP BY 1")
 def micro_totals(spark, sf_dir):
     f = (F.col("l_returnflag") == "R").cast("long")
     return lineitem(spark, sf_dir).groupBy(F.col("l_linenumber").alias("bucket")).agg(F.sum(F.col("l_quantity").cast("long")).alias("gold"), F.sum(f).alias("found"), F.sum(f).alias("matched"))

@@ -140,7 +140,7 @@ def _sectioned(spark, sf_dir):
     return d.select("doc_id", F.concat(intro, F.lit("\n2. "), "lang", F.lit("\nReferences\n"), "source").alias("text"))
 
 
-_HEAD = r"trim(regexp_replace(trim(lower(translate(line, '{0}', '{1}'))), '^[ivxlcdm0-9]{{1,4}}[.)]?\s*', ''))".format("".join(n.HEADING_LOWER), "".join(n.HEADING_LOWER.values()))
+_HEAD = r"trim(regexp_replace(trim(lower(translate(line, '{0}', '{1}'))), '^[iıvxlcdm0-9]{{1,4}}[.)]?\s*', ''))".format("".join(n.HEADING_LOWER), "".join(n.HEADING_LOWER.values()))
 _ZONES = f"""body AS (SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 'Title of it' || chr(10) || '1. Introduction' || chr(10) || text ELSE text END) || chr(10) || '2. ' || lang || chr(10) || 'References' || chr(10) || source AS text FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM body),
 z AS (SELECT doc_id, count(*) AS k, min(CASE WHEN length(line) <= 60 AND {_HEAD} IN ({', '.join("'" + w + "'" for w in g.INTRODUCTION)}) THEN pos END) AS intro,
