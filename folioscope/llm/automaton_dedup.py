@@ -176,3 +176,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op6_automaton_dedup(spark, sf_dir):
     """Contract query: doc_id, n_words, n_removed, kept_sha256."""
     return search(load(spark, sf_dir, "documents"), RULES, _digest, RESULT)
+
+
+#: The contract in SQL: a word is gone if one of the 35 windows that cover it occurs twice.
+OP6_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p, words FROM t),
+g AS (SELECT doc_id, word, p, CASE WHEN p + 34 <= len(words) THEN md5(array_to_string(list_slice(words, p, p + 34), ' ')) END AS win FROM w),
+f AS (SELECT doc_id, word, p, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS hit FROM g),
+m AS (SELECT doc_id, word, p, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(CASE WHEN NOT gone THEN word END, ' ' ORDER BY p) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id
+"""

@@ -21,4 +21,9 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_mix_sources": mixing.OP2_SQL, "op5_line_runs": line_dedup.OP5_SQL}
+    return {
+        "op2_mix_sources": mixing.OP2_SQL,
+        "op4_suffix_dedup": suffix_dedup.OP4_SQL,
+        "op5_line_runs": line_dedup.OP5_SQL,
+        "op6_automaton_dedup": automaton_dedup.OP6_SQL,
+    }

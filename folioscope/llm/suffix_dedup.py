@@ -189,3 +189,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op4_suffix_dedup(spark, sf_dir):
     """Contract query: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return search(load(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text")), RULES, _digest, RESULT)
+
+
+#: The contract in SQL, over the hexadecimal digits of the bytes.
+OP4_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS p FROM t),
+g AS (SELECT doc_id, p, substr(h, 2 * p - 1, 2) AS byte, CASE WHEN 2 * p + 98 <= length(h) THEN md5(substr(h, 2 * p - 1, 100)) END AS win FROM b),
+f AS (SELECT doc_id, p, byte, win IS NOT NULL AND min(doc_id) OVER (PARTITION BY win) < doc_id AS hit FROM g),
+m AS (SELECT doc_id, p, byte, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM m),
+a AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans, string_agg(CASE WHEN NOT gone THEN byte END, '' ORDER BY p) AS kept FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
