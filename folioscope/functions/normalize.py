@@ -85,13 +85,13 @@ def list_norm(c: Column, fold: bool = False) -> Column:
 def score_norm(c: Column) -> Column:
     """Folded to a-z, digits and single spaces; all marks are dropped."""
     low = F.lower(F.translate(c, *SCORE_FOLD))
-    return collapse(F.regexp_replace(strip_marks(low), "[^a-z0-9 ]+", " "))
+    return F.trim(F.regexp_replace(strip_marks(low), "[^a-z0-9]+", " "))
 
 
 def token_norm(c: Column) -> Column:
     """For token metrics: repaired, lowered, folded, punctuation as spaces."""
     low = F.translate(turkish_lower(_translate(c, SHORT_GLYPHS)), *TURKISH_FOLD)
-    return collapse(F.regexp_replace(low, r"[^\p{L}\p{N}_\s]", " "))
+    return F.trim(F.regexp_replace(low, NON_WORD + "+", " "))
 
 
 def bibliography_norm(c: Column) -> Column:

@@ -54,14 +54,17 @@ def number(c: Column, default: float | None = 0.0) -> Column:
 
 def word_hits(text: Column, words: tuple[str, ...]) -> Column:
     """How often one of the words occurs, case ignored. Borders are borders of letters, digits and underscore."""
-    return F.regexp_count(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", "  "), F.lit(f"(^| )({_or(words)})( |$)"))
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{_or(words)})(?![\p{{L}}\p{{N}}_])"))
 
 
-def language_vote(text: Column) -> Column:
-    tr, en = word_hits(text, TURKISH_WORDS), word_hits(text, ENGLISH_WORDS)
+def vote(tr: Column, en: Column) -> Column:
     return first_of((tr > en * 1.3, "tr"), (en > tr * 1.3, "en"), otherwise="mix")
 
 
+def language_vote(text: Column) -> Column:
+    return vote(word_hits(text, TURKISH_WORDS), word_hits(text, ENGLISH_WORDS))
+
+
 def letter_share(text: Column) -> Column:
     """Letters of all characters that are no space, in percent."""
     inked = F.length(F.regexp_replace(text, r"\s", ""))

@@ -82,10 +82,16 @@ def words(c: Column, least: int = 1) -> Column:
     return F.filter(F.split(c, " "), lambda w: F.length(w) >= least)
 
 
+def token_set(c: Column) -> Column:
+    """The set of words of two letters or more."""
+    return F.array_distinct(words(n.token_norm(F.coalesce(c, F.lit(""))), 2))
+
+
 def token_recall_precision(pred: Column, gold: Column) -> Column:
-    """struct(recall, precision) x 100 on sets of words of two letters or more; null without gold, 0 without prediction."""
-    p, g = F.array_distinct(words(n.token_norm(F.coalesce(pred, F.lit(""))), 2)), F.array_distinct(words(n.token_norm(F.coalesce(gold, F.lit(""))), 2))
-    return token_sets(p, g)
+    """struct(recall, precision) x 100 on sets of words of two letters or more; null without gold, 0 without prediction.
+
+    Over long texts take token_set into columns first, then token_sets: a set is used several times."""
+    return token_sets(token_set(pred), token_set(gold))
 
 
 def token_sets(p: Column, g: Column) -> Column:

@@ -29,14 +29,15 @@ _MEASURED = f"""measured AS (SELECT doc_id, source, lang AS tongue, n_chars,
 def measured(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
+    d = d.withColumns({"_tr": r.word_hits(F.col("text"), r.TURKISH_WORDS), "_en": r.word_hits(F.col("text"), r.ENGLISH_WORDS), "_letters": r.letter_share(F.col("text"))})
     flags = F.when(i % 5 == 0, "temiz").when(i % 5 == 1, "a").when(i % 5 == 2, "a;b").when(i % 5 == 3, "a;b;a;c").otherwise("")
     return d.select(
         "doc_id", "source", F.col("lang").alias("tongue"), "n_chars",
         (F.col("n_chars") % 2400).cast("double").alias("chars"),
-        (r.letter_share(F.col("text")) - F.when(i % 17 == 0, 75).when(i % 19 == 0, 40).otherwise(0)).alias("letters"),
+        (F.col("_letters") - F.when(i % 17 == 0, 75).when(i % 19 == 0, 40).otherwise(0)).alias("letters"),
         (i % 9).cast("double").alias("replaced"), (i % 20).cast("double").alias("anomalies"), (F.col("n_chars") * 3).cast("double").alias("body"),
         ((i % 101) / 100.0).alias("title"), F.when(i % 7 != 0, (i * 3 % 101) / 100.0).alias("abstract"), F.when(i % 11 != 0, (i * 7 % 11) / 10.0).alias("authors"),
-        (i % 13 != 0).alias("ok"), (1 + i % 45).cast("int").alias("pages"), r.language_vote(F.col("text")).alias("dil"), F.split(flags, ";").alias("flags"),
+        (i % 13 != 0).alias("ok"), (1 + i % 45).cast("int").alias("pages"), r.vote(F.col("_tr"), F.col("_en")).alias("dil"), F.split(flags, ";").alias("flags"),
     )
 
 
@@ -71,8 +72,9 @@ def classed(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST({_hits(r.TURKISH_WORDS)} AS INTEGER) AS tr, CAST({_hits(r.ENGLISH_WORDS)} AS INTEGER) AS en, CASE WHEN {_hits(r.TURKISH_WORDS)} > {_hits(r.ENGLISH_WORDS)} * 1.3 THEN 'tr' WHEN {_hits(r.ENGLISH_WORDS)} > {_hits(r.TURKISH_WORDS)} * 1.3 THEN 'en' ELSE 'mix' END AS dil FROM documents")
 def lang_vote(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", r.word_hits(F.col("text"), r.TURKISH_WORDS).alias("tr"), r.word_hits(F.col("text"), r.ENGLISH_WORDS).alias("en"), r.language_vote(F.col("text")).alias("dil"))
+    t = F.col("text")
+    d = table(spark, sf_dir, "documents").select("doc_id", r.word_hits(t, r.TURKISH_WORDS).alias("tr"), r.word_hits(t, r.ENGLISH_WORDS).alias("en"))
+    return d.select("doc_id", "tr", "en", r.vote(F.col("tr"), F.col("en")).alias("dil"))
 
 
 @query(f"SELECT doc_id, {_LETTERS} * 100.0 / greatest(length(regexp_replace(text, '\\s', '', 'g')), 1) AS letters, CAST(length(text) - length(translate(text, '{r.TURKISH_LETTERS}', '')) AS INTEGER) AS tr_letters, CAST(length(text) - length(translate(text, chr(65533), '')) AS INTEGER) AS replaced FROM documents")

@@ -112,7 +112,9 @@ def _turns(spark, sf_dir):
   CASE WHEN len(g) = 0 THEN NULL WHEN len(p) = 0 THEN 0.0 ELSE round(CAST(len(list_intersect(p, g)) AS DOUBLE) / len(p) * 100, 6) END AS precision FROM sets""")
 def token_overlap(spark, sf_dir):
     """Words of a turn found in the turn before it."""
-    out = _turns(spark, sf_dir).select("conv_id", "turn", s.token_recall_precision(F.col("pred"), F.col("gold")).alias("x"))
+    sets = table(spark, sf_dir, "conversations").select("conv_id", "turn", s.token_set(F.col("text")).alias("g"))
+    before = F.coalesce(F.lag("g").over(Window.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>"))
+    out = sets.withColumn("p", before).select("conv_id", "turn", s.token_sets(F.col("p"), F.col("g")).alias("x"))
     return out.select("conv_id", "turn", F.round("x.recall", 6).alias("recall"), F.round("x.precision", 6).alias("precision"))
 
 

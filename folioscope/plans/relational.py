@@ -238,8 +238,8 @@ def rows_and_clusters(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.02), 6) AS p2, round(quantile_cont(l_extendedprice, 0.05), 6) AS p5, round(quantile_cont(l_extendedprice, 0.10), 6) AS p10, round(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round(median(l_extendedprice), 6) AS p50 FROM lineitem GROUP BY 1")
 def percentiles(spark, sf_dir):
-    cols = [F.round(F.percentile("l_extendedprice", p), 6).alias(n) for p, n in ((0.02, "p2"), (0.05, "p5"), (0.10, "p10"), (0.25, "p25"), (0.5, "p50"))]
-    return lineitem(spark, sf_dir).groupBy("l_returnflag").agg(*cols)
+    q = lineitem(spark, sf_dir).groupBy("l_returnflag").agg(F.percentile("l_extendedprice", [0.02, 0.05, 0.10, 0.25, 0.5]).alias("q"))
+    return q.select("l_returnflag", *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("p2", "p5", "p10", "p25", "p50"))])
 
 
 @query("SELECT count(*) AS total, count(CASE WHEN c_acctbal > 0 THEN c_acctbal END) AS known, round(avg(CASE WHEN c_acctbal > 0 THEN c_acctbal END), 4) AS mean FROM customer")

@@ -155,3 +155,13 @@ def test_latest_and_caps_with_nulls(spark):
     assert {(x.k, x.v) for x in o.latest(df, "k", [F.col("t")]).collect()} == {(1, None), (None, "x"), (2, "b")}
     assert o.cap_per_group(df, "k", 1, [F.col("t")]).count() == 3
     assert o.latest(df.limit(0), "k", [F.col("t")]).count() == 0
+
+
+def test_exact_percentiles(spark):
+    x = np.random.default_rng(9).exponential(size=2001)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    got = d.exact_percentiles(df, "v", [0.0, 0.02, 0.5, 0.977, 1.0], bins=16)
+    assert got == pytest.approx(np.quantile(x, [0.0, 0.02, 0.5, 0.977, 1.0]).tolist())
+    assert d.exact_percentiles(df.filter("v = 7"), "v", [0.5]) != [0.5]
+    same = spark.createDataFrame([(2.0,)] * 5, "v double")
+    assert d.exact_percentiles(same, "v", [0.5]) == [2.0]
