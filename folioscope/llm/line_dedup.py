@@ -8,6 +8,11 @@ common prefix has MIN_LINES lines or more; all but the first start in corpus ord
 union of their MIN_LINES lines is the union of all maximal repeated runs of MIN_LINES lines or more. Later
 copies are deleted.
 
+A run of fewer lines can hold as much text. ``drop_repeated_lines`` therefore also deletes later copies of
+shorter runs of MIN_WORDS words or more, and documents of fewer lines that equal an earlier one as a whole;
+for that it grows the ranks by one line a round, so that no length is left out. The query op5_line_runs
+deletes what OP5_SQL deletes, which knows no rule but MIN_LINES.
+
 A rank's members are never brought together: a pair of ranks is counted with map-side sums and its new rank
 is joined back, which Spark may split where one line is very frequent.
 
@@ -18,12 +23,15 @@ share doc_id and text are one document and lose the same lines; an empty table g
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import load, materialize
+from folioscope.llm.common import load, materialize, word_count
 
 MIN_LINES = 3
+MIN_WORDS = 50
 
 
 def _name():
@@ -31,11 +39,15 @@ def _name():
     return F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).alias("did")
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """did, pos and two 64-bit hashes for each line."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, "\r$", ""))
-    ids = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
-    return docs.select(_name(), F.posexplode(ids).alias("pos", "h")).select("did", "pos", "h.a", "h.b")
+def _lines():
+    return F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, "\r$", ""))
+
+
+def line_table(docs: DataFrame, sized: bool = False) -> DataFrame:
+    """did, pos and two 64-bit hashes for each line; w, its number of words, if ``sized``."""
+    w = (lambda x: [word_count(x).alias("w")]) if sized else lambda x: []
+    ids = F.transform(_lines(), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), *w(x)))
+    return docs.select(_name(), F.posexplode(ids).alias("pos", "h")).select("did", "pos", "h.*")
 
 
 def _rank(starts: DataFrame) -> DataFrame:
@@ -49,23 +61,48 @@ def _rank(starts: DataFrame) -> DataFrame:
     return materialize(starts.join(pairs, ["a", "b"]).drop("a", "b"))
 
 
-def later_copies(docs: DataFrame, least: int = MIN_LINES) -> DataFrame:
-    """(did, pos) of lines in later copies of runs of ``least`` lines or more."""
-    ranked = _rank(line_table(docs))
+def _late(ranked: DataFrame, length: int) -> DataFrame:
+    """(did, pos) of the lines of ranked runs that are not the first of their rank."""
+    late = ranked.filter((F.col("first.did") != F.col("did")) | (F.col("first.pos") != F.col("pos")))
+    return late.select("did", F.explode(F.sequence("pos", F.col("pos") + (length - 1))).alias("pos"))
+
+
+def _later_documents(docs: DataFrame, least: int) -> DataFrame:
+    """(did, pos) of the lines of documents of fewer than ``least`` lines that equal an earlier document."""
+    short = docs.filter("text IS NOT NULL").select(_name(), _lines().alias("l")).filter(F.size("l") < least)
+    short = short.select("did", F.size("l").alias("n"), F.xxhash64("l").alias("a"), F.xxhash64(F.lit(1), "l").alias("b"))
+    first = short.groupBy("n", "a", "b").agg(F.min("did").alias("first"))
+    late = short.join(first, ["n", "a", "b"]).filter("first <> did")
+    return late.select("did", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
+
+
+def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = None) -> DataFrame:
+    """(did, pos) of lines in later copies of runs of ``least`` lines or more.
+
+    With ``words`` also of shorter runs of so many words or more, and of shorter documents that are copies as a whole.
+    """
+    sized = ["w"] if words is not None else []
+    ranked = ones = _rank(line_table(docs, words is not None))
+    found = [_later_documents(docs, least)] if sized else []
     have = 1
     while have < least:
-        step = min(have, least - have)
-        mate = ranked.select("did", (F.col("pos") - step).alias("pos"), F.col("rank").alias("b"))
-        mate = mate.groupBy("did", "pos").agg(F.min("b").alias("b"))  # repeated rows have one mate
-        ranked = _rank(ranked.select("did", "pos", F.col("rank").alias("a")).join(mate, ["did", "pos"]))
+        if sized:  # one line a round, as each length counts; otherwise the length doubles
+            found.append(_late(ranked.filter(F.col("w") >= words), have))
+            step, at, mate = 1, have, ones
+        else:
+            step = at = min(have, least - have)
+            mate = ranked
+        mate = mate.select("did", (F.col("pos") - at).alias("pos"), F.col("rank").alias("b"), *[F.col(c).alias("more") for c in sized])
+        mate = mate.groupBy("did", "pos").agg(F.min("b").alias("b"), *[F.min("more").alias("more") for _ in sized])  # repeated rows have one mate
+        pairs = ranked.select("did", "pos", F.col("rank").alias("a"), *sized).join(mate, ["did", "pos"])
+        ranked = _rank(pairs.withColumn("w", F.col("w") + F.col("more")).drop("more") if sized else pairs)
         have += step
-    late = ranked.filter((F.col("first.did") != F.col("did")) | (F.col("first.pos") != F.col("pos")))
-    return late.select("did", F.explode(F.sequence("pos", F.col("pos") + (least - 1))).alias("pos")).distinct()
+    return reduce(DataFrame.union, found, _late(ranked, least)).distinct()
 
 
-def mark_lines(docs: DataFrame, least: int = MIN_LINES) -> DataFrame:
+def mark_lines(docs: DataFrame, least: int = MIN_LINES, words: int | None = None) -> DataFrame:
     """docs with _fs_drop, the numbers of the lines to delete (null where there are none)."""
-    drop = later_copies(docs.select("doc_id", "text"), least).groupBy("did").agg(F.collect_list("pos").alias("_fs_drop"))
+    drop = later_copies(docs.select("doc_id", "text"), least, words).groupBy("did").agg(F.collect_list("pos").alias("_fs_drop"))
     return docs.withColumn("_fs_did", _name()).join(drop.withColumnRenamed("did", "_fs_did"), "_fs_did", "left").drop("_fs_did")
 
 
@@ -74,9 +111,9 @@ def _kept():
     return F.when(F.col("_fs_drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
 
 
-def drop_repeated_lines(docs: DataFrame, least: int = MIN_LINES) -> DataFrame:
-    """docs with later copies of repeated line runs deleted from text."""
-    marked = mark_lines(docs, least).withColumn("_fs_text", _kept())
+def drop_repeated_lines(docs: DataFrame, least: int = MIN_LINES, words: int | None = MIN_WORDS) -> DataFrame:
+    """docs with later copies of repeated line runs and of short documents deleted from text."""
+    marked = mark_lines(docs, least, words).withColumn("_fs_text", _kept())
     return marked.select(*[F.col("_fs_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -281,6 +281,18 @@ def test_repeated_rows_lose_the_same_lines(spark):
     assert sorted(r.text for r in line_dedup.drop_repeated_lines(docs).collect()) == ["", "", "", text]
 
 
+def test_short_runs_with_many_words_and_whole_documents_go_too(spark, save):
+    long, half, other = (" ".join(prose(n, k).split()) for n, k in ((31, 60), (32, 30), (33, 30)))
+    rows = [(1, f"x1\n{long}\ny1"), (2, f"x2\n{long}\ny2"), (3, f"x3\n{half}\n{other}"), (4, f"{half}\n{other}\ny4"), (5, f"x5\n{half}\ny5"), (6, "one\ntwo"), (7, "one\ntwo\r"), (8, "one"), (9, f"{long}\n{long}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()}
+    assert got == dict(rows) | {2: "x2\ny2", 4: "y4", 7: "", 9: ""}
+    four = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs, 4).collect()}
+    assert four == got
+    query = line_dedup.op5_line_runs(spark, save(documents=docs)).collect()
+    assert {r.n_removed for r in query} == {0}  # OP5_SQL knows runs of MIN_LINES only
+
+
 # --- toxicity
 
 
