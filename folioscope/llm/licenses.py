@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier, an unknown class, and confirmation by templates.
 
-A paragraph is a line of a text. A multinomial logistic regression over sparse word 1- and 2-grams tells the
+A paragraph is a line of a text, or up to RUN_LINES neighbouring lines without a blank one between them, since
+notices are often wrapped; of overlapping ones the one nearest to a template counts. A multinomial logistic regression over sparse word 1- and 2-grams tells the
 licence families and "none" apart. It is trained here: on the templates below with words dropped, replaced
 and wrapped in other text, and on a bounded sample of corpus paragraphs (PARAGRAPHS of SAMPLE_DOCS
 documents, chosen by hash) that share no word with a licence. Held-back examples calibrate the least probability that a family
@@ -31,6 +32,7 @@ SAMPLE_DOCS = 400
 PARAGRAPHS = 6000
 EXAMPLES = 60
 OVERLAP = 0.6
+RUN_LINES = 8
 FALSE_RATE = 0.002
 SEED = 11
 EPOCHS = 60
@@ -87,29 +89,57 @@ class LicenceModel:
         z = np.exp(z - z.max())
         return z / z.sum()
 
+    def overlap(self, hits: set, families: list[str]) -> float:
+        """The largest share of a template's word pairs that is among the pairs, over the families' templates."""
+        return max(len(hits & t) / len(t) for f in families for t in self.pairs[f])
+
     def paragraph(self, words: list[bytes]) -> tuple[str, float, float] | None:
         """(family, probability, overlap) of a confirmed paragraph."""
-        own = set(zip(words, words[1:], strict=False))
-        if self.all_pairs.isdisjoint(own):
+        own = self.all_pairs.intersection(zip(words, words[1:], strict=False))
+        if not own:
             return None
         p = self.probabilities(words)
         k = int(p.argmax())
         family = self.families[k]
         if family == NONE or p[k] < self.least[k]:
             return None
-        overlap = max(len(own & t) / len(t) for t in self.pairs[family])
+        overlap = self.overlap(own, [family])
         return (family, float(p[k]), overlap) if overlap >= OVERLAP else None
 
+    def confirmed(self, lines: list[list[bytes]], hits: list[set]) -> list[tuple[int, int, tuple]]:
+        """(first line, last line, result) of confirmed paragraphs that share no line.
+
+        hits has the template pairs that start in each line, those across to the next line too. A run goes before
+        others that it overlaps if its templates' overlap is larger, or equal and the run shorter, or earlier.
+        """
+        runs = []
+        for i in range(len(lines)):
+            own, joined = set(), []
+            for j in range(i, min(i + RUN_LINES, len(lines)) if hits[i] else i):
+                if not lines[j]:
+                    break
+                own |= hits[j]
+                joined += lines[j]
+                new = hits[j] or (j > i and hits[j - 1])
+                if new and self.overlap(own, self.families[1:]) >= OVERLAP and (r := self.paragraph(joined)):
+                    runs.append((-r[2], j - i, i, r))
+        found, taken = [], set()
+        for _, more, i, r in sorted(runs):
+            if taken.isdisjoint(range(i, i + more + 1)):
+                taken.update(range(i, i + more + 1))
+                found.append((i, i + more, r))
+        return found
+
     def text(self, text: str | None) -> tuple[str | None, int, float, float, int | None]:
         """(family, confirmed paragraphs, probability, overlap, line number) of a text."""
-        found = []
-        for i, line in enumerate((text or "").split("\n")):
-            words = words_of(line)
-            if len(words) > 1 and (r := self.paragraph(words)):
-                found.append((-round(r[1], 6), i, r))
+        lines = [words_of(line) for line in (text or "").split("\n")]
+        hits = [self.all_pairs.intersection(zip(a, [*a[1:], *b[:1]], strict=False)) for a, b in zip(lines, [*lines[1:], []], strict=True)]
+        if not any(hits):
+            return None, 0, 0.0, 0.0, None
+        found = self.confirmed(lines, hits)
         if not found:
             return None, 0, 0.0, 0.0, None
-        _, i, (family, p, overlap) = min(found)
+        _, i, (family, p, overlap) = min((-round(r[1], 6), i, r) for i, _, r in found)
         return family, len(found), round(p, 6), round(overlap, 6), i
 
 

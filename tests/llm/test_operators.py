@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -477,3 +478,21 @@ def test_licence_accuracy_on_varied_notices():
     right = [(r := model.paragraph(v)) is not None and r[0] == f for f, v in cases]
     wrong = [(r := model.paragraph(v)) is not None and r[0] != f for f, v in cases]
     assert np.mean(right) > 0.75 and np.mean(wrong) < 0.05
+
+
+def wrap(notice, width):
+    return "\n".join(textwrap.wrap(notice, width))
+
+
+def test_licence_notices_wrapped_over_lines():
+    model = licenses.fit([licenses.words_of(line) for i in range(40) for line in prose(i, 90).split("\n")])
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    assert model.text(f"{prose(1, 30)}\n{gpl}\n{prose(2, 30)}")[:2] == ("gpl", 1)
+    assert model.text(f"{prose(1, 30)}\n\n# {bsd}")[:2] == ("bsd", 1)
+    assert model.text(bsd)[4] == 0 and model.text(f"x\n\ny\n{bsd}")[4] == 3
+    assert model.text(bsd.replace("\n", "\n\n"))[0] is None  # a blank line parts paragraphs
+    cases = [(f, wrap(t, w)) for f, ts in licenses.TEMPLATES.items() for t in ts for w in (30, 45, 60, 75)]
+    right = [model.text(f"{prose(i, 40)}\n{t}\n{prose(i + 500, 40)}")[0] == f for i, (f, t) in enumerate(cases)]
+    assert np.mean(right) > 0.95
+    assert {model.text(prose(i, 400))[0] for i in range(40)} == {None}
