@@ -5,12 +5,14 @@ notices are often wrapped; of overlapping ones the one nearest to a template cou
 licence families and "none" apart. It is trained here: on the templates below with words dropped, replaced
 and wrapped in other text, and on a bounded sample of corpus paragraphs (PARAGRAPHS of SAMPLE_DOCS
 documents, chosen by hash) that share no word with a licence. Held-back examples calibrate the least probability that a family
-needs; below it a paragraph is unknown. A predicted family is confirmed if the paragraph has at least
-OVERLAP of the word pairs of one of its templates. A paragraph without any word pair of a template cannot be
-confirmed, so it is not scored.
+needs, and the least probability of any licence that an unknown one needs. A predicted family is confirmed if
+the paragraph has at least OVERLAP of the word pairs of one of its templates. What is likelier a licence than
+none but is below its family's threshold or not confirmed is of the family "unknown". A paragraph without any
+word pair of a template is not scored.
 
 Defined results: null, empty and licence-free texts have family null, 0 paragraphs, confidence and overlap 0;
-a document's family is that of its most confident confirmed paragraph, the earlier at ties; repeated rows
+a document's family is that of its most confident confirmed paragraph, the earlier at ties; without one it is
+that of its most probable unknown paragraph, whose probability is that of any licence; repeated rows
 each get a result; null doc_ids are passed through; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -54,6 +56,7 @@ TEMPLATES = {
     "proprietary": ["Copyright. All rights reserved.", "No part of this publication may be reproduced without prior written permission of the publisher."],
 }
 NONE = "none"
+UNKNOWN = "unknown"
 
 
 def grams(words: list[bytes]) -> list[tuple[bytes, ...]]:
@@ -130,17 +133,39 @@ class LicenceModel:
                 found.append((i, i + more, r))
         return found
 
-    def text(self, text: str | None) -> tuple[str | None, int, float, float, int | None]:
-        """(family, confirmed paragraphs, probability, overlap, line number) of a text."""
+    def unknown(self, words: list[bytes]) -> tuple[str, float, float] | None:
+        """(UNKNOWN, probability of any licence, largest overlap) of a paragraph that is likelier a licence than none."""
+        own = self.all_pairs.intersection(zip(words, words[1:], strict=False))
+        p = 1 - float(self.probabilities(words)[0]) if own else 0.0
+        return (UNKNOWN, p, self.overlap(own, self.families[1:])) if p > self.least[0] else None
+
+    def unconfirmed(self, lines: list[list[bytes]], hits: list[set], taken: set[int]) -> list[tuple[int, tuple]]:
+        """(line, result) of unknown paragraphs: neighbouring lines outside ``taken`` that hold template pairs,
+        RUN_LINES at most, of which one or all together are likelier a licence than none."""
+        found, i = [], 0
+        while i < len(lines):
+            j = i
+            while j < min(i + RUN_LINES, len(lines)) and j not in taken and lines[j] and (hits[j] or (j > i and hits[j - 1])):
+                j += 1
+            each = [(i, self.unknown([w for line in lines[i:j] for w in line]))] + [(k, self.unknown(lines[k])) for k in range(i, j)]
+            if some := [(-r[1], k, r) for k, r in each if r]:
+                found.append(min(some)[1:])
+            i = max(j, i + 1)
+        return found
+
+    def text(self, text: str | None) -> tuple[str | None, int, float, float, int | None, int]:
+        """(family, confirmed paragraphs, probability, overlap, line number, unknown paragraphs) of a text."""
         lines = [words_of(line) for line in (text or "").split("\n")]
         hits = [self.all_pairs.intersection(zip(a, [*a[1:], *b[:1]], strict=False)) for a, b in zip(lines, [*lines[1:], []], strict=True)]
         if not any(hits):
-            return None, 0, 0.0, 0.0, None
+            return None, 0, 0.0, 0.0, None, 0
         found = self.confirmed(lines, hits)
-        if not found:
-            return None, 0, 0.0, 0.0, None
-        _, i, (family, p, overlap) = min((-round(r[1], 6), i, r) for i, _, r in found)
-        return family, len(found), round(p, 6), round(overlap, 6), i
+        rest = self.unconfirmed(lines, hits, {k for i, j, _ in found for k in range(i, j + 1)})
+        best = [(i, r) for i, _, r in found] or rest
+        if not best:
+            return None, 0, 0.0, 0.0, None, 0
+        _, i, (family, p, overlap) = min((-round(r[1], 6), i, r) for i, r in best)
+        return family, len(found), round(p, 6), round(overlap, 6), i, len(rest)
 
 
 def fit(paragraphs: list[list[bytes]], seed: int = SEED, examples: int = EXAMPLES, epochs: int = EPOCHS) -> LicenceModel:
@@ -183,6 +208,13 @@ def fit(paragraphs: list[list[bytes]], seed: int = SEED, examples: int = EXAMPLE
         other = sorted(p[k] for j, p in scores if j != k)
         if other:
             least[k] = max(0.5, min(0.95, other[min(len(other) - 1, int(len(other) * (1 - FALSE_RATE)))]))
+    # and the probability of any licence on held-back paragraphs without one must not reach that of unknown;
+    # neighbouring lines are scored together too, so joined paragraphs count
+    free = [w for k, w in held if k == 0]
+    free += [[w for p in free[i : i + RUN_LINES] for w in p] for i in range(0, len(free), RUN_LINES)]
+    other = sorted(1 - model.probabilities(w)[0] for w in free if not model.all_pairs.isdisjoint(zip(w, w[1:], strict=False)))
+    if other:
+        least[0] = max(0.5, other[min(len(other) - 1, int(len(other) * (1 - FALSE_RATE)))])
     model.least = least
     return model
 
@@ -203,6 +235,7 @@ FOUND = T.StructType(
         T.StructField("confidence", T.DoubleType()),
         T.StructField("overlap", T.DoubleType()),
         T.StructField("line", T.LongType()),
+        T.StructField("n_unknown", T.LongType()),
     ]
 )
 
@@ -213,14 +246,14 @@ def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = [model.text(t) for t in batch.column(1).to_pylist()]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, columns, kinds)], FOUND.fieldNames())
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
 
 
 def op10_license_scan(spark, sf_dir):
-    """doc_id, family (null: none), n_paragraphs, confidence, overlap, line of all documents."""
+    """doc_id, family (null: none), n_paragraphs, confidence, overlap, line, n_unknown of all documents."""
     docs = load(spark, sf_dir, "documents")
     return scan_licences(docs, train(docs))

@@ -491,8 +491,21 @@ def test_licence_notices_wrapped_over_lines():
     assert model.text(f"{prose(1, 30)}\n{gpl}\n{prose(2, 30)}")[:2] == ("gpl", 1)
     assert model.text(f"{prose(1, 30)}\n\n# {bsd}")[:2] == ("bsd", 1)
     assert model.text(bsd)[4] == 0 and model.text(f"x\n\ny\n{bsd}")[4] == 3
-    assert model.text(bsd.replace("\n", "\n\n"))[0] is None  # a blank line parts paragraphs
+    assert model.text(bsd.replace("\n", "\n\n"))[0] != "bsd"  # a blank line parts paragraphs
     cases = [(f, wrap(t, w)) for f, ts in licenses.TEMPLATES.items() for t in ts for w in (30, 45, 60, 75)]
     right = [model.text(f"{prose(i, 40)}\n{t}\n{prose(i + 500, 40)}")[0] == f for i, (f, t) in enumerate(cases)]
     assert np.mean(right) > 0.95
     assert {model.text(prose(i, 400))[0] for i in range(40)} == {None}
+
+
+def test_licences_that_no_template_confirms_are_unknown(spark):
+    model = licenses.fit([licenses.words_of(line) for i in range(40) for line in prose(i, 90).split("\n")])
+    eclipse = "This work is licensed under the Eclipse Public License, version 2.0."
+    altered = "Permission is granted free of charge to any person\nobtaining this software and its files."
+    rows = [(1, f"{prose(1, 40)}\n{eclipse}"), (2, f"{altered}\n\n{prose(2, 40)}"), (3, prose(3, 40)), (4, f"{eclipse}\n\nLicensed under the MIT License."), (5, None), (6, f"{eclipse}\n\n{prose(4, 20)}\n\n{eclipse}")]
+    got = {r.doc_id: r for r in licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i].family for i in range(1, 7)] == ["unknown", "unknown", None, "mit", None, "unknown"]
+    assert [got[i].n_paragraphs for i in range(1, 7)] == [0, 0, 0, 1, 0, 0]
+    assert [got[i].n_unknown for i in range(1, 7)] == [1, 1, 0, 1, 0, 2]
+    assert got[1].line == rows[0][1].count("\n") and got[1].confidence > 0.5
+    assert {model.text(prose(i, 400))[0] for i in range(40)} == {None}
