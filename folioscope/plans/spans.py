@@ -19,8 +19,35 @@ def _canvas():
     return F.replace("text", F.lit("\n"), F.lit(" <lb/>"))
 
 
-def _located(spark, sf_dir):
+SEED_WORDS = 5
+
+
+def _seeds(t, key, text):
+    """key and SEED_WORDS words (w0, w1, ...) from every place of a text; words in lower case, without marks and punctuation."""
+    plain = F.regexp_replace(F.translate(n.glyph_lower(F.col(text)), *n.TURKISH_FOLD), r"[^\p{L}\p{N}_\s]+", "")
+    w = t.select(key, F.filter(F.split(plain, r"\s+"), lambda x: x != "").alias("w"))
+    grams = F.arrays_zip(*[F.slice("w", i + 1, F.size("w")).alias(f"w{i}") for i in range(SEED_WORDS)])
+    return w.filter(F.size("w") > 0).select(key, F.least(F.size("w"), F.lit(SEED_WORDS)).alias("k"), F.explode(F.array_distinct(grams)).alias("x")).select(key, "k", "x.*")
+
+
+def candidates(spark, sf_dir):
+    """item_id, doc_id where a document may hold a passage, altered or not: they share SEED_WORDS consecutive words, or
+    all words of a shorter passage, or the passage stands there as it is."""
     pairs = leakage_intersection(spark, sf_dir)
+    d, b = _seeds(table(spark, sf_dir, "documents"), "doc_id", "text"), _seeds(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    words = [f"w{i}" for i in range(SEED_WORDS)]
+    whole = b.filter(F.col(words[-1]).isNotNull()).drop("k")
+    pairs = pairs.union(d.drop("k").join(whole, words).select("item_id", "doc_id"))
+    short = b.filter((F.col("k") < SEED_WORDS) & F.col(f"w{SEED_WORDS - 1}").isNull())
+    for k in range(1, SEED_WORDS):
+        own = short.filter((F.col("k") == k) & F.col(words[k - 1]).isNotNull()).select("item_id", *words[:k])
+        if not own.isEmpty():
+            pairs = pairs.union(d.join(own, words[:k]).select("item_id", "doc_id"))
+    return pairs.distinct()
+
+
+def _located(spark, sf_dir):
+    pairs = candidates(spark, sf_dir)
     d = table(spark, sf_dir, "documents").select("doc_id", _canvas().alias("canvas"))
     return pairs.join(d, "doc_id").join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value")), "item_id")
 

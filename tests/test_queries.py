@@ -90,3 +90,18 @@ def test_sources(spark, tmp_path):
     status = spark.createDataFrame([(1, "altin"), (2, "karantina")], "id long, status string")
     writers.route(status, str(tmp_path / "out"))
     assert len(glob.glob(str(tmp_path / "out" / "status=*"))) == 2
+
+
+def test_altered_and_short_passages_are_located(spark, tmp_path):
+    words = [f"{a}{b}{c}n" for a in "bdfgk" for b in "aeiou" for c in "lrst"]
+    item = words[:30]
+    altered = [f"x{w}" if i % 6 == 5 else w for i, w in enumerate(item)]
+    docs = [(1, " ".join(words[40:60] + item)), (2, " ".join(words[40:60] + altered).upper()), (3, " ".join(words[40:])), (4, "a lone pair of words")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    bench = [(7, " ".join(item)), (8, "lone pair"), (9, "lone"), (10, None)]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r.item_id, r.doc_id) for r in run("leakage_intersection")) == [(7, 1), (8, 4), (9, 4)]
+    assert {(r.item_id, r.doc_id) for r in run("find_spans") if r.start is not None} >= {(7, 1), (7, 2)}
+    assert {(r.item_id, r.doc_id) for r in run("subsequence_match") if r["first"] is not None} >= {(7, 1), (7, 2), (8, 4), (9, 4)}
+    assert run("span_threshold_sweep")[0].n == 4
