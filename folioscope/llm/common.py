@@ -19,10 +19,12 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: the session's spark.checkpoint.dir.
 
-    Only where the session names none (a local test run) a temporary folder is chosen and set.
+    Only where the session names none and runs in one process (a local test run) a temporary folder is chosen and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -34,12 +36,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release() -> None:
+    """Delete the tables made so far. For sessions that go on: call it when the results have been written."""
+    while _made:
+        _delete(*_made.pop())
+
+
 def _clean() -> None:
-    for spark, path in _made:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session is gone; nothing is left to do at exit
-            return
+    try:
+        release()
+    except Exception:  # the session is gone; nothing is left to do at exit
+        return
 
 
 atexit.register(_clean)
@@ -49,7 +56,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Cuts lineage: a lost executor costs a reread of the table, never the work before it.
-    The tables of a session are deleted when the driver exits.
+    The tables of a session are deleted by release(), or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/folioscope-{uuid.uuid4().hex}"
@@ -82,20 +89,36 @@ def size_class(size: Column) -> Column:
     return F.floor(F.lit(4.0) * F.sqrt(F.sqrt(size.cast("double")))).cast("int")
 
 
-def group_offsets(counts: DataFrame, top: list[str], levels: list[str], value: str = "n") -> DataFrame:
-    """Exclusive prefix sums over groups, without one task seeing all groups.
+#: monotonically_increasing_id() has the partition above this bit and the row's place in it below.
+_PART_BITS = 33
+
+
+def boxed(docs: DataFrame, **extra: Column) -> DataFrame:
+    """docs as a written table of row (all columns as one struct, so that no name can clash), uid and ``extra``.
+
+    The table is written once, so a uid names the same row however often it is read.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return materialize(docs.select(F.struct(*own).alias("row"), *[c.alias(k) for k, c in extra.items()], F.monotonically_increasing_id().alias("uid")))
+
+
+def in_order(rows: DataFrame, order: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """rows with ``place``, from 0, in the total order, and before_<s>, the sum of s over all earlier rows.
 
-    counts has one row per (top, levels); the result adds ``before``, the sum of ``value`` over the groups
-    of the same ``top`` that come earlier in the order of ``levels``. Each level is summed by itself and
-    numbered inside its parent, so a window holds the children of one parent only.
+    Rows are dealt to tasks by ranges of the whole order and sorted there, so no key, however frequent, fills a
+    task as long as the last column of the order tells rows apart. Only the partitions' totals, one row each,
+    are summed over in one place and sent to all tasks.
     """
-    out = counts
-    total = F.lit(0).cast("long")
-    for i, level in enumerate(levels):
-        keys = top + levels[: i + 1]
-        w = Window.partitionBy(*(top + levels[:i])).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-        own = counts.groupBy(*keys).agg(F.sum(value).alias("_s"))
-        own = own.withColumn(f"_b{i}", F.coalesce(F.sum("_s").over(w), F.lit(0).cast("long"))).drop("_s")
-        out = out.join(own, keys)
-        total = total + F.col(f"_b{i}")
-    return out.withColumn("before", total).drop(*[f"_b{i}" for i in range(len(levels))])
+    seq = F.col("_seq")
+    placed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_seq", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright(seq, _PART_BITS))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    totals = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_t_{s}") for s in sums])
+    totals = totals.select("_part", F.coalesce(F.sum("_n").over(earlier), zero).alias("_ahead"), *[F.coalesce(F.sum(f"_t_{s}").over(earlier), zero).alias(f"_a_{s}") for s in sums])
+    out = placed.join(F.broadcast(totals), "_part")  # one row per shuffle partition
+    out = out.withColumn("place", F.col("_ahead") + seq.bitwiseAND(F.lit((1 << _PART_BITS) - 1)))
+    inside = Window.partitionBy("_part").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    for s in sums:
+        out = out.withColumn(f"before_{s}", F.col(f"_a_{s}") + F.coalesce(F.sum(s).over(inside), zero))
+    return out.drop("_part", "_seq", "_ahead", *[f"_a_{s}" for s in sums])

@@ -6,25 +6,26 @@ document is emitted once per integer boundary that its interval crosses. The ord
 that each stretch of similar documents gives its share and the taken words come near the target: the error
 of a source is of the order of its largest document.
 
-The prefix sum is a rank times a constant. Ranks are made in two levels: inside buckets of
-(source, size class, spread of doc_id), whose size is bounded however large a source is, and over bucket
-counts. No window holds a whole source.
+The prefix sum is a rank times a constant. Ranks come from dealing the rows out by ranges of the whole order
+(source, size class, spread of doc_id, size, doc_id, text hash, row), so no source and no repeated or missing
+doc_id fills a task. The table of sources is ordered in the same way, so it may be long as well.
 
 Nulls: a null text has size 0; a null source is a source of its own, ordered last; a null doc_id is ordered
-with the bucket 0. Rows that agree in source, size and doc_id may swap their copies, which leaves the same
-rows. An empty table gives an empty result. Other columns of the input are kept by ``mix_documents``.
+first within its size class. Equal rows may swap their copies, which leaves the same rows. An empty table gives
+an empty result. Very long texts are documents like any other: the error of a source is of the order of its
+longest. Other columns of the input, whatever their names, are kept by ``mix_documents``.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import group_offsets, materialize, size_class, spread, word_count
+from folioscope.llm.common import boxed, in_order, materialize, size_class, spread, word_count
 
-#: Rows of the corpus for each value of the spread of doc_id; a bucket holds at most about so many rows.
+#: Rows of the corpus for each value of the spread of doc_id, by which a size class is mixed before sizes are sorted.
 ROWS_PER_BUCKET = 4096
 MAX_RATIO = 3
 SEED = 20240607
@@ -36,72 +37,60 @@ def offset_of(seed: int) -> float:
 
 
 def source_targets(sized: DataFrame, max_ratio: int = MAX_RATIO) -> DataFrame:
-    """One row per source: sid, source_size, target. Input: columns source, size.
+    """One row per source: source, source_size, target, and start, the place of its first row in the order.
 
     Weights 1, 2, 3 repeat over the sources in code-point order, null last. Capping at max_ratio times the
     source's size and sharing the excess by weight ends at target = min(cap, weight * level): the level is
-    found by one ordered pass over cap / weight. The table has one row per source, which is dimension-sized.
+    found by one ordered pass over cap / weight.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    per = per.withColumn("sid", F.row_number().over(order))
-    per = per.withColumn("weight", ((F.col("sid") - 1) % 3 + 1).cast("long"))
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    per = in_order(per.withColumn("no_source", F.col("source").isNull()), ["no_source", "source"], ("n",))
+    per = per.withColumn("weight", (F.pmod("place", F.lit(3)) + 1).cast("long")).withColumnsRenamed({"place": "sid", "before_n": "start"})
     per = per.withColumn("cap", F.col("source_size") * max_ratio)
     per = per.withColumn("turn", F.col("cap").cast("double") / F.col("weight").cast("double"))
-    by_turn = Window.orderBy("turn", "sid")
-    everything = Window.partitionBy()
-    earlier = by_turn.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_turn.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    per = per.withColumn("left_over", F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(earlier), F.lit(0)))
-    per = per.withColumn("open_weight", F.sum("weight").over(onward))
-    per = per.withColumn("level", F.col("left_over").cast("double") / F.col("open_weight").cast("double"))
-    per = per.withColumn("level", F.max(F.when(F.col("level") <= F.col("turn"), F.col("level"))).over(everything))
-    target = F.least(F.col("cap").cast("double"), F.col("weight").cast("double") * F.col("level"))
-    return per.select("source", "sid", "source_size", target.alias("target"))
+    per = materialize(in_order(per, ["turn", "sid"], ("cap", "weight")).drop("place"))
+    total = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    left_over = F.lit(total["size"]).cast("long") - F.col("before_cap")
+    open_weight = F.lit(total["weight"]).cast("long") - F.col("before_weight")
+    level = left_over.cast("double") / open_weight.cast("double")
+    level = per.agg(F.max(F.when(level <= F.col("turn"), level)).alias("level")).first()["level"]
+    target = F.least(F.col("cap").cast("double"), F.col("weight").cast("double") * F.lit(level).cast("double"))
+    return per.select("source", "source_size", "start", target.alias("target"))
 
 
 def sample_counts(sized: DataFrame, seed: int = SEED, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """doc_id, size, source_size, target, copies for rows with doc_id, source, size (a materialised table)."""
+    """Adds source_size, target and copies to rows with doc_id, source, size, h (a hash of the text) and uid (a written table)."""
     n = sized.count()
     salts = max(1, -(-n // rows_per_bucket))
-    wide = max(1, round(salts**0.5))
     targets = source_targets(sized)
-    rows = sized.withColumn("cls", size_class(F.col("size"))).withColumn("salt", spread(F.col("doc_id"), salts))
-    rows = rows.withColumn("hi", F.floor(F.col("salt") / F.lit(wide)).cast("int"))
-    joined = rows.join(targets.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).drop("src")
-    keys = ["sid", "cls", "hi", "salt"]
-    placed = joined.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("size", "doc_id")))
-    counts = joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    offsets = group_offsets(counts, ["sid"], ["cls", "hi", "salt"]).select(*keys, "before")
+    rows = sized.withColumns({"no_source": F.col("source").isNull(), "cls": size_class(F.col("size")), "salt": spread(F.col("doc_id"), salts)})
+    placed = in_order(rows, ["no_source", "source", "cls", "salt", "size", "doc_id", "h", "uid"])
+    placed = placed.join(targets.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
-    rank = (F.col("before") + F.col("place")).cast("double")
+    rank = (F.col("place") - F.col("start") + 1).cast("double")
     u = F.lit(offset_of(seed))
     copies = F.floor(ratio * rank + u) - F.floor(ratio * (rank - F.lit(1.0)) + u)
-    return placed.join(offsets, keys).withColumn("copies", copies.cast("long"))
+    return placed.withColumn("copies", copies.cast("long")).select(*sized.columns, "source_size", "target", "copies")
 
 
 def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: every document repeated as often as it was drawn, with the input's columns.
 
-    Each row gets a draw of its own, also rows that share a doc_id: draws are listed by
-    (doc_id, source, size) and rows take them by their number within it. The texts are shuffled once.
+    Every row is drawn by itself, also rows that share a doc_id. Rows meet their draws by a row number of their
+    own, so texts are shuffled once and no key repeats.
     """
-    key = F.struct(F.col("doc_id"), F.col("source"), F.col("size")).alias("_fs_k")
-    sized = docs.withColumn("size", word_count(F.col("text"))).select("doc_id", "source", "size")
-    drawn = sample_counts(materialize(sized), seed).select(key, "copies")
-    drawn = drawn.groupBy("_fs_k").agg(F.sort_array(F.collect_list("copies")).alias("_fs_draws")).filter(F.array_max("_fs_draws") > 0)
-    own = F.struct(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
-    rows = docs.withColumn("_fs_k", own)
-    rows = rows.withColumn("_fs_i", F.row_number().over(Window.partitionBy("_fs_k").orderBy(F.xxhash64("text"))))
-    both = rows.join(drawn, "_fs_k").withColumn("_fs_n", F.element_at("_fs_draws", F.col("_fs_i"))).filter("_fs_n > 0")
-    repeated = both.withColumn("_fs_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_fs_n"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = boxed(docs, size=word_count(F.col("text")), h=F.xxhash64("text"))
+    light = rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size", "h", "uid")
+    drawn = sample_counts(light, seed).filter("copies > 0").select("uid", "copies")
+    repeated = rows.select("uid", "row").join(drawn, "uid").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select("row.*")
 
 
 def op2_mix_sources(spark, sf_dir):
     """Contract query: doc_id, size, source_size, target, taken for all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    sized = materialize(sized.withColumn("uid", F.monotonically_increasing_id()))
     out = sample_counts(sized)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

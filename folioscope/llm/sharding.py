@@ -1,29 +1,27 @@
 """Sharding by Hilbert-curve order: rows close in several metadata dimensions share a file.
 
 Source, language and size class are cut into 16 bins of about equal row counts each; the three bin numbers
-are the cell of a row, and cells are ordered along the Hilbert curve. Ranks in that order are made from
-cell counts and from numbers inside bounded buckets (cell, spread of doc_id), so a cell that holds a third
-of all rows is spread over many tasks. Runs of the order are cut by one of two laws: ``rows`` (counts at
-most one apart) or ``bytes`` (sizes near equal, at most one document over). Equal texts of one source and
-language are in one cell.
-
-Nulls: a null text is an empty one; a null source or language is a value of its own, ordered last; a null
-doc_id goes to bucket 0. Rows equal in every ordering column may swap places. An empty table gives an empty
-result. Other columns are kept by ``shard_documents``.
+are the cell of a row, and cells are ordered along the Hilbert curve. Rows of equal text are a group: they take
+the source and language of the least among them, so they are in one cell, and there the order is by size and
+text, so a group is one stretch of the order. Ranks come from dealing the rows out by ranges of the whole
+order, whose last column is a row number: a cell or a text that a third of all rows share is spread over many
+tasks. Runs of the order are cut by one of two laws: ``rows`` (counts at most one apart) or ``bytes`` (sizes
+near equal, at most one document over); a group is in more than one shard only where a border cuts it.
+
+Nulls: a null text is an empty one; a null source or language is a value of its own, ordered last; null
+doc_ids come first among equal texts. Equal rows may swap places. An empty table gives an empty result. Very
+long texts are rows like any other. Other columns, whatever their names, are kept by ``shard_documents``.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from folioscope.llm.common import group_offsets, materialize, size_class, spread
+from folioscope.llm.common import boxed, in_order, materialize, size_class
 
 BITS = 4
-ROWS_PER_BUCKET = 4096
 SHARDS = 24
 
 
@@ -56,58 +54,54 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-@F.pandas_udf(T.IntegerType())
-def _curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-    return pd.Series(hilbert_index(np.stack([a, b, c], axis=1), BITS).astype(np.int32))
+def bins(rows: DataFrame, n: int, bits: int = BITS) -> DataFrame:
+    """dim, number, word, bin for each distinct value of source (dim 0), lang (1) and size class (2):
+    2**bits bins of about equal row counts in the order of the values, nulls last."""
+    no_word, no_number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    per = [rows.groupBy(F.lit(d).alias("dim"), no_number.alias("number"), F.col(c).alias("word")).agg(F.count(F.lit(1)).alias("c")) for d, c in enumerate(("source", "lang"))]
+    per.append(rows.groupBy(F.lit(2).alias("dim"), F.col("cls").alias("number"), no_word.alias("word")).agg(F.count(F.lit(1)).alias("c")))
+    values = per[0].union(per[1]).union(per[2]).withColumn("none", F.col("number").isNull() & F.col("word").isNull())
+    at = in_order(values, ["dim", "none", "number", "word"], ("c",))
+    before = F.col("before_c") - F.col("dim") * F.lit(n).cast("long")
+    return at.select("dim", "number", "word", _div(before * (1 << bits), n).cast("int").alias("bin"))
 
 
-def bins(rows: DataFrame, column: str, n: int, bits: int = BITS) -> DataFrame:
-    """value, bin for each distinct value: 2**bits bins of about equal row counts in the order of the values.
-
-    The table is dimension-sized (distinct sources, languages or size classes).
-    """
-    per = rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    before = Window.orderBy(F.col("value").isNull(), F.col("value")).rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum("c").over(before), F.lit(0))
-    return per.select("value", F.floor(at * F.lit(1 << bits) / F.lit(max(n, 1))).cast("int").alias("bin"))
+def cells(rows: DataFrame, n: int) -> DataFrame:
+    """rows with cell, the index of their bins along the Hilbert curve."""
+    table = materialize(bins(rows, n))
+    for d, column in enumerate(("source", "lang", "cls")):
+        own = table.filter(F.col("dim") == d).select(F.col("number" if column == "cls" else "word").alias(f"_v{d}"), F.col("bin").alias(f"_bin{d}"))
+        rows = rows.join(own, F.col(column).eqNullSafe(F.col(f"_v{d}"))).drop(f"_v{d}")
+    side = 1 << BITS
+    every = np.stack(np.meshgrid(*[np.arange(side)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
+    curve = rows.sparkSession.createDataFrame(list(enumerate(hilbert_index(every, BITS).tolist())), "_code int, cell int")
+    rows = rows.withColumn("_code", (F.col("_bin0") * side + F.col("_bin1")) * side + F.col("_bin2"))
+    return rows.join(F.broadcast(curve), "_code").drop("_code", "_bin0", "_bin1", "_bin2")  # 4,096 cells
 
 
 def shard_rows(rows: DataFrame, shards: int = SHARDS, law: str = "rows") -> DataFrame:
-    """Adds cell, shard and slot to rows (a materialised table with doc_id, source, lang, size, text_crc32)."""
+    """Adds cell, shard and slot to rows (a written table with doc_id, source, lang, size, text_crc32, h, uid)."""
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     n, volume = int(total["n"]), int(total["bytes"])
-    salts = max(1, -(-n // ROWS_PER_BUCKET))
-    wide = max(1, round(salts**0.5))
-    placed = rows.withColumn("_class", size_class(F.col("size")))
-    for i, column in enumerate(("source", "lang", "_class")):
-        table = bins(placed.select(column), column, n).select(F.col("value").alias(f"_v{i}"), F.col("bin").alias(f"_bin{i}"))
-        placed = placed.join(table, F.col(column).eqNullSafe(F.col(f"_v{i}"))).drop(f"_v{i}")
-    placed = placed.withColumn("cell", _curve("_bin0", "_bin1", "_bin2")).drop("_bin0", "_bin1", "_bin2", "_class")
-    placed = placed.withColumn("_salt", spread(F.col("doc_id"), salts))
-    placed = placed.withColumns({"_top": F.floor(F.col("cell") / 64).cast("int"), "_hi": F.floor(F.col("_salt") / F.lit(wide)).cast("int")})
-    placed = materialize(placed)
-    levels = ["_top", "cell", "_hi", "_salt"]
-    inside = Window.partitionBy(*levels).orderBy("size", "text_crc32", "doc_id")
-    counts = placed.groupBy(*levels).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("_bytes"))
-    offsets = group_offsets(counts, [], levels).select(*levels, F.col("before").alias("_before"))
-    out = placed.withColumn("_place", F.row_number().over(inside) - 1)
+    text = ["size", "text_crc32", "h"]
+    shared = rows.groupBy(*text).agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("source", "lang")).alias("_of")).filter("_c > 1").drop("_c")
+    lead = rows.select("doc_id", *text, "uid", F.struct("source", "lang").alias("_own")).join(shared, text, "left")
+    lead = lead.withColumn("_of", F.coalesce("_of", "_own")).select("doc_id", *text, "uid", "_of.source", "_of.lang", size_class(F.col("size")).alias("cls"))
+    order = ["cell", *text, "doc_id", "uid"]
+    placed = cells(materialize(lead), n).select(*order)
     if law == "rows":
-        out = out.join(offsets, levels).withColumn("_rank", F.col("_before") + F.col("_place"))
-        shard = _div(F.col("_rank") * shards, n)
+        out = in_order(placed, order)
+        shard = _div(F.col("place") * shards, n)
         start = _div(F.col("shard") * n + (shards - 1), shards)
-        out = out.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_rank") - start)
+        out = out.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("place") - start)
     elif law == "bytes":
-        running = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        sizes = group_offsets(counts, [], levels, "_bytes").select(*levels, F.col("before").alias("_ahead"))
-        out = out.withColumn("_run", running).join(offsets.join(sizes, levels), levels)
-        out = out.withColumn("_rank", F.col("_before") + F.col("_place"))
-        out = out.withColumn("shard", _div((F.col("_ahead") + F.col("_run")) * shards, volume).cast("int"))
-        out = materialize(out)
-        starts = out.groupBy("shard").agg(F.min("_rank").alias("_start"))  # at most one row per shard
-        out = out.join(F.broadcast(starts), "shard").withColumn("slot", F.col("_rank") - F.col("_start"))
+        out = in_order(placed, order, ("size",))
+        out = materialize(out.withColumn("shard", _div(F.col("before_size") * shards, volume).cast("int")))
+        starts = out.groupBy("shard").agg(F.min("place").alias("_start"))  # at most one row per shard
+        out = out.join(F.broadcast(starts), "shard").withColumn("slot", F.col("place") - F.col("_start"))
     else:
         raise ValueError(f"unknown law {law!r}")
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    return out.select("doc_id", "size", "text_crc32", "uid", "cell", "shard", "slot")
 
 
 def _div(a: Column, b: int) -> Column:
@@ -117,18 +111,14 @@ def _div(a: Column, b: int) -> Column:
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows") -> DataFrame:
-    """docs with cell, shard and slot added (names that the input already has are replaced)."""
-    light = docs.select("doc_id", "source", "lang", _size().alias("size"), _crc().alias("text_crc32"))
-    placed = shard_rows(materialize(light), shards, law)
-    key = F.struct("doc_id", "source", "lang", "size", "text_crc32").alias("_fs_k")
-    placed = placed.select(key, F.struct("cell", "shard", "slot").alias("_fs_at"))
-    placed = placed.groupBy("_fs_k").agg(F.sort_array(F.collect_list("_fs_at")).alias("_fs_at"))
-    own = F.struct(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("lang").alias("lang"), _size().alias("size"), _crc().alias("text_crc32"))
-    rows = docs.withColumn("_fs_k", own)
-    rows = rows.withColumn("_fs_i", F.row_number().over(Window.partitionBy("_fs_k").orderBy(F.xxhash64("text"))))
-    both = rows.join(placed, "_fs_k").withColumn("_fs_at", F.element_at("_fs_at", F.col("_fs_i")))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("cell", "shard", "slot")]
-    return both.select(*kept, F.col("_fs_at.cell").alias("cell"), F.col("_fs_at.shard").alias("shard"), F.col("_fs_at.slot").alias("slot"))
+    """docs with cell, shard and slot added (names that the input already has are replaced).
+
+    Rows meet their places by a row number of their own: texts are shuffled once, and no key repeats."""
+    rows = boxed(docs, size=_size(), text_crc32=_crc(), h=_hash())
+    light = rows.select("row.doc_id", "row.source", "row.lang", "size", "text_crc32", "h", "uid")
+    placed = shard_rows(light, shards, law).select("uid", "cell", "shard", "slot")
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("cell", "shard", "slot")]
+    return rows.select("uid", "row").join(placed, "uid").select(*kept, "cell", "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
@@ -144,10 +134,14 @@ def _crc() -> Column:
     return F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
+def _hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def op3_hilbert_shards(spark, sf_dir):
     """Contract query: all documents in shards 0 to 23, law ``rows``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    light = docs.select("doc_id", "source", "lang", _size().alias("size"), _crc().alias("text_crc32"))
-    out = shard_rows(materialize(light))
+    light = docs.select("doc_id", "source", "lang", _size().alias("size"), _crc().alias("text_crc32"), _hash().alias("h"))
+    out = shard_rows(materialize(light.withColumn("uid", F.monotonically_increasing_id())))
     none = F.lit(None).cast("int")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", none.alias("grown_shard"), F.col("cell").cast("long").alias("hilbert_cell"))
