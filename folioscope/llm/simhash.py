@@ -8,9 +8,13 @@ distance 2 whose sides differ are then together on the right. Leaves are shards;
 recursion goes on in memory down to small blocks, which are compared in full. A shard gives a spanning forest
 of its links, never all pairs, and the links are closed to components by shuffles.
 
+The layout has at most SAMPLE / 16 leaves, so beyond about 30 million distinct fingerprints a leaf grows with
+them; it is eight bytes a point in one task, which splits it on down to blocks.
+
 Defined results: null, empty and wordless texts have fingerprint zero and are linked like any other; a null
 doc_id gets the component of its fingerprint's group and is never its name, unless the group has no other;
-repeated rows are in one group; an empty table gives an empty result; other columns are ignored.
+very long texts are hashed whole, by stretches of 65,536 shingles; repeated rows are in one group; an empty
+table gives an empty result; other columns are ignored by the query and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import load, materialize
+from folioscope.llm.common import boxed, load, materialize
 from folioscope.llm.components import connected_components
 
 SHINGLE = 3
@@ -173,8 +177,11 @@ ROUTED = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("fp",
 def linked_fingerprints(distinct: DataFrame, radius_points: int = SHARD_POINTS, sample: int = SAMPLE) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp): a forest for each shard of the tree."""
     n = distinct.count()
-    chosen = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect() if n > radius_points else []  # at most `sample` longs
-    some = np.array(sorted(r["fp"] for r in chosen), np.int64).view(np.uint64)
+    if n > radius_points:  # at most ``sample`` longs, as Arrow
+        chosen = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).select("fp").toArrow().column("fp").to_numpy()
+    else:
+        chosen = np.zeros(0, np.int64)
+    some = np.sort(chosen).view(np.uint64)
     nodes = layout(some, max(16, radius_points * len(some) // max(n, 1))) if len(some) else []
 
     def send(batches):
@@ -191,16 +198,20 @@ def linked_fingerprints(distinct: DataFrame, radius_points: int = SHARD_POINTS,
     return distinct.select("fp").mapInArrow(send, ROUTED).groupBy("leaf").applyInArrow(solve, EDGES)
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every document; component_id is the least doc_id that links reach."""
-    marked = materialize(fingerprints(docs))
+def components_of(marked: DataFrame) -> DataFrame:
+    """(fp, component, component_id) of every fingerprint in marked (a written table of doc_id, fp); component is a
+    fingerprint of the component, component_id the least doc_id that links reach."""
     groups = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(linked_fingerprints(groups.select("fp")))
-    # a fingerprint's component is named by a fingerprint; the component's name is the least doc_id in it
     named = groups.join(found, groups.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    table = materialize(named.join(names, "component").select("fp", "component_id"))
-    return marked.join(table, "fp").select("doc_id", "fp", "component_id")
+    return materialize(named.join(names, "component").select("fp", "component", "component_id"))
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of every document; component_id is the least doc_id that links reach."""
+    marked = materialize(fingerprints(docs))
+    return marked.join(components_of(marked), "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash_vptree(spark, sf_dir):
@@ -209,12 +220,25 @@ def op9_simhash_vptree(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+MARKED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("uid", T.LongType()), T.StructField("fp", T.LongType())])
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group: the row whose doc_id names the component.
+    """One row of each near-duplicate group: the one of the least doc_id (null last), then of the least text hash.
 
-    Rows that share that doc_id (repeated rows) are one document; documents without an id stay.
+    A group is a component of fingerprints, so rows that share a doc_id but not a text are kept or left by their
+    own groups, and rows without a doc_id are grouped like any other. Of equal rows one stays.
     """
-    groups = near_groups(docs)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+
+    def run(batches):
+        for batch in batches:
+            values = np.array([fingerprint(t) for t in batch.column(3).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values)], MARKED.fieldNames())
+
+    rows = boxed(docs, h=F.xxhash64("text"))
+    marked = materialize(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "h", "uid", F.col("row.text").alias("text")).mapInArrow(run, MARKED))
+    of = components_of(marked.select("doc_id", "fp")).select("fp", "component")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "uid"))
+    # a fingerprint's best row first, which is summed on the map side, then a component's: no group is brought together
+    best = marked.groupBy("fp").agg(first.alias("best")).join(of, "fp").groupBy("component").agg(F.min("best").alias("best"))
+    return rows.select("uid", "row").join(best.select(F.col("best.uid").alias("uid")), "uid", "left_semi").select("row.*")
