@@ -6,12 +6,15 @@ only: the gradient of a document's loss is dealt out to its sentences by the noi
 find out which sentences carry the label. Weights are never negative and are pulled to zero (L1), so that most words have none.
 
 The model is fitted on at most SAMPLE labelled documents, chosen by hash, never on a row whose
-crc32(doc_id as text) mod 4 is 2. Scoring is one pass over whole texts without a shuffle. Sentence scores
-that reach SENTENCE_THRESHOLD are returned with their place in the text.
-
-Defined results: a null or empty text has no sentence and score 0; without labelled rows of both kinds every
-score is 0; null doc_ids are passed through and count as not held out; repeated rows each get a result; an
-empty table gives an empty result; other columns are ignored.
+crc32(doc_id as text) mod 4 is 2. Executors read their texts, count features, and give each document as the
+features of its sentences; the driver sees neither texts nor features that may have no weight. Scoring is one
+pass over whole texts without a shuffle. Sentences whose score reaches SENTENCE_THRESHOLD are returned with
+their place in the text.
+
+Defined results: a null or empty text has no sentence and score 0; words of any length count; very long texts
+are scored whole; without labelled rows of both kinds every score is 0; a repeated doc_id is one training
+document, of its least text; null doc_ids are passed through and count as not held out; repeated rows each get
+a result; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from array import array
+from collections import Counter
 
 import ahocorasick
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import load
+from folioscope.llm.common import load, materialize
 
 SAMPLE = 8000
 MIN_DOCS = 6
@@ -49,7 +52,6 @@ _flat = bytes.maketrans((ENDS + _other).encode(), b"\n" * len(ENDS) + b" " * len
 _sentence = re.compile(r"[^\n]*[^\s][^\n]*")
 #: Lengths of the word beginnings that are features beside the whole word: inflected forms share them.
 BEGINNINGS = (5, 6, 7)
-SHORTEST = 4
 
 
 def flat(text: str | None) -> str:
@@ -71,8 +73,26 @@ def sentences(text: str | None) -> list[list[str]]:
 
 
 def word_features(word: str) -> list[str]:
-    """The word and its beginnings; words shorter than SHORTEST have no feature."""
-    return [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) > n)] if len(word) >= SHORTEST else []
+    """The word and its beginnings."""
+    return [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) > n)]
+
+
+def text_features(text: str | None) -> set[str]:
+    return {f for w in set(flat(text).split()) for f in word_features(w)}
+
+
+def telling(toxic_docs: dict[str, int], clean_docs: dict[str, int], n_toxic: int, n_clean: int) -> list[str]:
+    """Weights can only be positive, so features are those in MIN_DOCS toxic documents or more, and relatively
+    more often there than in clean ones."""
+    odds = n_toxic / max(n_clean, 1)
+    return sorted(f for f, t in toxic_docs.items() if t >= MIN_DOCS and t > MIN_LIFT * odds * clean_docs.get(f, 0))
+
+
+def bag_of(text: str | None, ids: dict[str, int]) -> tuple[int, list[list[int]]]:
+    """The number of sentences without any known feature, and the feature ids of each of the others."""
+    found = [[ids[f] for w in set(s) for f in word_features(w) if f in ids] for s in sentences(text)]
+    some = [x for x in found if x]
+    return len(found) - len(some), some
 
 
 class NoisyOr:
@@ -92,45 +112,39 @@ class NoisyOr:
     def word_weight(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in word_features(word))
 
-    def fit(self, texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, l1: float = L1, rate: float = RATE) -> NoisyOr:
-        """Weights can only be positive, so features are taken from toxic documents: those in MIN_DOCS of them
-        or more, and relatively more often than in clean ones. Texts are cut one at a time."""
-        counts: dict[str, list[int]] = {}
-        for toxic in (True, False):
-            for text in (t for t, y in zip(texts, labels, strict=True) if (y > 0) == toxic):
-                for f in {f for w in set(flat(text).split()) for f in word_features(w)}:
-                    if toxic:
-                        counts.setdefault(f, [0, 0])[0] += 1
-                    elif f in counts:
-                        counts[f][1] += 1
-        odds = (labels > 0).sum() / max((labels <= 0).sum(), 1)
-        ids = {f: i for i, f in enumerate(sorted(f for f, (t, c) in counts.items() if t >= MIN_DOCS and t > MIN_LIFT * odds * c))}
-        del counts
-        col, sent, bag_of = array("i"), array("i"), array("i")
-        for b, text in enumerate(texts):
-            for s in sentences(text):
-                found = [ids[f] for w in set(s) for f in word_features(w) if f in ids]
-                col.extend(found)
-                sent.extend([len(bag_of)] * len(found))
-                bag_of.append(b)
-        col, sent, bag_of = (np.array(x, np.int64) for x in (col, sent, bag_of))
+    def fit(self, texts: list[str | None], labels: np.ndarray) -> NoisyOr:
+        """Fits on texts that are at hand; train() does the same with texts that stay on the executors."""
+        count = [Counter(), Counter()]
+        for text, label in zip(texts, labels, strict=True):
+            count[int(label <= 0)].update(text_features(text))
+        features = telling(*count, int((labels > 0).sum()), int((labels <= 0).sum()))
+        ids = {f: i for i, f in enumerate(features)}
+        return self.fit_bags(features, [bag_of(t, ids) for t in texts], labels)
+
+    def fit_bags(self, features: list[str], bags: list[tuple[int, list[list[int]]]], labels: np.ndarray, epochs: int = EPOCHS, l1: float = L1, rate: float = RATE) -> NoisyOr:
+        """Gradient descent on the noisy-or of the bags. Sentences without features all have the logit of the bias."""
+        col = np.array([f for _, some in bags for s in some for f in s], np.int64)
+        sent = np.repeat(np.arange(sum(len(some) for _, some in bags)), [len(s) for _, some in bags for s in some])
+        bag = np.repeat(np.arange(len(bags)), [len(some) for _, some in bags])
+        plain = np.array([n for n, _ in bags], np.int64)
         y = labels > 0
         share = np.where(y, 0.25 / max(y.sum(), 1), 0.75 / max((~y).sum(), 1))
-        x, bias = np.zeros(len(ids)), BIAS
+        x, bias = np.zeros(len(features)), BIAS
+        rest = plain * np.log1p(-1 / (1 + np.exp(-bias)))
         m, v = np.zeros_like(x), np.zeros_like(x)
         for t in range(1, epochs + 1):
-            z = bias + np.bincount(sent, x[col], len(bag_of))
+            z = bias + np.bincount(sent, x[col], len(bag))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            none = np.bincount(bag_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(texts))
+            none = rest + np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags))
             some = np.maximum(-np.expm1(none), 1e-9)
             # d loss / d logit of a sentence: p in a clean bag, -p * (1 - some) / some in a toxic one
-            dz = share[bag_of] * p * np.where(y[bag_of], -(1 - some[bag_of]) / some[bag_of], 1.0)
+            dz = share[bag] * p * np.where(y[bag], -(1 - some[bag]) / some[bag], 1.0)
             g = np.bincount(col, dz[sent], len(x))
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-5)
             x -= step * m / (1 - 0.9**t)
             x = np.maximum(x - step * l1, 0)
-        self.weights, self.bias = {f: float(x[i]) for f, i in ids.items() if x[i]}, float(bias)
+        self.weights, self.bias = {f: float(x[i]) for i, f in enumerate(features) if x[i]}, float(bias)
         return self
 
     def logits(self, text: str | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -171,11 +185,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NoisyOr:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.collect())  # documents of at most `sample` ids
-    y = np.array([r[2] > 0 for r in rows], bool)
-    if not y.any() or y.all():
+    rows = materialize(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))  # at most ``sample`` documents
+    size = {r["t"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(size) < 2:
         return NoisyOr()
-    return NoisyOr().fit([r[1] for r in rows], y)
+
+    def count(batches):
+        for batch in batches:
+            seen = [Counter(), Counter()]
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[0 if toxic else 1].update(text_features(text))
+            every = list(seen[0] | seen[1])
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([c[f] for f in every], pa.int64()) for c in seen]], ["f", "t", "c"])
+
+    texts = rows.select("text", (F.col("toxic") > 0).alias("toxic"), "doc_id")
+    counted = texts.mapInArrow(count, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    odds = size[True] / size[False]
+    counted = counted.filter((F.col("t") >= MIN_DOCS) & (F.col("t") > MIN_LIFT * odds * F.col("c"))).collect()  # features of the sample's toxic documents
+    features = telling({r["f"]: r["t"] for r in counted}, {r["f"]: r["c"] for r in counted}, size[True], size[False])
+    ids = {f: i for i, f in enumerate(features)}
+
+    def bags(batches):
+        for batch in batches:
+            done = [bag_of(t, ids) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int64()), batch.column(1), pa.array([n for n, _ in done], pa.int64()), pa.array([x for _, x in done], pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "n", "x"])
+
+    found = texts.mapInArrow(bags, "doc_id long, toxic boolean, n long, x array<array<int>>").toArrow().sort_by("doc_id")
+    of = list(zip(found.column("n").to_pylist(), found.column("x").to_pylist(), strict=True))
+    return NoisyOr().fit_bags(features, of, np.array(found.column("toxic").to_pylist(), bool))
 
 
 SCORED = T.StructType(
@@ -229,7 +266,8 @@ def drop_toxic(docs: DataFrame, model: NoisyOr) -> DataFrame:
 
 
 def op7_toxicity_mil(spark, sf_dir):
-    """Contract query: doc_id, held_out, score, predicted; the number of offending sentences is added."""
+    """Contract query: doc_id, held_out, score, predicted; spans of offending sentences are added as start-end, joined by commas."""
     docs = load(spark, sf_dir, "documents")
     out = score_toxicity(docs, train(docs, load(spark, sf_dir, "labels")))
-    return out.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_offending"))
+    places = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_offending"), places.alias("offending"))
