@@ -1,20 +1,23 @@
 """Licence scans: a trained paragraph classifier, an unknown class, and confirmation by templates.
 
 A paragraph is a line of a text, or up to RUN_LINES neighbouring lines without a blank one between them, since
-notices are often wrapped; of overlapping ones the one nearest to a template counts. A multinomial logistic regression over sparse word 1- and 2-grams tells the
-licence families and "none" apart. It is trained here: on the templates below with words dropped, replaced
-and wrapped in other text, and on a bounded sample of corpus paragraphs (PARAGRAPHS of SAMPLE_DOCS
-documents, chosen by hash) that share no word with a licence. Held-back examples calibrate the least probability that a family
-needs, and the least probability of any licence that an unknown one needs. A predicted family is confirmed if
-the paragraph has at least OVERLAP of the word pairs of one of its templates. What is likelier a licence than
-none but is below its family's threshold or not confirmed is of the family "unknown". A paragraph without any
-word pair of a template is not scored.
+notices are often wrapped; of overlapping ones the one nearest to a template counts. A multinomial logistic
+regression over sparse word 1- and 2-grams tells the licence families and "none" apart. It is trained here: on
+the templates below with words dropped, replaced and put in other text; on at most PARAGRAPHS different lines of
+the corpus, chosen by hash, that share no word with a licence; and on short pieces of the templates put in such
+text, as where prose speaks of licences, which are "none" too. Held-back examples calibrate the least
+probability that a family needs, and the least probability of any licence that an unknown one needs. A
+predicted family is confirmed if the paragraph has at least OVERLAP of the word pairs of one of its templates, or
+SHORT_OVERLAP where a template has fewer than SHORT_PAIRS, and at least half of the template's pairs that no other
+family has. What is likelier a licence than none but is below its
+family's threshold or not confirmed is of the family "unknown". A paragraph without any word pair of a template
+is not scored.
 
 Defined results: null, empty and licence-free texts have family null, 0 paragraphs, confidence and overlap 0;
 a document's family is that of its most confident confirmed paragraph, the earlier at ties; without one it is
-that of its most probable unknown paragraph, whose probability is that of any licence; repeated rows
-each get a result; null doc_ids are passed through; an empty table gives an empty result; other columns are
-ignored.
+that of its most probable unknown paragraph, whose probability is that of any licence; very long texts are
+scanned whole; repeated rows each get a result; null doc_ids are passed through; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +33,16 @@ from pyspark.sql import types as T
 from folioscope.llm.common import load
 from folioscope.llm.decontaminate import words_of
 
-SAMPLE_DOCS = 400
+#: Corpus lines that training takes at most, and the longest that it takes.
 PARAGRAPHS = 6000
+LONGEST = 2000
 EXAMPLES = 60
 OVERLAP = 0.6
+SHORT_OVERLAP, SHORT_PAIRS = 0.8, 8
 RUN_LINES = 8
+#: Shares of held-back examples of other classes that may reach a family's threshold, and that of "unknown".
 FALSE_RATE = 0.002
+UNKNOWN_RATE = 0.05
 SEED = 11
 EPOCHS = 60
 
@@ -73,6 +80,19 @@ def variants(words: list[bytes], filler: list[bytes], rng: random.Random, n: int
     return out
 
 
+def mentions(words: list[bytes], other: list[bytes], filler: list[bytes], rng: random.Random, n: int) -> list[list[bytes]]:
+    """Text with a piece of each of two notices, at most a third of their words: prose that speaks of licences."""
+    out = []
+    for _ in range(n):
+        text = rng.choices(filler, k=rng.randrange(1, 6))
+        for notice in (words, other):
+            size = rng.randrange(1, max(2, len(notice) // 3) + 1)
+            at = rng.randrange(max(1, len(notice) - size + 1))
+            text += notice[at : at + size] + rng.choices(filler, k=rng.randrange(1, 6))
+        out.append(text)
+    return out
+
+
 class LicenceModel:
     """Weights of grams by family, the least probability of each family, and the templates' word pairs."""
 
@@ -80,6 +100,8 @@ class LicenceModel:
         self.weights, self.families, self.least = weights, families, least
         self.pairs = {f: [frozenset(zip(w, w[1:], strict=False)) for w in map(words_of, TEMPLATES[f])] for f in families if f != NONE}
         self.all_pairs = frozenset().union(*[p for ps in self.pairs.values() for p in ps])
+        shared = {f: frozenset().union(*[p for g, ps in self.pairs.items() if g != f for p in ps]) for f in self.pairs}
+        self.own_pairs = {f: [t - shared[f] for t in ts] for f, ts in self.pairs.items()}
 
     def __reduce__(self):
         return LicenceModel, (self.weights, self.families, self.least)
@@ -96,6 +118,14 @@ class LicenceModel:
         """The largest share of a template's word pairs that is among the pairs, over the families' templates."""
         return max(len(hits & t) / len(t) for f in families for t in self.pairs[f])
 
+    def confirms(self, hits: set, families: list[str]) -> bool:
+        """Whether the pairs hold enough of a template of one of the families, and of what sets it apart."""
+        return any(
+            len(hits & t) >= (OVERLAP if len(t) >= SHORT_PAIRS else SHORT_OVERLAP) * len(t) and 2 * len(hits & own) >= len(own)
+            for f in families
+            for t, own in zip(self.pairs[f], self.own_pairs[f], strict=True)
+        )
+
     def paragraph(self, words: list[bytes]) -> tuple[str, float, float] | None:
         """(family, probability, overlap) of a confirmed paragraph."""
         own = self.all_pairs.intersection(zip(words, words[1:], strict=False))
@@ -106,8 +136,7 @@ class LicenceModel:
         family = self.families[k]
         if family == NONE or p[k] < self.least[k]:
             return None
-        overlap = self.overlap(own, [family])
-        return (family, float(p[k]), overlap) if overlap >= OVERLAP else None
+        return (family, float(p[k]), self.overlap(own, [family])) if self.confirms(own, [family]) else None
 
     def confirmed(self, lines: list[list[bytes]], hits: list[set]) -> list[tuple[int, int, tuple]]:
         """(first line, last line, result) of confirmed paragraphs that share no line.
@@ -124,7 +153,7 @@ class LicenceModel:
                 own |= hits[j]
                 joined += lines[j]
                 new = hits[j] or (j > i and hits[j - 1])
-                if new and self.overlap(own, self.families[1:]) >= OVERLAP and (r := self.paragraph(joined)):
+                if new and self.confirms(own, self.families[1:]) and (r := self.paragraph(joined)):
                     runs.append((-r[2], j - i, i, r))
         found, taken = [], set()
         for _, more, i, r in sorted(runs):
@@ -174,11 +203,13 @@ def fit(paragraphs: list[list[bytes]], seed: int = SEED, examples: int = EXAMPLE
     families = [NONE, *TEMPLATES]
     marks = {w for ts in TEMPLATES.values() for t in ts for w in words_of(t) if len(w) > 5}
     none = [p for p in paragraphs if p and marks.isdisjoint(p)]
-    filler = [w for p in none for w in p][:20000] or [b"text"]
+    filler = [w for p in none for w in p] or [b"text"]
     rows = [(0, p) for p in none]
+    notices = [words_of(t) for f in families[1:] for t in TEMPLATES[f]]
     for k, f in enumerate(families[1:], 1):
         for t in TEMPLATES[f]:
             rows += [(k, v) for v in variants(words_of(t), filler, rng, examples)]
+            rows += [(0, v) for v in mentions(words_of(t), rng.choice(notices), filler, rng, examples // 2)]
     rng.shuffle(rows)
     cut = len(rows) * 3 // 4
     train, held = rows[:cut], rows[cut:]
@@ -214,17 +245,22 @@ def fit(paragraphs: list[list[bytes]], seed: int = SEED, examples: int = EXAMPLE
     free += [[w for p in free[i : i + RUN_LINES] for w in p] for i in range(0, len(free), RUN_LINES)]
     other = sorted(1 - model.probabilities(w)[0] for w in free if not model.all_pairs.isdisjoint(zip(w, w[1:], strict=False)))
     if other:
-        least[0] = max(0.5, other[min(len(other) - 1, int(len(other) * (1 - FALSE_RATE)))])
+        least[0] = max(0.5, other[min(len(other) - 1, int(len(other) * (1 - UNKNOWN_RATE)))])
     model.least = least
     return model
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> LicenceModel:
-    """Fits on the templates and on the paragraphs of at most ``sample`` documents (the bound is this parameter)."""
-    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()  # documents of at most `sample` ids
-    lines = [words_of(line) for r in sorted((r["doc_id"], r["text"] or "") for r in rows) for line in r[1].split("\n")]
-    return fit([w for w in lines if w][:PARAGRAPHS])
+def train(docs: DataFrame, paragraphs: int = PARAGRAPHS, longest: int = LONGEST) -> LicenceModel:
+    """Fits on the templates and on at most ``paragraphs`` different lines of all documents, chosen by hash, of
+    ``longest`` characters or fewer (the bounds are these parameters)."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).filter((F.trim("line") != "") & (F.length("line") <= longest))
+    n = docs.agg(F.coalesce(F.sum(F.size(F.split("text", "\n"))), F.lit(0)).alias("n")).first()["n"]
+    hashed = lines.withColumn("h", F.xxhash64("line"))
+    share = 2 * paragraphs / max(n, 1)
+    if share < 1:  # about twice the lines that are wanted, before equal ones are brought together
+        hashed = hashed.filter(F.col("h") < F.lit(int(-(2**63) + share * 2**64)))
+    chosen = hashed.distinct().orderBy("h", "line").limit(paragraphs).collect()
+    return fit([w for w in (words_of(r["line"]) for r in chosen) if w])
 
 
 FOUND = T.StructType(
