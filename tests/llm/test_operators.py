@@ -1,19 +1,24 @@
 """Every operator against a brute-force version on rows with nulls, ties, copies, long and empty texts."""
 
 import hashlib
+import math
+import pathlib
 import random
+import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from folioscope.llm import (
     automaton_dedup,
+    common,
     components,
     decontaminate,
     licenses,
@@ -92,8 +97,45 @@ def test_forest_separates_junk_from_prose():
 # --- mixing
 
 
+def light(docs):
+    """What sample_counts takes: a written table with a hash of the text and a row number."""
+    own = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    return common.materialize(own.withColumn("uid", F.monotonically_increasing_id()))
+
+
+@pytest.mark.parametrize("ids", [None, 5])
+def test_one_id_for_all_rows_fills_no_task(spark, ids):
+    """Rows with no id, or all with one, are dealt out evenly and mixed and sharded like any other."""
+    text = F.when(F.col("id") % 3 == 0, F.concat_ws(" ", F.lit("a b"), "id")).otherwise("same text")
+    docs = spark.range(20000).select(F.lit(ids).cast("long").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    order = ["source", "doc_id", "h", "uid"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        common.in_order(light(docs), order)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    folder = pathlib.Path(common._made[-1][1].removeprefix("file://"))
+    per = [pq.read_metadata(f).num_rows for f in folder.glob("*.parquet")]
+    assert len(per) == 4 and max(per) < 2 * 20000 / 4
+    assert mixing.mix_documents(docs).count() == 20000  # one source: its target is its size
+    out = sharding.shard_documents(docs, 7).toPandas()
+    assert out.groupby("shard").size().agg(["min", "max"]).tolist() == [2857, 2858]
+    assert sorted(out.slot[out["shard"] == 0]) == list(range(out[out["shard"] == 0].shape[0]))
+
+
+def test_places_and_sums_in_order(spark):
+    r = random.Random(8)
+    rows = [(r.choice([None, 1, 1, 1, 2]), r.randrange(100), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, v long, i int")
+    got = common.in_order(df, ["k", "v", "i"], ("v",)).orderBy("place").collect()
+    want = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+    assert [(x.k, x.v, x.i) for x in got] == want and [x.place for x in got] == list(range(500))
+    assert [x.before_v for x in got] == [sum(w[1] for w in want[:i]) for i in range(500)]
+    assert common.in_order(df.limit(0), ["k", "v", "i"], ("v",)).count() == 0
+
+
 def test_mix_targets_and_copies(spark, messy, messy_rows, empty):
-    sized = messy.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    sized = light(messy)
     got = mixing.sample_counts(sized, rows_per_bucket=8).toPandas()
     assert len(got) == len(messy_rows)
     total = sum(len((r[1] or "").split()) for r in messy_rows)
@@ -119,7 +161,7 @@ def test_mix_targets_and_copies(spark, messy, messy_rows, empty):
         assert np.allclose(mine.target, target[s])
         assert (mine.copies <= 3).all()
         assert abs((mine["size"] * mine.copies).sum() - target[s]) <= 3 * mine["size"].max()
-    again = mixing.sample_counts(sized.repartition(7), rows_per_bucket=8).toPandas()
+    again = mixing.sample_counts(light(messy.repartition(7)), rows_per_bucket=8).toPandas()
     assert sorted(map(str, got[["doc_id", "size", "copies"]].values.tolist())) == sorted(map(str, again[["doc_id", "size", "copies"]].values.tolist()))
     out = mixing.mix_documents(messy)
     assert out.columns == messy.columns
@@ -149,6 +191,53 @@ def test_shards(spark, messy, messy_rows, empty, law):
     assert sharding.shard_documents(empty, 5, law).count() == 0
 
 
+def test_equal_texts_are_one_stretch_of_the_order(spark, save):
+    rows = [(i, f"text {i % 40}", "en" if i % 2 else "de", f"s{i % 7}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = sharding.shard_documents(docs, 9).toPandas().sort_values(["shard", "slot"])
+    assert out.groupby("text").cell.nunique().max() == 1
+    assert (out.text.to_numpy()[1:] != out.text.to_numpy()[:-1]).sum() == 39
+    got = sharding.op3_hilbert_shards(spark, save(documents=docs)).toPandas()
+    assert (got.groupby("text_crc32")["shard"].nunique() > 1).sum() <= 23
+
+
+def test_cells_follow_the_bins(spark, messy, messy_rows):
+    """The cell of every row by a plain reading of the rule."""
+    out = sharding.shard_documents(messy, 5).toPandas()
+    groups = defaultdict(list)
+    for r in messy_rows:
+        groups[r[1] or ""].append((r[3], r[2]))
+    lead = {t: min(g, key=lambda x: [(v is not None, v or "") for v in x]) if len(g) > 1 else g[0] for t, g in groups.items()}
+    rows = [(*lead[r[1] or ""], math.floor(4 * math.sqrt(math.sqrt(len((r[1] or "").encode()) + 8)))) for r in messy_rows]
+    binned = []
+    for d in range(3):
+        count = Counter(r[d] for r in rows)
+        before, bins = 0, {}
+        for v in sorted(count, key=lambda v: (v is None, v or 0 if d == 2 else v or "")):
+            bins[v] = before * 16 // len(rows)
+            before += count[v]
+        binned.append([bins[r[d]] for r in rows])
+    cell = sharding.hilbert_index(np.array(binned).T, 4)
+    want = Counter((r[0], r[1], int(c)) for r, c in zip(messy_rows, cell))
+    assert Counter((None if pd.isna(i) else int(i), t, c) for i, t, c in zip(out.doc_id, out.text, out.cell)) == want
+
+
+def test_written_shards_prune_files(spark, tmp_path):
+    rows = [(i, f"text {i} " * (i % 50), "en", f"s{i % 40:02d}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sharding.write_shards(sharding.shard_documents(docs, 16), str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("shard=*/*.parquet"))
+    assert len(files) == 16
+    ranges = []
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        at = meta.schema.to_arrow_schema().names.index("source")
+        groups = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+        ranges.append((min(g.min for g in groups), max(g.max for g in groups)))
+    hit = [sum(low <= f"s{k:02d}" <= high for low, high in ranges) for k in range(40)]
+    assert np.mean(hit) < 8  # a source is looked for in less than half of the files
+
+
 def test_hilbert_curve_is_one_path():
     import itertools
 
@@ -332,6 +421,35 @@ def test_toxicity_learns_sentences_from_document_labels(spark, messy, messy_rows
     assert {r.predicted for r in toxicity.score_toxicity(messy, nothing).collect()} == {0}
 
 
+def test_noisy_or_by_brute_force(spark, save):
+    """The scores of the contract query by a plain reading of the model, words of any length, and the offending spans."""
+    rows = [(i, re.sub("you (?:vilename|scumlike|idiotish) thing", "ox", t), y) for i, t, y in toxic_corpus()] + [(900, None, 0), (901, "", 0), (902, "One. ox! two ox; ox.\nno", 1)]
+    path = save(documents=spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), labels=spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in toxicity.op7_toxicity_mil(spark, path).collect()}
+    model = toxicity.train(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+    assert "ox" in model.weights and got[902].predicted == 1 and got[902].offending.startswith("4-7,")
+    for i, text, _ in rows:
+        none = 1.0
+        for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+            words = set(re.sub(r"[^0-9a-z\s]", " ", sentence).split())
+            if sentence.strip():
+                z = model.bias + sum(model.weights.get(f, 0) for w in words for f in [w] + [f"{w[:k]}-" for k in (5, 6, 7) if len(w) > k])
+                none *= 1 - 1 / (1 + math.exp(-z))
+        assert got[i].score == pytest.approx(1 - none, abs=1e-9)
+        assert got[i].predicted == int(1 - none >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_a_repeated_labelled_id_is_one_training_document(spark):
+    rows = toxic_corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lab = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    again = docs.union(docs.filter("doc_id < 20")).union(docs.filter("doc_id < 20"))
+    assert toxicity.train(again, lab).weights == toxicity.train(docs, lab).weights
+    y = np.array([r[2] for r in rows if not toxicity.held_out(r[0])])
+    plain = toxicity.NoisyOr().fit([r[1] for r in rows if not toxicity.held_out(r[0])], y)
+    assert plain.weights == pytest.approx(toxicity.train(docs, lab).weights)
+
+
 def test_labels_of_the_held_out_fold_do_not_matter(spark):
     rows = toxic_corpus()
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
@@ -389,11 +507,44 @@ def test_decontamination_catches_reordered_passages(spark, messy, messy_rows, em
     assert left.columns == messy.columns and left.count() == len(messy_rows)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
     monkeypatch.setattr(decontaminate.blocks, "__defaults__", (10,))
-    assert len(decontaminate.blocks(bench)) > 1
+    assert len(list(decontaminate.blocks(bench))) > 1
     assert rows_of(decontaminate.op8_string_tiling(spark, path), "doc_id", "item_id") == got
     assert decontaminate.contaminated(empty, decontaminate.Items([(1, item)])).count() == 0
 
 
+def test_matches_by_brute_force():
+    """Pairs over the threshold by tiling every document with every item, short items and long repeats among them."""
+    r = random.Random(12)
+    word = lambda: r.choice("abcdefgh") * r.randrange(1, 3)
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 6, 9, 14, 20, 30, 12, 5])] + [(50, "x " * 200), (None, "q r s t u v")]
+    block = decontaminate.Items(items)
+    texts = [None, "", "x " * 3000, "u v q r s t u v"]
+    for _ in range(80):
+        parts = [word() for _ in range(r.randrange(0, 40))]
+        for _ in range(r.randrange(3)):
+            w = r.choice(items)[1].split()
+            parts += w[len(w) // 2 :] + [word()] + w[: len(w) // 2] if r.random() < 0.5 else w
+        texts.append(" ".join(parts))
+    for t in texts:
+        doc = (t or "").split()
+        want = []
+        for i, item in sorted(items, key=lambda x: (x[0] is None, x[0] or 0)):
+            w = item.split()
+            tiles = brute_tiles(w, doc, min(5, len(w))) if t != texts[2] or i == 50 else []
+            if t == texts[2] and i == 50:
+                tiles = [(0, 0, 200)]
+            if sum(x[2] for x in tiles) * 2 >= len(w):
+                want.append((i, tiles))
+        assert [(m[0], m[2]) for m in block.matches(t)] == want
+
+
+def test_short_items_stand_in_a_row(spark, save):
+    docs = spark.createDataFrame([(1, "x Lone, pair y"), (2, "lone x pair"), (3, "solo"), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "lone pair"), (8, "solo"), (8, "solo"), (None, "lone"), (9, "")], "item_id long, text string")
+    got = decontaminate.op8_string_tiling(spark, save(documents=docs, benchmark=bench)).collect()
+    assert sorted((r.doc_id, r.item_id or 0) for r in got) == [(1, 0), (1, 7), (2, 0), (3, 8)]
+
+
 # --- simhash
 
 
@@ -428,6 +579,14 @@ def test_simhash_groups(spark, messy, messy_rows, empty, save):
     assert simhash.near_groups(empty).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows are told apart by their texts, not by their doc_id; missing ids are grouped like others."""
+    rows = [(3, "A a b", "x"), (7, "A a b", "x"), (7, "B c d", "x"), (9, "C e f", "x"), (None, "A a b", "x"), (None, "zz y x", "x"), (None, "zz y x", "x"), (9, "C e f", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert got == sorted([(3, "A a b"), (7, "B c d"), (9, "C e f"), (None, "zz y x")], key=str)
+
+
 def test_vantage_point_tree_finds_all_pairs(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 600, dtype=np.uint64)
@@ -480,6 +639,41 @@ def test_licence_accuracy_on_varied_notices():
     assert np.mean(right) > 0.75 and np.mean(wrong) < 0.05
 
 
+def test_prose_that_speaks_of_licences_is_not_one(spark, save):
+    model = licenses.fit([licenses.words_of(line) for i in range(40) for line in prose(i, 90).split("\n")])
+    assert model.text("They talked about the MIT License debate under the Apache License version rules")[0] in (None, "unknown")
+    filler = [w for i in range(30) for w in licenses.words_of(prose(i + 300, 60))]
+    rng = random.Random(5)
+    notices = [licenses.words_of(t) for ts in licenses.TEMPLATES.values() for t in ts]
+    said = [v for t in notices for v in licenses.mentions(t, rng.choice(notices), filler, rng, 10)]
+    assert np.mean([model.paragraph(v) is not None for v in said]) < 0.02
+
+
+def test_families_outside_the_templates_are_not_taken_for_others(monkeypatch):
+    lines = [licenses.words_of(line) for i in range(40) for line in prose(i, 90).split("\n")]
+    templates = dict(licenses.TEMPLATES)
+    wrong = 0
+    for family in ("apache", "gpl", "lgpl", "cc-by", "cc-by-sa", "cc-by-nc"):
+        monkeypatch.setattr(licenses, "TEMPLATES", {f: t for f, t in templates.items() if f != family})
+        model = licenses.fit(lines, examples=30, epochs=40)
+        wrong += sum(model.text(t)[0] not in (None, "unknown") for t in templates[family])
+    assert wrong <= 1
+
+
+def test_licence_query_by_plain_scoring(spark, save):
+    """Probabilities of the contract query by a plain softmax over the model's weights."""
+    rows = [(1, f"{prose(1, 30)}\nReleased under the MIT License.\n{prose(2, 30)}"), (2, prose(3, 60)), (3, None), (4, "Licensed under CC BY-NC 4.0."), (5, "x " * 20000)]
+    path = save(documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r for r in licenses.op10_license_scan(spark, path).collect()}
+    model = licenses.train(spark.read.parquet(f"{path}/documents.parquet"))
+    assert {i: r.family for i, r in got.items()} == {1: "mit", 2: None, 3: None, 4: "cc-by-nc", 5: None}
+    for i, line in ((1, "released under the mit license"), (4, "licensed under cc by nc 4 0")):
+        w = line.encode().split()
+        z = model.weights[()] + sum(model.weights.get(g, 0) for g in {(x,) for x in w} | set(zip(w, w[1:])))
+        e = np.exp(z - z.max())
+        assert got[i].confidence == pytest.approx((e / e.sum())[model.families.index(got[i].family)], abs=1e-6)
+
+
 def wrap(notice, width):
     return "\n".join(textwrap.wrap(notice, width))
 

@@ -29,7 +29,7 @@ def test_stages_take_effect(spark):
         assert now.columns == columns, name
     assert sorted(r.doc_id for r in now.select("doc_id").collect()) == sorted(left.doc_id)
 
-    sized = spark.createDataFrame(left[["doc_id", "source"]].assign(size=[len(t.encode().split()) for t in left.text]))
+    sized = spark.createDataFrame(left[["doc_id", "source"]].assign(size=[len(t.encode().split()) for t in left.text], h=0, uid=range(len(left))))
     copies = {r.doc_id: r.copies for r in mixing.sample_counts(sized).collect()}
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert out.doc_id.value_counts().to_dict() == {d: c for d, c in copies.items() if c}
@@ -39,6 +39,12 @@ def test_stages_take_effect(spark):
         assert sorted(part.slot) == list(range(len(part)))
 
 
+def test_an_empty_table_goes_through_all_stages(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        load(spark, SF, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registered():
     import __spark_entry__
 
