@@ -8,25 +8,27 @@ common prefix has MIN_LINES lines or more; all but the first start in corpus ord
 union of their MIN_LINES lines is the union of all maximal repeated runs of MIN_LINES lines or more. Later
 copies are deleted.
 
-A run of fewer lines can hold as much text. ``drop_repeated_lines`` therefore also deletes later copies of
-shorter runs of MIN_WORDS words or more, and documents of fewer lines that equal an earlier one as a whole;
-for that it grows the ranks by one line a round, so that no length is left out. The query op5_line_runs
-deletes what OP5_SQL deletes, which knows no rule but MIN_LINES.
+A run of fewer lines can hold as much text. Later copies of shorter runs of MIN_WORDS words or more are therefore
+deleted too, and documents of fewer lines that equal an earlier one as a whole; for that the ranks grow by one
+line a round, so that no length is left out.
 
 A rank's members are never brought together: a pair of ranks is counted with map-side sums and its new rank
 is joined back, which Spark may split where one line is very frequent.
 
 Defined results: a null text has no lines; an empty text has one empty line; lines are compared as they
-are, without a trailing carriage return; null doc_ids come last in corpus order; rows that
-share doc_id and text are one document and lose the same lines; an empty table gives an empty result; other columns are kept by ``drop_repeated_lines``.
+are, without a trailing carriage return; null doc_ids come last in corpus order; rows that share doc_id and text
+are one document and lose the same lines; very long texts take time linear in their lines; an empty table gives
+an empty result; other columns, whatever their names, are kept by ``drop_repeated_lines``.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm.common import load, materialize, word_count
 
@@ -76,7 +78,7 @@ def _later_documents(docs: DataFrame, least: int) -> DataFrame:
     return late.select("did", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
 
 
-def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = None) -> DataFrame:
+def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = MIN_WORDS) -> DataFrame:
     """(did, pos) of lines in later copies of runs of ``least`` lines or more.
 
     With ``words`` also of shorter runs of so many words or more, and of shorter documents that are copies as a whole.
@@ -100,32 +102,46 @@ def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = No
     return reduce(DataFrame.union, found, _late(ranked, least)).distinct()
 
 
-def mark_lines(docs: DataFrame, least: int = MIN_LINES, words: int | None = None) -> DataFrame:
-    """docs with _fs_drop, the numbers of the lines to delete (null where there are none)."""
-    drop = later_copies(docs.select("doc_id", "text"), least, words).groupBy("did").agg(F.collect_list("pos").alias("_fs_drop"))
-    return docs.withColumn("_fs_did", _name()).join(drop.withColumnRenamed("did", "_fs_did"), "_fs_did", "left").drop("_fs_did")
+def removed_runs(docs: DataFrame, least: int = MIN_LINES, words: int | None = MIN_WORDS) -> DataFrame:
+    """doc_id, start and length of the maximal stretches of lines that are deleted."""
+    w = Window.partitionBy("did").orderBy("pos")
+    rows = later_copies(docs.select("doc_id", "text"), least, words).withColumn("run", F.col("pos") - F.row_number().over(w))
+    return rows.groupBy("did", "run").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("length")).select("did.doc_id", "start", "length")
 
 
-def _kept():
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_fs_drop", i))
-    return F.when(F.col("_fs_drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+def mark_lines(docs: DataFrame, least: int = MIN_LINES, words: int | None = MIN_WORDS) -> DataFrame:
+    """row (the columns of docs as a struct) and drop, the numbers of the lines to delete (null where there are none)."""
+    drop = later_copies(docs.select("doc_id", "text"), least, words).groupBy("did").agg(F.collect_list("pos").alias("drop"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _name())
+    return rows.join(drop, "did", "left").select("row", "drop")
+
+
+@F.pandas_udf(T.StringType())
+def _left(text: pd.Series, drop: pd.Series) -> pd.Series:
+    def one(t, d):
+        if t is None or d is None:
+            return t
+        gone = set(d.tolist())
+        return "\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone])
+
+    return pd.Series([one(t, d) for t, d in zip(text, drop, strict=True)], dtype="object")
 
 
 def drop_repeated_lines(docs: DataFrame, least: int = MIN_LINES, words: int | None = MIN_WORDS) -> DataFrame:
     """docs with later copies of repeated line runs and of short documents deleted from text."""
-    marked = mark_lines(docs, least, words).withColumn("_fs_text", _kept())
-    return marked.select(*[F.col("_fs_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    kept = _left("row.text", "drop")
+    return mark_lines(docs, least, words).select(*[kept.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op5_line_runs(spark, sf_dir):
     """doc_id, n_lines, n_removed and kept_sha256 (of the kept lines joined by newlines) of all documents."""
     marked = mark_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    n = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n", -1)))
     return marked.select(
-        "doc_id",
+        "row.doc_id",
         n.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_fs_drop"), F.lit(0)).cast("long").alias("n_removed"),
-        F.sha2(F.coalesce(_kept(), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(_left("row.text", "drop"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
 
@@ -133,14 +149,20 @@ OP5_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
   FROM documents WHERE text IS NOT NULL
+), plain AS (
+  SELECT doc_id, pos, regexp_replace(line, chr(13) || '$', '') AS line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w FROM lines
 ), runs AS (
-  SELECT doc_id, pos, line, lead(pos, {MIN_LINES - 1}) OVER w AS last,
-         {" || chr(10) || ".join(f"lead(regexp_replace(line, chr(13) || '$', ''), {i}) OVER w" for i in range(MIN_LINES))} AS run
-  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT doc_id, pos, line AS r1, w AS w1,
+         {", ".join(f"{' || chr(10) || '.join(['line'] + [f'lead(line, {i}) OVER v' for i in range(1, n)])} AS r{n}, {' + '.join(['w'] + [f'lead(w, {i}) OVER v' for i in range(1, n)])} AS w{n}" for n in range(2, MIN_LINES + 1))}
+  FROM plain WINDOW v AS (PARTITION BY doc_id ORDER BY pos)
 ), numbered AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM runs WHERE last IS NOT NULL
+  {" UNION ALL ".join(f"SELECT doc_id, pos, {n} AS n, row_number() OVER (PARTITION BY r{n} ORDER BY doc_id, pos) AS nth FROM runs WHERE r{n} IS NOT NULL" + (f" AND w{n} >= {MIN_WORDS}" if n < MIN_LINES else "") for n in range(1, MIN_LINES + 1))}
+), whole AS (
+  SELECT doc_id, n, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS nth
+  FROM (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS t FROM plain GROUP BY doc_id HAVING count(*) < {MIN_LINES})
 ), gone AS (
-  SELECT DISTINCT doc_id, pos + i AS pos FROM numbered, (SELECT unnest(range({MIN_LINES})) AS i) WHERE nth > 1
+  SELECT DISTINCT doc_id, pos + i AS pos FROM numbered, (SELECT unnest(range({MIN_LINES})) AS i) WHERE nth > 1 AND i < n
+  UNION SELECT doc_id, i FROM whole, (SELECT unnest(range({MIN_LINES})) AS i) WHERE nth > 1 AND i < n
 ), kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
          coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '') AS kept

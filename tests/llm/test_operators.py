@@ -379,8 +379,42 @@ def test_short_runs_with_many_words_and_whole_documents_go_too(spark, save):
     assert got == dict(rows) | {2: "x2\ny2", 4: "y4", 7: "", 9: ""}
     four = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs, 4).collect()}
     assert four == got
-    query = line_dedup.op5_line_runs(spark, save(documents=docs)).collect()
-    assert {r.n_removed for r in query} == {0}  # OP5_SQL knows runs of MIN_LINES only
+    query = {r.doc_id: r.n_removed for r in line_dedup.op5_line_runs(spark, save(documents=docs)).collect()}
+    assert query == {i: 0 for i, _ in rows} | {2: 1, 4: 2, 7: 2, 9: 2}
+    runs = {(r.doc_id, r.start, r.length) for r in line_dedup.removed_runs(docs).collect()}
+    assert runs == {(2, 1, 1), (4, 0, 2), (7, 0, 2), (9, 0, 2)}
+
+
+def brute_lines(rows):
+    """Texts left by the rule: later copies of runs of three lines, or of 50 words, or of short whole documents."""
+    docs = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None})
+    lines = {d: [x.removesuffix("\r") for x in d[2].split("\n")] for d in docs}
+    seen, gone = set(), defaultdict(set)
+    for d in docs:
+        for p in range(len(lines[d])):
+            for n in (1, 2, 3):
+                run = tuple(lines[d][p : p + n])
+                if len(run) == n and (n == 3 or sum(len(x.encode().split()) for x in run) >= 50):
+                    gone[d] |= set(range(p, p + n)) if run in seen else set()
+                    seen.add(run)
+        if len(lines[d]) < 3:
+            gone[d] |= set(range(len(lines[d]))) if ("whole", *lines[d]) in seen else set()
+            seen.add(("whole", *lines[d]))
+    left = lambda d: "\n".join(x for i, x in enumerate(d[2].split("\n")) if i not in gone[d])
+    return Counter((r[0], None if r[1] is None else left((r[0] is None, r[0] or 0, r[1]))) for r in rows)
+
+
+def test_line_runs_by_brute_force_and_clashing_names(spark, messy, messy_rows):
+    docs = messy.withColumn("drop", F.lit(1)).withColumn("did", F.lit(2)).withColumn("_fs_drop", F.lit(3))
+    got = line_dedup.drop_repeated_lines(docs)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == brute_lines(messy_rows)
+
+
+def test_very_long_texts_of_lines(spark):
+    text = "\n".join(f"line {i}" for i in range(60000))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, f"a\n{text}\nb")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()} == {1: text, 2: "", 3: "a\nb"}
 
 
 # --- toxicity
