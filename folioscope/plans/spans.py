@@ -55,17 +55,25 @@ def _located(spark, sf_dir):
 @query()
 def find_spans(spark, sf_dir):
     """Where passages are in documents, by matching blocks of words."""
-    x = _located(spark, sf_dir).select("doc_id", "item_id", p.find_span()("canvas", "value").alias("x"))
-    return x.select("doc_id", "item_id", "x.start", "x.end", "x.matched", "x.coverage", "x.density")
+    x = _located(spark, sf_dir).select("doc_id", "item_id", p.measure_span("canvas", "value").alias("x"))
+    return x.filter(p.reaches(F.col("x"))).select("doc_id", "item_id", "x.start", "x.end", "x.matched", "x.coverage", "x.density", F.array_join("x.places", " ").alias("places"))
+
+
+#: Steps of the sweep: least coverage and density.
+STEPS = ((0.45, 0.34), (0.45, 0.20), (0.35, 0.20), (0.25, 0.20), (0.15, 0.20))
+
+
+def altered(value):
+    """A passage in which as many of each ten words as item_id % 10 are exchanged for words that stand nowhere."""
+    words = F.split(F.regexp_replace(value, r"\s+", " "), " ")
+    return F.array_join(F.transform(words, lambda w, i: F.when(i % 10 < F.col("item_id") % 10, F.concat(F.lit("qq"), i.cast("string"), F.lit("qq"))).otherwise(w)), " ")
 
 
 @query()
 def span_threshold_sweep(spark, sf_dir):
-    """How many passages are found as thresholds are relaxed."""
-    x = _located(spark, sf_dir)
-    steps = [(0.45, 0.34), (0.45, 0.20), (0.35, 0.20), (0.25, 0.20), (0.15, 0.20)]
-    found = x.select(*[p.find_span(c, d)("canvas", "value")["start"].isNotNull().alias(f"c{i}") for i, (c, d) in enumerate(steps)])
-    return found.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f"c{i}").alias(f"at_{int(c * 100)}_{int(d * 100)}") for i, (c, d) in enumerate(steps)])
+    """How many altered passages are found as thresholds are relaxed. A pair is measured once for all steps."""
+    x = _located(spark, sf_dir).withColumn("value", altered(F.col("value"))).select(p.measure_span("canvas", "value").alias("x"))
+    return x.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(p.reaches(F.col("x"), c, d)).alias(f"at_{round(c * 100)}_{round(d * 100)}") for c, d in STEPS])
 
 
 def labelled(spark, sf_dir):
@@ -74,9 +82,8 @@ def labelled(spark, sf_dir):
     lead = F.substring_index("lead", ".", 4)
     canvas = F.concat_ws(" <lb/>", F.lit("Dergi 2019 10.1234/abc.567"), "h1", F.concat(F.lit("Yazar "), "slug"), F.concat(F.lit("Özet: "), "lead"), F.concat(F.lit("Anahtar Kelimeler: "), lead))
     rows = f.select("id", canvas.alias("canvas"), "title", "lead", "slug")
-    none = F.lit(None).cast("string")
-    spans = p.label("canvas", "title", "lead", "slug", none, F.lit("10.1234/abc.567"), F.lit("2019"))
-    return rows.withColumn("spans", spans)
+    meta = p.known(title=F.col("title"), abstract=F.col("lead"), authors=F.col("slug"), doi=F.lit("10.1234/abc.567"), year=F.lit("2019"))
+    return rows.withColumn("spans", p.label("canvas", meta))
 
 
 def _span_text(field):
@@ -94,9 +101,9 @@ def label_documents(spark, sf_dir):
 @query()
 def label_gate(spark, sf_dir):
     """Gold or the first reason for quarantine, and whether the tagged text without tags is the canvas."""
-    x = labelled(spark, sf_dir)
-    overlap = p.overlap_share(_span_text("author"), F.col("slug"))
-    return x.select("id", p.gate(F.col("spans"), overlap).alias("gate"), F.round(overlap, 6).alias("overlap"), (p.strip_spans(p.apply_spans(F.col("canvas"), F.col("spans"))) == F.col("canvas")).alias("intact"))
+    intact = p.strip_spans(p.apply_spans(F.col("canvas"), F.col("spans"))) == F.col("canvas")
+    x = labelled(spark, sf_dir).withColumns({"overlap": p.overlap_share(_span_text("author"), F.col("slug")), "intact": intact})
+    return x.select("id", p.gate(F.col("spans"), F.col("overlap"), F.col("intact")).alias("gate"), F.round("overlap", 6).alias("overlap"), "intact")
 
 
 @query()
@@ -116,10 +123,13 @@ def resolve_spans(spark, sf_dir):
 
 @query()
 def title_language(spark, sf_dir):
-    """Which of two known titles a span resembles more, by words in common."""
-    x = labelled(spark, sf_dir).select("id", F.split(p.n.glyph_lower(_span_text("title")), r"\s+").alias("w"), F.split(p.n.glyph_lower(F.col("title")), r"\s+").alias("a"), F.split(p.n.glyph_lower(F.col("slug")), r"\s+").alias("b"))
-    tr, en = F.size(F.array_intersect("w", "a")), F.size(F.array_intersect("w", "b"))
-    return x.select("id", F.when(en > tr, "title_en").otherwise("title").alias("field"))
+    """Titles found by shape go to the language whose known title they have more words in common with."""
+    f = page_fields(spark, sf_dir).select("id", "title", "h1", "lead")
+    canvas = F.concat_ws(" <lb/>", "h1", F.concat(F.lit("Özet: "), "lead"), F.lit("Anahtar Kelimeler: bir, iki"))
+    meta = p.known(title=F.concat_ws(" ", F.lit("zzz yyy xxx"), F.substring_index("title", " ", 1)), title_en=F.concat_ws(" ", "h1", F.lit("zzz yyy xxx qqq vvv")))
+    x = f.select("id", p.label(canvas, meta).alias("spans"))
+    own = F.filter("spans", lambda q: q["field"].isin("title", "title_en"))
+    return x.select("id", F.array_join(F.transform(own, lambda q: F.concat_ws(":", q["field"], q["source"])), " ").alias("titles"))
 
 
 @query()
