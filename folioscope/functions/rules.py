@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Frequent words by which Turkish and English texts are told apart.
@@ -83,16 +83,23 @@ def text_layer(text: Column) -> Column:
     return first_of((F.length(F.trim(text)) < 100, "metinsiz"), ((glyphs >= 0.30) | (letters < 0.45), "bozuk_kodlama"), (glyphs >= 0.03, "kismen_bozuk"), otherwise="saglam")
 
 
+#: Where a label and the measured text layer contradict each other.
+LAYER_HINTS = {
+    "empty": "gercekten metinsiz -> taranmis/OCR sinifi",
+    "not-scanned": "taranmis DEGIL: metin katmani var ama kodlamasi bozuk -> bozuk-font",
+    "not-clean": "temiz DEGIL: kodlamasi bozuk -> bozuk-font (kolay katmandan cikarilmali)",
+    "add-flag": "kodlama bozuk -> FLAGS'e bozuk-font eklenmeli",
+    "partly": "kismi glif bozulmasi (govdede); baslik etkilenmiyorsa kolay kalabilir",
+}
+
+
 def layer_hint(primary: Column, layer: Column) -> Column:
-    """Where a label and the measured text layer contradict each other."""
-    return first_of(
-        ((layer == "metinsiz") & ~primary.isin("grobid-crash", "taranmis"), "gercekten metinsiz -> taranmis/OCR sinifi"),
-        ((layer == "bozuk_kodlama") & (primary == "taranmis"), "taranmis DEGIL: metin katmani var ama kodlamasi bozuk -> bozuk-font"),
-        ((layer == "bozuk_kodlama") & (primary == "temiz-tr-taze"), "temiz DEGIL: kodlamasi bozuk -> bozuk-font (kolay katmandan cikarilmali)"),
-        ((layer == "bozuk_kodlama") & (primary != "bozuk-font"), "kodlama bozuk -> FLAGS'e bozuk-font eklenmeli"),
-        ((layer == "kismen_bozuk") & (primary == "temiz-tr-taze"), "kismi glif bozulmasi (govdede); baslik etkilenmiyorsa kolay kalabilir"),
-        otherwise="",
-    )
+    """What a contradiction between a label and the measured text layer suggests; empty without one."""
+    hint = LAYER_HINTS
+    broken = F.when(primary == "taranmis", hint["not-scanned"]).when(primary == "temiz-tr-taze", hint["not-clean"]).when(primary != "bozuk-font", hint["add-flag"])
+    empty = F.when(~primary.isin("grobid-crash", "taranmis"), hint["empty"])
+    partly = F.when(primary == "temiz-tr-taze", hint["partly"])
+    return F.coalesce(F.when(layer == "metinsiz", empty).when(layer == "bozuk_kodlama", broken).when(layer == "kismen_bozuk", partly), F.lit(""))
 
 
 def severity(chars: Column, letters: Column, replaced: Column, anomalies: Column, body: Column, title: Column, abstract: Column, authors: Column, crash: Column, flags: Column) -> Column:
@@ -165,17 +172,19 @@ def taxonomy(lang: Column, ok: Column, chars: Column, letters: Column, pages: Co
     return F.struct(primary.alias("primary"), tier.alias("tier"))
 
 
+#: Marks of the kinds of software that make documents, the first that fits.
+PRODUCERS = {
+    "latex": "latex|pdftex|tex live|dvips|xetex|luatex",
+    "indesign": "indesign|quark",
+    "word": "word|libreoffice|openoffice|writer",
+    "scan": "scan|abbyy|finereader|omnipage|paper capture",
+}
+
+
 def producer_class(producer: Column) -> Column:
-    """The kind of software that made a document."""
+    """The kind of software that made a document; bos if it names none."""
     p = F.lower(producer)
-    return first_of(
-        (p.rlike("latex|pdftex|tex live|dvips|xetex|luatex"), "latex"),
-        (p.rlike("indesign|quark"), "indesign"),
-        (p.rlike("word|libreoffice|openoffice|writer"), "word"),
-        (p.rlike("scan|abbyy|finereader|omnipage|paper capture"), "scan"),
-        (F.trim(p) != "", "other"),
-        otherwise="bos",
-    )
+    return first_of(*[(p.rlike(pattern), kind) for kind, pattern in PRODUCERS.items()], (F.trim(p) != "", "other"), otherwise="bos")
 
 
 def template_imitation(columns: Column, margin_top: Column, title_ratio: Column, title_center: Column, publisher_font: Column, kind: Column, generic_font: Column) -> Column:
@@ -202,3 +211,22 @@ def completeness(**fields: Column) -> Column:
 def first_filled(*columns: Column) -> Column:
     """The first value that is not empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
+
+
+def root_cause(text_chars: Column, output: Column, front: Column, title: Column, least_text: int = 50, least_output: int = 100) -> Column:
+    """The first rung that explains a missing title: no text, no or hardly any output, no front part, a title that is empty."""
+    return first_of(
+        (text_chars < least_text, "no-text"),
+        (output.isNull(), "no-output"),
+        (F.length(F.trim(output)) < least_output, "short-output"),
+        (~front, "no-front"),
+        (F.trim(title) == "", "empty-title"),
+        otherwise="other",
+    )
+
+
+def page_measures(pages: DataFrame, key: str, order: str, text: str, first: int = 3, least: int = 100) -> DataFrame:
+    """key, pages and scanned: whether the first pages hold fewer than ``least`` characters on average."""
+    per = pages.groupBy(key).agg(F.count(F.lit(1)).alias("pages"), F.slice(F.array_sort(F.collect_list(F.struct(order, F.length(text).alias("n")))), 1, first).alias("_p"))
+    total = F.aggregate("_p", F.lit(0), lambda s, x: s + F.coalesce(x["n"], F.lit(0)))
+    return per.select(key, "pages", (total / F.size("_p") < least).alias("scanned"))

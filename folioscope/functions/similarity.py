@@ -72,6 +72,18 @@ def score_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([round(_ratio(x, y, True), 3) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.DoubleType())
+def best_similarity(pred: pd.Series, golds: pd.Series) -> pd.Series:
+    """The best score_similarity of a score-normalised text over alternatives that are filled; null without one, 0
+    without a text. Alternatives that are empty once normalised count 0."""
+
+    def one(p, gs):
+        some = [g for g in (gs if gs is not None else []) if g is not None and g.strip()]
+        return None if not some else max(round(_ratio(p, g, True), 3) for g in some) if p else 0.0
+
+    return pd.Series([one(p, gs) for p, gs in zip(pred, golds, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def reference_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest-match ratio of the first 300 characters of two normalised references."""

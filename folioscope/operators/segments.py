@@ -71,3 +71,29 @@ def misaligned(a: DataFrame, b: DataFrame, key: str, most: int = 20) -> DataFram
     both = numbered(a, "x").join(numbered(b, "y"), [key, "i"], "full_outer")
     bad = both.filter(~F.col("x").eqNullSafe(F.col("y")))
     return bad.groupBy(key).agg(F.count(F.lit(1)).alias("n_bad"), F.slice(F.array_sort(F.collect_list("i")), 1, most).alias("places"))
+
+
+#: The heading that ends a front part; how a running header shows; lengths of the snippets looked for.
+BODY_HEADING = r"^1\.?\s*(?:[Gg][İIiı][Rr][İIiı][ŞSşs]|(?i:INTRODUCTION))(?![\p{L}\p{N}_])"
+LEAST_REPEATS, SHORTEST_HEADER, SNIPPET, TAIL = 3, 8, 40, 15
+
+
+def front_end(docs: DataFrame, key: str, text: str, titles: str, abstracts: str) -> DataFrame:
+    """key, front_end: the line of the first numbered introduction; else the line behind the last hit of a known title
+    (its first five words, where they stand first, outside running headers) or abstract (the beginning of its last six
+    words); else a quarter of the lines, one at least."""
+    rows = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    head = F.trim("line")
+    repeated = rows.filter(F.length(head) > SHORTEST_HEADER).groupBy(key, head.alias("head")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LEAST_REPEATS).select(key, "head", F.lit(True).alias("running"))
+    split = lambda t: F.split(F.trim(t), r"\s+")
+    title_bits = F.transform(F.filter(titles, lambda t: F.size(split(t)) >= 3), lambda t: n.turkish_upper(F.substring(F.array_join(F.slice(split(t), 1, 5), " "), 1, SNIPPET)))
+    tails = F.transform(F.filter(abstracts, lambda t: F.size(split(t)) >= 6), lambda t: F.substring(F.array_join(F.slice(split(t), -6, 6), " "), 1, TAIL))
+    known = docs.select(key, F.size(F.split(text, "\n")).alias("n"), title_bits.alias("bits"), tails.alias("tails"))
+    x = rows.withColumn("head", head).join(repeated, [key, "head"], "left").join(known, key)
+    up = n.turkish_upper(F.col("line"))
+    # for each title the first line that has it: a map from its number to the least position, kept as an array of minima
+    hits = F.transform("bits", lambda b: F.when(F.col("running").isNull() & F.contains(up, b), F.col("pos")))
+    places = x.select(key, "n", "pos", F.when(F.col("head").rlike(BODY_HEADING), F.col("pos")).alias("intro"), F.when(F.exists("tails", lambda t: F.contains("line", t)), F.col("pos")).alias("tail"), F.posexplode_outer(hits).alias("i", "hit"))
+    first = places.groupBy(key, "i").agg(F.min("hit").alias("hit"), F.min("intro").alias("intro"), F.max("tail").alias("tail"), F.first("n").alias("n"))
+    per = first.groupBy(key).agg(F.max("hit").alias("hit"), F.min("intro").alias("intro"), F.max("tail").alias("tail"), F.first("n").alias("n"))
+    return per.select(key, F.coalesce("intro", F.greatest("hit", "tail") + 1, F.greatest(F.lit(1), F.floor(F.col("n") / 4))).cast("int").alias("front_end"))

@@ -59,8 +59,10 @@ def round_robin(rows: DataFrame, group: str, n: int, order: list[Column], rounds
 
 
 def shuffled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows in the order of a seeded hash of the key."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """n rows in an order that a seed shuffles: two steps of a Lehmer generator from an integer key, which any engine
+    repeats."""
+    step = lambda c: F.pmod(c * F.lit(48271).cast("long"), F.lit(2147483647).cast("long"))
+    return rows.orderBy(step(step(F.pmod(F.col(key).cast("long") + F.lit(seed), F.lit(2147483647).cast("long")))), key).limit(n)
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -93,3 +95,25 @@ def islands(rows: DataFrame, partition: list[str], order: str, value: str) -> Da
     marked = rows.withColumn("_new", F.coalesce((F.lag(value).over(w) != F.col(value)) | (F.lag(order).over(w) != F.col(order) - 1), F.lit(True)).cast("int"))
     numbered = marked.withColumn("_run", F.sum("_new").over(w))
     return numbered.groupBy(*partition, "_run").agg(F.first(value).alias(value), F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+
+def complete(rows: DataFrame, *fields: str) -> DataFrame:
+    """Rows in which all the fields are filled. The strict variant names the keywords as well."""
+    return rows.filter(reduce(lambda a, b: a & b, [F.coalesce(F.trim(f), F.lit("")) != "" for f in fields]))
+
+
+def search(rows: DataFrame, term: str, columns: list[str], order: list[Column], page: int, size: int = 50) -> DataFrame:
+    """A page of the rows of which any of the columns holds the term, whatever its case."""
+    hit = reduce(lambda a, b: a | b, [F.coalesce(F.lower(F.col(c).cast("string")).contains(term.lower()), F.lit(False)) for c in columns])
+    return rows.filter(hit).orderBy(*order).offset(page * size).limit(size)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """rows with their place, from 1, in a total order. Rows are dealt out by ranges of the order and sorted in their
+    tasks; only the sizes of the partitions, one row each, are summed in one place."""
+    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_seq", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("_seq", 33)
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_ahead"))
+    out = at.withColumn("_part", part).join(F.broadcast(ahead), "_part")  # one row per partition
+    return out.withColumn(name, F.col("_ahead") + F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_seq", "_ahead")

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import rules as r
+from folioscope.operators.sets import complete
 from folioscope.plans.registry import query, table
 
 
@@ -196,10 +197,36 @@ def first_failing_gate(spark, sf_dir):
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-@query(f"""WITH {_MEASURED} SELECT doc_id, CASE WHEN n_chars < 150 THEN 'no-text' WHEN NOT ok THEN 'no-output' WHEN body < 500 THEN 'short-output' WHEN title < 0.1 THEN 'empty-title' ELSE 'other' END AS cause, n_chars / CAST(pages AS DOUBLE) < 100 AS scanned FROM measured""")
+_CAUSE = "CASE WHEN n_text < 50 THEN 'no-text' WHEN xml IS NULL THEN 'no-output' WHEN length(trim(xml)) < 100 THEN 'short-output' WHEN NOT front THEN 'no-front' WHEN trim(title) = '' THEN 'empty-title' ELSE 'other' END"
+_OUTPUTS = """outputs AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 20 ELSE length(trim(html)) END AS n_text, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 7 = 1 THEN '<x/>' ELSE html END AS xml,
+ contains(html, '<h1') AND page_id % 5 <> 0 AS front, CASE WHEN page_id % 3 = 0 THEN '  ' ELSE regexp_extract(html, '<title[^>]*>([^<]*)', 1) END AS title FROM pages)"""
+
+
+@query(f"WITH {_OUTPUTS}, c AS (SELECT {_CAUSE} AS cause FROM outputs) SELECT cause, count(*) AS n, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share FROM c GROUP BY cause")
 def root_cause(spark, sf_dir):
-    m = measured(spark, sf_dir)
-    return m.select("doc_id", r.first_of((F.col("n_chars") < 150, "no-text"), (~F.col("ok"), "no-output"), (F.col("body") < 500, "short-output"), (F.col("title") < 0.1, "empty-title"), otherwise="other").alias("cause"), (F.col("n_chars") / F.col("pages") < 100).alias("scanned"))
+    """The first rung that explains why a document has no title, and the shares of the rungs."""
+    i, h = F.col("page_id"), F.col("html")
+    x = table(spark, sf_dir, "pages").select(
+        F.when(i % 11 == 0, 20).otherwise(F.length(F.trim(h))).alias("n_text"), F.when(i % 7 == 0, None).when(i % 7 == 1, "<x/>").otherwise(h).alias("xml"),
+        (h.contains("<h1") & (i % 5 != 0)).alias("front"), F.when(i % 3 == 0, "  ").otherwise(F.regexp_extract(h, "<title[^>]*>([^<]*)", 1)).alias("title"),
+    )
+    n = x.groupBy(r.root_cause(*_c("n_text", "xml", "front", "title")).alias("cause")).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+_CONV_PAGES = "per AS (SELECT conv_id, count(*) AS pages, avg(CASE WHEN nth <= 3 THEN length(text) END) < 100 AS scanned FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations) GROUP BY conv_id)"
+
+
+@query(f"WITH {_CONV_PAGES} SELECT conv_id, pages, scanned FROM per")
+def scanned_documents(spark, sf_dir):
+    """Documents, with turns as their pages: number of pages, and whether the first three hold less than 100 characters on average."""
+    return r.page_measures(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query(f"WITH {_CONV_PAGES} SELECT count(*) AS n, count(*) FILTER (WHERE scanned) AS scanned, count(*) FILTER (WHERE pages = 1) AS one_page, round(avg(pages), 6) AS mean_pages, median(pages) AS median_pages FROM per")
+def page_summary(spark, sf_dir):
+    x = scanned_documents(spark, sf_dir)
+    return x.agg(F.count(F.lit(1)).alias("n"), F.count_if("scanned").alias("scanned"), F.count_if(F.col("pages") == 1).alias("one_page"), F.round(F.avg("pages"), 6).alias("mean_pages"), F.median("pages").alias("median_pages"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_acctbal IS NULL THEN 'none' WHEN c_acctbal / 100 >= 70 THEN 'high' WHEN c_acctbal / 100 >= 40 THEN 'medium' ELSE 'low' END AS colour,
@@ -211,9 +238,12 @@ def completeness_and_colour(spark, sf_dir):
     return c.select("c_custkey", r.score_class(F.col("c_acctbal") / 100).alias("colour"), r.completeness(segment=segment, name=name).alias("status"), r.first_filled(name, F.col("c_mktsegment")).alias("title"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_name <> '' AND c_mktsegment <> '' AND c_acctbal > 0")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0")
 def completeness_filter(spark, sf_dir):
-    return table(spark, sf_dir, "customer").filter("c_name <> '' AND c_mktsegment <> '' AND c_acctbal > 0").select("c_custkey", "c_name")
+    """Rows whose name and segment are filled; every third name is blank and every fifth segment missing."""
+    c, i = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    rows = c.select("c_custkey", "c_name", F.when(i % 3 == 0, " ").otherwise(F.col("c_name")).alias("name"), F.when(i % 5 != 0, F.col("c_mktsegment")).alias("segment"))
+    return complete(rows, "name", "segment").select("c_custkey", "c_name")
 
 
 @query("""WITH d AS (SELECT doc_id, text FROM documents), e AS (SELECT unnest(regexp_extract_all(text, '[^\\x00-\\x7Fa-zA-ZçğıöşüÇĞİÖŞÜ]')) AS ch FROM d) SELECT ch, count(*) AS n FROM e GROUP BY ch""")

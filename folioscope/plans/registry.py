@@ -28,15 +28,14 @@ def add(name: str, f: Query, sql: str | None = None) -> None:
     query(sql, name)(f)
 
 
-#: Tables whose rows are long texts, so that work on them is CPU-bound; below this size they are dealt out.
+#: Tables whose rows are long texts, so that work on them is CPU-bound.
 TEXTS = ("documents", "pages", "conversations")
-SMALL_BYTES = 256 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. Texts in a small file are one row group and would be one task, so they are dealt out over
-    the cores; a large input is split by its files and is read in place."""
+    """A driver table. Texts in a single file may be one row group, which is one task, so they are dealt out over the
+    session's shuffle partitions; a table of several files is read in place."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXTS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
+    if name in TEXTS and len(df.inputFiles()) == 1:
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df

@@ -191,7 +191,7 @@ def round_robin_sample(spark, sf_dir):
     return o.round_robin(documents(spark, sf_dir).select("doc_id", "source"), "source", 50, [F.col("doc_id")])
 
 
-@query()
+@query("SELECT doc_id FROM documents ORDER BY ((doc_id + 42) % 2147483647 * 48271 % 2147483647) * 48271 % 2147483647, doc_id LIMIT 100")
 def seeded_sample(spark, sf_dir):
     return o.shuffled(documents(spark, sf_dir).select("doc_id"), "doc_id", 100, 42)
 
@@ -345,7 +345,7 @@ def list_position_order(spark, sf_dir):
 def numeric_then_text_order(spark, sf_dir):
     i = F.col("s_suppkey")
     k = supplier(spark, sf_dir).select(F.when(i % 3 == 0, F.concat(F.lit("PMC"), i.cast("string"))).otherwise(i.cast("string")).alias("id"))
-    return k.withColumn("place", F.row_number().over(Window.orderBy(*o.numeric_first(F.col("id")))))
+    return o.numbered(k, o.numeric_first(F.col("id"))).withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20")
@@ -363,11 +363,13 @@ def argmax_per_group(spark, sf_dir):
     return lineitem(spark, sf_dir).groupBy("l_suppkey").agg(F.max("l_extendedprice").alias("price"), F.max_by("l_partkey", F.col("l_extendedprice") * 1000000 - F.col("l_partkey")).alias("part"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '1') OR contains(lower(c_mktsegment), 'auto') ORDER BY c_name, c_custkey LIMIT 50 OFFSET 50")
+_FIVE = ("p_name", "p_brand", "p_type", "p_partkey", "p_size")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE " + " OR ".join(f"contains(lower(CAST({c} AS VARCHAR)), '1')" for c in _FIVE) + " ORDER BY p_name, p_partkey LIMIT 50 OFFSET 50")
 def search_page(spark, sf_dir):
-    c = customer(spark, sf_dir)
-    hit = F.lower("c_name").contains("1") | F.lower("c_mktsegment").contains("auto")
-    return c.filter(hit).select("c_custkey", "c_name").orderBy("c_name", "c_custkey").offset(50).limit(50)
+    """The second page of a search over five columns."""
+    return o.search(part(spark, sf_dir), "1", list(_FIVE), [F.col("p_name"), F.col("p_partkey")], 1).select("p_partkey", "p_name")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey IN (1, 7, 19) THEN 'fixed' ELSE o_orderstatus END AS status FROM orders""")
