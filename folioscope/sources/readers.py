@@ -172,9 +172,11 @@ def cover_text(markup: Column) -> Column:
 
 
 class RecordSource(DataSource):
-    """Records fetched page by page. One partition per (query, page); offline, a page is a JSON file in a folder.
+    """Records fetched page by page. One partition per (query, page); offline, a page is a JSON file in a folder of any
+    store that pyarrow's file systems reach, so executors need no local copy.
 
-    Options: path (folder with <query>_<page>.json), queries (comma-separated), pages.
+    Options: path (folder or URI with <query>_<page>.json), queries (comma-separated), pages (how many at most). A
+    query ends at its first missing page; a missing page before one that exists is an error.
     """
 
     @classmethod
@@ -203,13 +205,22 @@ class _RecordReader(DataSourceReader):
         return [_Page(q, p) for q in self.queries for p in range(self.pages)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        try:
-            with open(f"{self.path}/{partition.query}_{partition.page}.json", encoding="utf-8") as f:
-                records = json.load(f)
-        except FileNotFoundError:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        there = lambda page: store.get_file_info(f"{root}/{partition.query}_{page}.json").type == fs.FileType.File
+        if not there(partition.page):
+            if any(map(there, range(partition.page + 1, self.pages))):
+                raise FileNotFoundError(f"page {partition.page} of query {partition.query} is missing, but a later one is there")
             return
-        for r in records:
-            yield partition.query, partition.page, json.dumps(r, ensure_ascii=False)
+        with store.open_input_stream(f"{root}/{partition.query}_{partition.page}.json") as f:
+            for r in json.loads(f.read().decode("utf-8")):
+                yield partition.query, partition.page, json.dumps(r, ensure_ascii=False)
+
+
+def lookup(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of a table by key: all lookups of a job as one join. A key that the table lacks gives nulls."""
+    return wanted.select(key).distinct().join(table, key, "left")
 
 
 def list_store(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

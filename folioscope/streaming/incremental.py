@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,7 +33,27 @@ def run_available(spark: SparkSession, source: str, schema: StructType | str, tr
     return len(done)
 
 
-def collect_until(rows: DataFrame, status: str, wanted: str, target: int, order: list[str]) -> DataFrame:
-    """Counts by status over the rows up to the one that fills the target."""
+def collect_until(rows: DataFrame, status: str, wanted: str, target: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first ``target`` rows of the wanted status, and the counts by status over all rows up to the one that fills
+    the target (over all rows if it is not filled): what was tried, and what became of it. The order must be total."""
+    place = F.struct(*order)
     hits = rows.filter(F.col(status) == wanted).orderBy(*order).limit(target)
-    return hits
+    last = hits.agg(F.count(F.lit(1)).alias("_n"), F.max(place).alias("_last"))
+    tried = rows.join(F.broadcast(last)).filter((F.col("_n") < target) | (place <= F.col("_last")))  # one row
+    return hits, tried.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cached(wanted: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Results of compute for the wanted keys, of which those stored under path are not computed again.
+
+    New results are appended to the store; a key that two runs compute at once is stored twice and read once."""
+    spark = wanted.sparkSession
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = None
+    todo = wanted if stored is None else wanted.join(stored.select(key), key, "left_anti")
+    compute(todo).write.mode("append").parquet(path)
+    return spark.read.parquet(path).dropDuplicates([key]).join(wanted.select(key), key, "left_semi")
