@@ -105,3 +105,98 @@ def test_altered_and_short_passages_are_located(spark, tmp_path):
     assert {(r.item_id, r.doc_id) for r in run("find_spans") if r.start is not None} >= {(7, 1), (7, 2)}
     assert {(r.item_id, r.doc_id) for r in run("subsequence_match") if r["first"] is not None} >= {(7, 1), (7, 2), (8, 4), (9, 4)}
     assert run("span_threshold_sweep")[0].n == 4
+    assert run("leakage_intersection")
+
+
+def test_every_source_reads_what_was_written(spark, tmp_path):
+    from folioscope.sources import readers, writers
+
+    gold = spark.createDataFrame([("1", "Baslik", "Tam"), ("2", "", "Eksik:baslik"), ("3", None, "Eksik:baslik")], "id string, gercek_baslik string, durum string")
+    gold.write.parquet(str(tmp_path / "gold"))
+    assert [r.id for r in readers.read_table(spark, str(tmp_path / "gold"), ["id"], "gercek_baslik").collect()] == ["1"]
+    full = readers.align_schema(gold)
+    assert full.columns == list(readers.GOLD_FIELDS) and {r.gercek_doi for r in full.collect()} == {""}
+    wanted = spark.createDataFrame([("1",), ("9",), ("9",)], "id string")
+    assert {(r.id, r.durum) for r in readers.lookup(gold, wanted, "id").collect()} == {("1", "Tam"), ("9", None)}
+    (tmp_path / "old.json").write_text('{"title": "T", "authors": ["A"], "year": "2019"}')
+    (tmp_path / "new.json").write_text('{"titles": ["T", "U"], "abstract": " ", "found": true}')
+    records = readers.gold_alternatives(readers.read_json_documents(spark, str(tmp_path / "*.json"))).collect()
+    assert sorted(r.titles for r in records) == [["T"], ["T", "U"]] and all(r.abstracts == [] for r in records)
+    (tmp_path / "tei").mkdir()
+    (tmp_path / "tei" / "makale_12.xml").write_text("<TEI>\nx</TEI>")
+    assert [tuple(r) for r in readers.read_markup(spark, str(tmp_path / "tei")).collect()] == [("12", "<TEI>\nx</TEI>")]
+    (tmp_path / "f.txt").write_text("tok " + " ".join(f"f{i}" for i in range(12)) + "\nshort f1\n\n")
+    assert [(r.token, len(r.features)) for r in readers.read_features(spark, str(tmp_path / "f.txt")).collect()] == [("tok", 13)]
+    assert [(r.path.rsplit("/", 1)[-1], r.length) for r in readers.list_store(spark, str(tmp_path / "tei"), "*.xml").collect()] == [("makale_12.xml", 13)]
+    writers.write_csv(gold, str(tmp_path / "csv"))
+    back = readers.read_csv(spark, str(tmp_path / "csv"), "id string, gercek_baslik string, durum string")
+    assert {(r.id, r.durum) for r in back.collect()} == {(r.id, r.durum) for r in gold.collect()}
+    writers.write_partitioned(gold, str(tmp_path / "by"), "durum")
+    assert spark.read.parquet(str(tmp_path / "by")).filter("durum = 'Tam'").count() == 1
+    writers.write_normalised_lines(spark.createDataFrame([("a\r\nb",)], "t string"), "t", str(tmp_path / "lf"))
+    assert b"\r" not in b"".join(p.read_bytes() for p in (tmp_path / "lf").glob("part-*"))
+    assert spark.read.parquet(writers.publish(gold, str(tmp_path / "v"), "3")).count() == 3
+
+
+def test_record_pages_of_a_store(spark, tmp_path):
+    from folioscope.sources import readers
+
+    for page in (0, 1, 3):
+        (tmp_path / f"q_{page}.json").write_text(f'[{{"id": {page}}}]')
+    spark.dataSource.register(readers.RecordSource)
+    read = lambda pages: spark.read.format("records").options(path=f"file://{tmp_path}", queries="q,none", pages=pages).load()
+    assert sorted(r.value for r in read("3").collect()) == ['{"id": 0}', '{"id": 1}']
+    with pytest.raises(Exception, match="page 2 of query q is missing"):
+        read("4").collect()
+
+
+def test_a_table_is_installed_and_the_old_one_kept(spark, tmp_path):
+    from folioscope.sources import writers
+
+    path = str(tmp_path / "t")
+    for n in (1, 2, 3):
+        writers.install(spark.range(n), path)
+    assert spark.read.parquet(path).count() == 3 and spark.read.parquet(path + ".backup").count() == 2
+
+
+def test_results_are_computed_once(spark, tmp_path):
+    from folioscope.streaming.incremental import cached
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def compute(todo):
+        seen.add(todo.count())
+        return todo.selectExpr("id", "id * 2 AS twice")
+
+    path = str(tmp_path / "cache")
+    assert cached(spark.range(5), "id", compute, path).count() == 5
+    got = {r.id: r.twice for r in cached(spark.range(3, 8), "id", compute, path).collect()}
+    assert got == {i: 2 * i for i in range(3, 8)} and seen.value == 8
+    assert cached(spark.range(8), "id", compute, path).count() == 8 and seen.value == 8
+
+
+def test_collection_stops_at_the_target(spark):
+    from folioscope.streaming.incremental import collect_until, remaining
+
+    rows = spark.createDataFrame([(i, "ok" if i % 3 == 0 else "bad" if i % 3 == 1 else "none") for i in range(20)], "id int, s string")
+    hits, counts = collect_until(rows, "s", "ok", 3, ["id"])
+    assert sorted(r.id for r in hits.collect()) == [0, 3, 6] and dict(counts.collect()) == {"ok": 3, "bad": 2, "none": 2}
+    assert dict(collect_until(rows, "s", "ok", 50, ["id"])[1].collect()) == {"ok": 7, "bad": 7, "none": 6}
+    assert remaining(rows, rows.filter("id > 2"), "id").count() == 3
+
+
+def test_reports_as_lines(spark):
+    from folioscope.operators.reports import read_reports  # noqa: F401
+    from folioscope.sources import writers
+
+    cols = "id int, tier string, produced boolean, title_ok boolean, title_sim double, merged boolean, recall double, precision double, f1 double, strict_f1 double, authors_ok boolean, abstract_sim double"
+    rows = spark.createDataFrame([(1, "zor", True, True, 0.9, False, 1.0, 1.0, 1.0, 0.5, True, 0.8), (2, "zor", True, False, 0.3, True, 0.0, 0.5, 0.0, 0.0, False, None), (3, "orta", False, False, 0.0, False, None, None, None, None, None, 0.4)], cols)
+    before = spark.createDataFrame([(1, False, True), (2, True, True)], "id int, title_ok boolean, authors_ok boolean")
+    lines = [r.line for r in writers.text_report(rows, ["tier"], before).orderBy("part", "place").collect()]
+    assert lines[0] == "cikti uretti: 2/3" and lines[1].split() == ["TOPLAM", "3", "1", "33%", "0.400"]
+    assert lines[2].split() == ["tier", "zor", "2", "1", "50%", "0.600"] and lines[3].split()[1] == "orta"
+    assert "recall=0.500  precision=0.750  F1=0.500  siki_F1=0.250  cozulen=1/3  hic yazar yok=1" in lines[5]
+    assert lines[6] == "  ort_sim=0.600  >=0.70: 1/2" and sorted(x.split()[1] for x in lines[7:]) == ["both_solved:", "broken:", "broken:", "fixed:"]
+    docs = spark.createDataFrame([(7, "a", ["x", "y"]), (3, None, ["y", "y"])], "id int, title string, flags array<string>")
+    text = [r.line for r in writers.inventory(docs, "id", "flags", ["title"]).orderBy("part", "place").collect()]
+    assert text == ["### x (1): `7`", "### y (2): `3` `7`", "| id | title | labels |", "|---|---|---|", "| 3 |  | y;y |", "| 7 | a | x;y |", "- `y` — 2", "- `x` — 1", "1 flag: 1", "2 flag: 1"]
