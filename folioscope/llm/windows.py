@@ -14,9 +14,10 @@ per batch. A key with more than HOT segments is dealt anew: its windows go out o
 hash, equal ones once per batch. Documents with an equal smaller text are settled by the text's 128-bit hash
 in steps 1 and 2 and send nothing else. Texts are shuffled once, to batches by doc_id, and read from that
 shuffle by steps 1, 3 and 5; a copy takes over what the solver decides for the document that stands for its text.
-64-bit hashes only choose candidates. Segments are named by 128-bit hashes of their tokens (XXH3, which unlike a
-polynomial modulo 2**64 has no known pairs of structured texts that clash); equality of windows is decided by the
-solver.
+64-bit hashes only choose candidates. Segments are the same where 128-bit hashes of their tokens are (XXH3, which
+unlike a polynomial modulo 2**64 has no known pairs of structured texts that clash); batches and buckets each take
+them from the tokens. What is sent is a name of 96 bits, by which a batch knows its own segments again. Equality
+of windows is decided by the solver.
 
 Work is linear in what is sent: replies are sorted by batch once and cut. A key that all batches hold brings one
 entry of 12 bytes per batch into one bucket: 0.2 MB at 30 GB of text, 6 MB at 1 TB, 600 MB at 100 TB, where
@@ -44,7 +45,11 @@ BUCKET_KEYS = 1 << 19
 HOT = 1 << 15
 NO_ID = np.int64(2**63 - 1)
 
+#: Name of a segment: 32 bits of a hash from prefix sums, which finds it, and 64 of its XXH3 hash, which decide.
+NAME = np.dtype([("find", "<u4"), ("sure", "<u8")])
+
 _B = np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.uint64(2**32 - 1)
 _BINV = np.uint64(pow(int(_B), -1, 2**64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -159,12 +164,6 @@ class Batch:
         end = block + self.seg_last + self.rules.width - self.rules.piece
         return (second < len(places)) & (places[np.minimum(second, len(places) - 1)] <= end)
 
-    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """128-bit hashes of stretches of tokens, two words each."""
-        raw, size = memoryview(_bytes(self.tokens)), self.tokens.itemsize
-        of = xxhash.xxh3_128_digest
-        return np.frombuffer(b"".join([of(raw[s:e]) for s, e in zip((start * size).tolist(), (end * size).tolist(), strict=True)]), np.uint64).reshape(-1, 2)
-
     def seg_hash(self, pick=slice(None)) -> np.ndarray:
         start, end = self.seg_start[pick], self.seg_last[pick] + self.rules.width
         return mix(self.hashes.of(start, end) + (end - start).astype(np.uint64))
@@ -174,6 +173,12 @@ def _bytes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def digests(tokens: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit hashes of stretches of tokens, two words each."""
+    raw, size, of = memoryview(_bytes(tokens)), tokens.itemsize, xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([of(raw[s:e]) for s, e in zip((start * size).tolist(), (end * size).tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+
+
 def _fresh(*columns: np.ndarray) -> np.ndarray:
     """Whether a row differs from the one before it in any column."""
     new = np.ones(len(columns[0]), bool)
@@ -316,12 +321,14 @@ def segments(rules: Rules, buckets: int, table: pa.Table, replies: pa.Table) ->
         own = mix(b.hashes.of(each, each + w) + np.uint64(w))
         start, end = np.concatenate([start, each]), np.concatenate([end, each + w])
         doc, route, names = np.concatenate([doc, np.repeat(b.seg_doc[burning], many)]), np.concatenate([route, own]), np.concatenate([names, own])
-    digest = b.digests(start, end)
+    digest = digests(b.tokens, start, end)
     order = np.lexsort((b.ids[doc], digest[:, 1], digest[:, 0]))
     cuts = np.flatnonzero(_fresh(digest[order, 0], digest[order, 1]))
     count = np.diff(np.append(cuts, len(order))).astype(np.int64)
     pick = order[cuts]
-    names = np.column_stack([names, digest])
+    name = np.empty(len(names), NAME)
+    name["find"], name["sure"] = names & _LOW, digest[:, 0]
+    names = name
     bucket = (mix(route[pick]) % np.uint64(buckets)).astype(np.int64)
     sub, labels, borders = _split(bucket)
     rows = []
@@ -338,14 +345,15 @@ def answers(rules: Rules, table: pa.Table) -> pa.Table:
     if table.column("bucket")[0].as_py() < 0:
         return _table([(b, 0, b"", b"", d) for b, d in zip(table.column("batch").to_pylist(), table.column("docs").to_pylist(), strict=True)], ANSWERS)
     batches = table.column("batch").to_numpy()
-    names, sizes = [x.reshape(-1, 3) for x in _join(table, "names", np.uint64)], _join(table, "sizes", np.int64)
+    names, sizes = _join(table, "names", NAME), _join(table, "sizes", np.int64)
     of = np.repeat(np.arange(len(names)), [len(x) for x in names])
     name, size = np.concatenate(names), np.concatenate(sizes)
     doc, count = np.concatenate(_join(table, "docs", np.int64)), np.concatenate(_join(table, "counts", np.int64))
     tokens = np.concatenate(_join(table, "tokens", np.dtype(rules.dtype)))
     end = np.cumsum(size)
-    order = np.lexsort((name[:, 2], name[:, 1]))
-    fresh = _fresh(name[order, 1], name[order, 2])
+    digest = digests(tokens, end - size, end)
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
+    fresh = _fresh(digest[order, 0], digest[order, 1])
     cuts = np.flatnonzero(fresh)
     group = np.empty(len(name), np.int64)
     group[order] = np.cumsum(fresh) - 1
@@ -359,7 +367,7 @@ def answers(rules: Rules, table: pa.Table) -> pa.Table:
     known = known[np.argsort(of[known], kind="stable")]
     n = hi[known] - lo[known]
     pick = np.repeat(lo[known] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    name, ranges, least, of = np.repeat(name[known], n, axis=0), np.column_stack([low[pick], high[pick]]).astype(np.int32), least[pick], np.repeat(of[known], n)
+    name, ranges, least, of = np.repeat(name[known], n), np.column_stack([low[pick], high[pick]]).astype(np.int32), least[pick], np.repeat(of[known], n)
     cut = np.searchsorted(of, np.arange(len(batches) + 1))
     for batch, s, e in zip(batches.tolist(), cut[:-1], cut[1:], strict=True):
         if s < e:
@@ -380,25 +388,24 @@ def covered(rules: Rules, table: pa.Table, replies: pa.Table) -> tuple[Batch, li
     other, stands = _copies(b, np.concatenate(settled) if settled else np.zeros((0, 4), np.int64))
     asked = replies.filter(pa.compute.equal(replies.column("kind"), 1)) if replies.num_rows else replies
     if asked.num_rows:
-        names = np.concatenate(_join(asked, "names", np.uint64)).reshape(-1, 3)
+        names = np.concatenate(_join(asked, "names", NAME))
         ranges = np.concatenate(_join(asked, "ranges", np.int32)).reshape(-1, 2).astype(np.int64)
         least = np.concatenate(_join(asked, "docs", np.int64))
-        order = np.argsort(names[:, 0], kind="stable")
+        order = np.argsort(names["find"], kind="stable")
         names, ranges, least = names[order], ranges[order], least[order]
-        name = np.ascontiguousarray(names[:, 0])
-        whole = mix(b.hashes.all(w) + np.uint64(w))  # single windows of hot keys have their own names
+        name = np.ascontiguousarray(names["find"])
+        whole = (mix(b.hashes.all(w) + np.uint64(w)) & _LOW).astype(np.uint32)  # single windows of hot keys have their own names
         windows = np.flatnonzero(b.valid & np.isin(whole[: len(b.valid)], name))
         starts = np.concatenate([b.seg_start, windows])
         docs = np.concatenate([b.seg_doc, np.searchsorted(b.ends, windows, "right")])
-        own = np.concatenate([b.seg_hash(), whole[windows]])
+        own = np.concatenate([(b.seg_hash() & _LOW).astype(np.uint32), whole[windows]])
         lo, hi = np.searchsorted(name, own, "left"), np.searchsorted(name, own, "right")
         n = hi - lo
         pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         start, doc = np.repeat(starts, n), np.repeat(docs, n)
-        found = np.flatnonzero(n)  # a 64-bit name only finds a stretch; the 128-bit name decides
+        found = np.flatnonzero(n)
         length = np.concatenate([b.seg_last + w - b.seg_start, np.full(len(windows), w)])[found]
-        digest = np.repeat(b.digests(starts[found], starts[found] + length), n[found], axis=0)
-        use = (digest == names[pick, 1:]).all(axis=1)
+        use = np.repeat(digests(b.tokens, starts[found], starts[found] + length)[:, 0], n[found]) == names["sure"][pick]
         if rules.ordered:
             use &= least[pick] < b.ids[doc]
         np.add.at(marks, start[use] + ranges[pick[use], 0], 1)

@@ -305,6 +305,15 @@ def test_suffix_dedup_hot_keys_and_small_batches(spark, messy, messy_rows, save,
     assert rows_of(automaton_dedup.op6_automaton_dedup(spark, path), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(messy_rows)
 
 
+def test_structured_texts_are_not_taken_for_each_other(spark, save):
+    """Thue-Morse stretches, whose polynomial hashes modulo 2**64 are equal, beside real copies of each."""
+    morse = np.array([bin(i).count("1") % 2 for i in range(2048)])
+    a, b = ("".join("ab"[x ^ y] for x in morse.tolist()) for y in (0, 1))
+    rows = [(1, a), (2, b), (3, prose(50, 40) + a[:700]), (4, prose(51, 40) + b[:700]), (5, "q" * 400)]
+    path = save(documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(suffix_dedup.op4_suffix_dedup(spark, path), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows)
+
+
 # --- suffix automaton
 
 
