@@ -22,27 +22,37 @@ def _canvas():
 SEED_WORDS = 5
 
 
-def _seeds(t, key, text):
-    """key and SEED_WORDS words (w0, w1, ...) from every place of a text; words in lower case, without marks and punctuation."""
+#: At most so many passage seeds (some 16 MB of numbers) are sent to every executor; more are joined by a shuffle.
+BROADCAST_SEEDS = 1 << 20
+
+
+def _words(t, key, text):
+    """key and hashes h of the words of a text, in lower case, without marks and punctuation; texts without a word are left out."""
     plain = F.regexp_replace(F.translate(n.glyph_lower(F.col(text)), *n.TURKISH_FOLD), r"[^\p{L}\p{N}_\s]+", "")
-    w = t.select(key, F.filter(F.split(plain, r"\s+"), lambda x: x != "").alias("w"))
-    grams = F.arrays_zip(*[F.slice("w", i + 1, F.size("w")).alias(f"w{i}") for i in range(SEED_WORDS)])
-    return w.filter(F.size("w") > 0).select(key, F.least(F.size("w"), F.lit(SEED_WORDS)).alias("k"), F.explode(F.array_distinct(grams)).alias("x")).select(key, "k", "x.*")
+    words = F.filter(F.split(plain, r"\s+"), lambda x: x != "")
+    return t.select(key, F.transform(words, lambda x: F.xxhash64(x)).alias("h")).filter(F.size("h") > 0)
+
+
+def _seeds(k):
+    """Hashes of all k consecutive words. Texts of one hash are only candidates, so a clash costs a comparison."""
+    starts = F.size("h") - (k - 1)
+    runs = F.arrays_zip(*[F.slice("h", i + 1, F.greatest(starts, F.lit(0))).alias(f"h{i}") for i in range(k)])
+    return F.transform(runs, lambda x: F.xxhash64(F.lit(k), x))
 
 
 def candidates(spark, sf_dir):
     """item_id, doc_id where a document may hold a passage, altered or not: they share SEED_WORDS consecutive words, or
     all words of a shorter passage, or the passage stands there as it is."""
+    b = _words(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("k", F.least(F.size("h"), F.lit(SEED_WORDS)))
+    by_length = F.coalesce(*[F.when(F.col("k") == k, _seeds(k)) for k in range(1, SEED_WORDS + 1)])
+    items = b.select("item_id", "k", F.explode(F.array_distinct(by_length)).alias("seed"))
+    counts = {r["k"]: r["n"] for r in items.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     pairs = leakage_intersection(spark, sf_dir)
-    d, b = _seeds(table(spark, sf_dir, "documents"), "doc_id", "text"), _seeds(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    words = [f"w{i}" for i in range(SEED_WORDS)]
-    whole = b.filter(F.col(words[-1]).isNotNull()).drop("k")
-    pairs = pairs.union(d.drop("k").join(whole, words).select("item_id", "doc_id"))
-    short = b.filter((F.col("k") < SEED_WORDS) & F.col(f"w{SEED_WORDS - 1}").isNull())
-    for k in range(1, SEED_WORDS):
-        own = short.filter((F.col("k") == k) & F.col(words[k - 1]).isNotNull()).select("item_id", *words[:k])
-        if not own.isEmpty():
-            pairs = pairs.union(d.join(own, words[:k]).select("item_id", "doc_id"))
+    if counts:
+        seeds = F.array_distinct(F.flatten(F.array(*[_seeds(k) for k in sorted(counts)])))
+        d = _words(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.explode(seeds).alias("seed"))
+        items = items.drop("k")
+        pairs = pairs.union(d.join(F.broadcast(items) if sum(counts.values()) <= BROADCAST_SEEDS else items, "seed").select("item_id", "doc_id"))
     return pairs.distinct()
 
 

@@ -108,6 +108,29 @@ def test_altered_and_short_passages_are_located(spark, tmp_path):
     assert run("leakage_intersection")
 
 
+@pytest.mark.parametrize("bound", [0, 1 << 20])
+def test_candidates_share_five_words_or_all_of_a_shorter_passage(spark, tmp_path, monkeypatch, bound):
+    import random
+
+    from folioscope.plans import spans
+
+    monkeypatch.setattr(spans, "BROADCAST_SEEDS", bound)  # both ways of joining
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(["bir", "iki", "dort"]) for _ in range(n))
+    docs = [(i, text(rng.choice([0, 1, 2, 4, 5, 9, 40]))) for i in range(60)] + [(60, None), (61, "... --"), (62, " ")]
+    items = [(i, text(n)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 12, 20, 5, 4])] + [(50, None), (51, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def runs(t, k):
+        w = (t or "").split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+    want = {(j, i) for j, b in items for i, d in docs if d is not None and b is not None and (b in d or runs(b, k := min(5, len(b.split()) or 1)) & runs(d, k))}
+    got = [tuple(r) for r in spans.candidates(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_every_source_reads_what_was_written(spark, tmp_path):
     from folioscope.sources import readers, writers
 
