@@ -8,8 +8,10 @@ distance 2 whose sides differ are then together on the right. Leaves are shards;
 recursion goes on in memory down to small blocks, which are compared in full. A shard gives a spanning forest
 of its links, never all pairs, and the links are closed to components by shuffles.
 
-The layout has at most SAMPLE / 16 leaves, so beyond about 30 million distinct fingerprints a leaf grows with
-them; it is eight bytes a point in one task, which splits it on down to blocks.
+Guests make copies: of random fingerprints each goes to 3.5 leaves at 256,000, 6.5 at 1.3 million, 15 at 13
+million (29,513 leaves of 6,519 points) and 20 from 33 million on, where the sample is used up (87,496 leaves);
+beyond that a leaf grows with the input, one point for each 4,400. It is eight bytes a point in one task, which
+splits it on down to blocks. The layout is made on the driver, in 8 s at 13 million and 27 s at most.
 
 Defined results: null, empty and wordless texts have fingerprint zero and are linked like any other; a null
 doc_id gets the component of its fingerprint's group and is never its name, unless the group has no other;
