@@ -1,24 +1,28 @@
 """Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
 
 The corpus is the sequence of lines of all documents in the order of (doc_id, line number); no match crosses
-documents. Round h knows the rank of every line start by its first h lines; ranks of 2h lines come from
-sorting pairs of ranks h lines apart. Starts whose rank nobody shares leave the race, so each round sorts
-only what still repeats. Starts of one rank after MIN_LINES lines are an interval of the suffix array whose
-common prefix has MIN_LINES lines or more; all but the first start in corpus order are later copies, and the
-union of their MIN_LINES lines is the union of all maximal repeated runs of MIN_LINES lines or more. Later
-copies are deleted.
+documents. A round knows the rank of every line start by its first h lines; ranks of 2h lines come from sorting
+pairs of ranks h lines apart. Starts whose rank nobody shares leave the race, so each round sorts only what still
+repeats, and doubling goes on until no rank is shared.
+
+Starts of one rank after h lines are an interval of the suffix array whose common prefix has h lines or more. A start
+that is not the first of its interval in corpus order is a later copy. Of its last such interval the first start is
+its source, and the length of their common prefix is made up of the ranks of the rounds, the longest first: one lookup
+a round for the copy and one for the source. These runs end where the two texts part; a run that lies inside the run
+of the line before, with the same source, is left out. Later copies of runs of MIN_LINES lines or more are deleted.
 
 A run of fewer lines can hold as much text. Later copies of shorter runs of MIN_WORDS words or more are therefore
-deleted too, and documents of fewer lines that equal an earlier one as a whole; for that the ranks grow by one
-line a round, so that no length is left out.
+deleted too, and documents of fewer lines that equal an earlier one as a whole; for that the first ranks grow by one
+line a round, so that no length below MIN_LINES is left out.
 
 A rank's members are never brought together: a pair of ranks is counted with map-side sums and its new rank
-is joined back, which Spark may split where one line is very frequent.
+is joined back, which Spark may split where one line, or the source of many copies, is very frequent.
 
 Defined results: a null text has no lines; an empty text has one empty line; lines are compared as they
 are, without a trailing carriage return; null doc_ids come last in corpus order; rows that share doc_id and text
-are one document and lose the same lines; very long texts take time linear in their lines; an empty table gives
-an empty result; other columns, whatever their names, are kept by ``drop_repeated_lines``.
+are one document and lose the same lines; very long texts take time linear in their lines, times the logarithm of the
+longest repeated run; an empty table gives an empty result; other columns, whatever their names, are kept by
+``drop_repeated_lines``.
 """
 
 from __future__ import annotations
@@ -63,55 +67,115 @@ def _rank(starts: DataFrame) -> DataFrame:
     return materialize(starts.join(pairs, ["a", "b"]).drop("a", "b"))
 
 
-def _late(ranked: DataFrame, length: int) -> DataFrame:
-    """(did, pos) of the lines of ranked runs that are not the first of their rank."""
-    late = ranked.filter((F.col("first.did") != F.col("did")) | (F.col("first.pos") != F.col("pos")))
-    return late.select("did", F.explode(F.sequence("pos", F.col("pos") + (length - 1))).alias("pos"))
+def _not_first():
+    return (F.col("first.did") != F.col("did")) | (F.col("first.pos") != F.col("pos"))
+
+
+def _mates(ranked: DataFrame, name: str, *more: str) -> DataFrame:
+    """did, pos and rank (as ``name``) of each start once; repeated rows have one mate."""
+    return ranked.groupBy("did", "pos").agg(F.min("rank").alias(name), *[F.min(c).alias(f"{c}_next") for c in more])
+
+
+def _join_ranks(ranked: DataFrame, mate: DataFrame, at: int, sized: bool) -> DataFrame:
+    """The ranks of runs that are a run of ``ranked`` and, ``at`` lines on, one of ``mate``."""
+    w = ["w"] if sized else []
+    mate = _mates(mate, "b", *w).withColumn("pos", F.col("pos") - at)
+    pairs = ranked.select("did", "pos", F.col("rank").alias("a"), *w).join(mate, ["did", "pos"])
+    return _rank(pairs.withColumn("w", F.col("w") + F.col("w_next")).drop("w_next") if sized else pairs)
+
+
+def _ranks(docs: DataFrame, least: int, sized: bool) -> dict[int, DataFrame]:
+    """Length -> the starts whose run of so many lines repeats, with rank and first; up to the last that any repeats.
+
+    Below ``least`` the length grows by one line a round if ``sized``, and doubles otherwise.
+    """
+    ranks = {1: _rank(line_table(docs, sized))}
+    have = 1
+    while have < least:
+        step = 1 if sized else min(have, least - have)
+        mate, at = (ranks[1], have) if sized else (ranks[have], step)
+        ranks[have + step] = _join_ranks(ranks[have], mate, at, sized)
+        have += step
+    while not (top := ranks[have]).isEmpty():
+        ranks[2 * have] = _join_ranks(top.drop("w"), top, have, False)
+        have *= 2
+    del ranks[have]
+    return ranks
+
+
+def _runs(ranks: dict[int, DataFrame], least: int) -> DataFrame | None:
+    """did, pos, n (lines) and first of later copies of ``least`` lines or more; None if there are none."""
+    long = [h for h in ranks if h >= least]
+    if not long:
+        return None
+    late = [ranks[h].filter(_not_first()).select("did", "pos", F.struct(F.lit(h).alias("n"), "first").alias("of")) for h in long]
+    late = reduce(DataFrame.union, late).groupBy("did", "pos").agg(F.max("of").alias("of"))
+    before = F.lag(F.struct("pos", "of.first")).over(Window.partitionBy("did").orderBy("pos"))
+    inside = (F.col("before.pos") == F.col("pos") - 1) & (F.col("before.first.did") == F.col("of.first.did")) & (F.col("before.first.pos") == F.col("of.first.pos") - 1)
+    runs = late.withColumn("before", before).filter(~F.coalesce(inside, F.lit(False)))
+    runs = materialize(runs.select("did", "pos", "of.n", F.col("of.first.did").alias("from"), F.col("of.first.pos").alias("start")))
+    for i, h in enumerate(sorted(ranks, reverse=True)[1:], 1):  # no common prefix is twice the last interval's length
+        mate = _mates(ranks[h], "r")
+        mine = mate.select("did", F.col("pos").alias("at"), F.col("r").alias("r1"))
+        theirs = mate.select(F.col("did").alias("from"), F.col("pos").alias("there"), F.col("r").alias("r2"))
+        runs = runs.withColumn("at", F.col("pos") + F.col("n")).withColumn("there", F.col("start") + F.col("n"))
+        runs = runs.join(mine, ["did", "at"], "left").join(theirs, ["from", "there"], "left")
+        longer = F.col("n") + F.when(F.col("r1") == F.col("r2"), h).otherwise(0)
+        runs = runs.select("did", "pos", longer.alias("n"), "from", "start")
+        runs = materialize(runs) if i % 4 == 0 else runs
+    return materialize(runs)
 
 
 def _later_documents(docs: DataFrame, least: int) -> DataFrame:
-    """(did, pos) of the lines of documents of fewer than ``least`` lines that equal an earlier document."""
+    """did, pos (0) and n (lines) of documents of fewer than ``least`` lines that equal an earlier document."""
     short = docs.filter("text IS NOT NULL").select(_name(), _lines().alias("l")).filter(F.size("l") < least)
     short = short.select("did", F.size("l").alias("n"), F.xxhash64("l").alias("a"), F.xxhash64(F.lit(1), "l").alias("b"))
     first = short.groupBy("n", "a", "b").agg(F.min("did").alias("first"))
-    late = short.join(first, ["n", "a", "b"]).filter("first <> did")
-    return late.select("did", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
+    return short.join(first, ["n", "a", "b"]).filter("first <> did").select("did", F.lit(0).alias("pos"), "n")
+
+
+def _no_runs(docs: DataFrame) -> DataFrame:
+    return docs.limit(0).select(_name(), F.lit(0).alias("pos"), F.lit(0).alias("n"), _name().alias("from"), F.lit(0).alias("start"))
 
 
 def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = MIN_WORDS) -> DataFrame:
-    """(did, pos) of lines in later copies of runs of ``least`` lines or more.
+    """did, start and length of the maximal stretches of lines that later copies of runs of ``least`` lines or more cover.
 
     With ``words`` also of shorter runs of so many words or more, and of shorter documents that are copies as a whole.
+    Runs may overlap by nearly all their lines (one line many times in a row), so they are merged before any line is named.
     """
-    sized = ["w"] if words is not None else []
-    ranked = ones = _rank(line_table(docs, words is not None))
-    found = [_later_documents(docs, least)] if sized else []
-    have = 1
-    while have < least:
-        if sized:  # one line a round, as each length counts; otherwise the length doubles
-            found.append(_late(ranked.filter(F.col("w") >= words), have))
-            step, at, mate = 1, have, ones
-        else:
-            step = at = min(have, least - have)
-            mate = ranked
-        mate = mate.select("did", (F.col("pos") - at).alias("pos"), F.col("rank").alias("b"), *[F.col(c).alias("more") for c in sized])
-        mate = mate.groupBy("did", "pos").agg(F.min("b").alias("b"), *[F.min("more").alias("more") for _ in sized])  # repeated rows have one mate
-        pairs = ranked.select("did", "pos", F.col("rank").alias("a"), *sized).join(mate, ["did", "pos"])
-        ranked = _rank(pairs.withColumn("w", F.col("w") + F.col("more")).drop("more") if sized else pairs)
-        have += step
-    return reduce(DataFrame.union, found, _late(ranked, least)).distinct()
+    sized = words is not None
+    ranks = _ranks(docs, least, sized)
+    runs = _runs(ranks, least)
+    found = [(_no_runs(docs) if runs is None else runs).select("did", "pos", "n")]
+    if sized:
+        found += [_later_documents(docs, least)]
+        found += [ranked.filter(_not_first() & (F.col("w") >= words)).select("did", "pos", F.lit(h).alias("n")) for h, ranked in ranks.items() if h < least]
+    w = Window.partitionBy("did").orderBy("pos")
+    ends = F.max(F.col("pos") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = reduce(DataFrame.union, found).groupBy("did", "pos").agg(F.max("n").alias("n"))
+    rows = rows.withColumn("new", F.coalesce(F.col("pos") > ends, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
+    rows = rows.groupBy("did", "run").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("n")).alias("end"))
+    return rows.select("did", "start", (F.col("end") - F.col("start")).alias("length"))
+
+
+def repeated_runs(docs: DataFrame, least: int = MIN_LINES) -> DataFrame:
+    """Later copies of runs of ``least`` lines or more: doc_id, start, length, and first_doc_id, first_start of their source."""
+    docs = docs.select("doc_id", "text")
+    runs = _runs(_ranks(docs, least, False), least)
+    runs = _no_runs(docs) if runs is None else runs
+    return runs.select("did.doc_id", F.col("pos").alias("start"), F.col("n").alias("length"), F.col("from.doc_id").alias("first_doc_id"), F.col("start").alias("first_start"))
 
 
 def removed_runs(docs: DataFrame, least: int = MIN_LINES, words: int | None = MIN_WORDS) -> DataFrame:
     """doc_id, start and length of the maximal stretches of lines that are deleted."""
-    w = Window.partitionBy("did").orderBy("pos")
-    rows = later_copies(docs.select("doc_id", "text"), least, words).withColumn("run", F.col("pos") - F.row_number().over(w))
-    return rows.groupBy("did", "run").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("length")).select("did.doc_id", "start", "length")
+    return later_copies(docs.select("doc_id", "text"), least, words).select("did.doc_id", "start", "length")
 
 
 def mark_lines(docs: DataFrame, least: int = MIN_LINES, words: int | None = MIN_WORDS) -> DataFrame:
     """row (the columns of docs as a struct) and drop, the numbers of the lines to delete (null where there are none)."""
-    drop = later_copies(docs.select("doc_id", "text"), least, words).groupBy("did").agg(F.collect_list("pos").alias("drop"))
+    lines = F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("length") - 1)))
+    drop = later_copies(docs.select("doc_id", "text"), least, words).groupBy("did").agg(lines.alias("drop"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _name())
     return rows.join(drop, "did", "left").select("row", "drop")
 

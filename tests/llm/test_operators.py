@@ -420,6 +420,45 @@ def test_line_runs_by_brute_force_and_clashing_names(spark, messy, messy_rows):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == brute_lines(messy_rows)
 
 
+@pytest.mark.parametrize("least", [3, 7])
+def test_repeated_runs_by_brute_force(spark, least):
+    r = random.Random(least)
+    block = [f"s{i}" for i in range(23)]
+    texts = [[r.choice("abc") for _ in range(r.randrange(30))] + block[r.randrange(9) : r.randrange(9, 24)] + [f"u{d}"] for d in range(25)]
+    texts += [block * 2, block * 2, ["a"] * 40, ["only", "here"]]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+
+    def common(d, p, e, q):
+        n = 0
+        while p + n < len(texts[d]) and q + n < len(texts[e]) and texts[d][p + n] == texts[e][q + n]:
+            n += 1
+        return n
+
+    texts = ["\n".join(t).split("\n") for t in texts]
+    starts = [(d, p) for d, t in enumerate(texts) for p in range(len(t))]
+    best = {s: max((common(*s, *e) for e in starts if e < s), default=0) for s in starts}
+    runs = line_dedup.repeated_runs(docs, least).collect()
+    covered = set()
+    for x in runs:
+        assert (x.first_doc_id, x.first_start) < (x.doc_id, x.start)
+        assert x.length == common(x.doc_id, x.start, x.first_doc_id, x.first_start) >= least
+        assert x.length <= best[x.doc_id, x.start] < 2 * x.length  # its source is first in the last interval
+        covered |= {(x.doc_id, x.start + i) for i in range(x.length)}
+    assert covered == {(d, p + i) for (d, p), n in best.items() if n >= least for i in range(n)}
+    stretches = line_dedup.removed_runs(docs, least, None).collect()
+    assert {(x.doc_id, x.start + i) for x in stretches for i in range(x.length)} == covered
+    assert sum(x.length for x in stretches) == len(covered)
+    assert all((x.doc_id, x.start + x.length) not in covered for x in stretches)
+
+
+def test_one_line_many_times_in_a_row(spark):
+    docs = spark.createDataFrame([(1, "\n" * 4999), (2, "\n" * 4999), (3, "a\n\nb")], "doc_id long, text string")
+    got = line_dedup.drop_repeated_lines(docs).collect()
+    assert {r.doc_id: r.text for r in got} == {1: "", 2: "", 3: "a\n\nb"}
+    runs = {(r.doc_id, r.start, r.length) for r in line_dedup.removed_runs(docs).collect()}
+    assert runs == {(1, 1, 4999), (2, 0, 5000)}
+
+
 def test_very_long_texts_of_lines(spark):
     text = "\n".join(f"line {i}" for i in range(60000))
     docs = spark.createDataFrame([(1, text), (2, text), (3, f"a\n{text}\nb")], "doc_id long, text string")
