@@ -1,36 +1,36 @@
 """Quality rules: an isolation forest on rule statistics, its threshold calibrated from labelled rows.
 
-One pass over the texts makes the statistics of every document. The forest is grown on a bounded sample of
-labelled documents (SAMPLE rows, chosen by hash): each tree splits TREE_ROWS of them at random values of
-random statistics. A document's anomaly score is 2 ** (-mean path length / expected path length). One document
-in CALIBRATION_FOLDS of the sample is held out from the forest. The threshold is the score that best separates
-the labels of these, among those that keep at least KEEP_GOOD of their good documents. A document is kept if
-it passes the base rules and its score is below.
+One pass over the texts makes the statistics of every document. The forest is grown from every document that
+passes the base rules, labelled or not, as those are what it will judge. Each is dealt to one of TREES trees by
+a hash of its values (to more where a tree would get fewer than TREE_ROWS). All trees grow together, level by
+level: the rows give the number and the bounds of each node in one pass, and the driver cuts every node at a
+random value of a random statistic, DEPTH levels deep. A document's anomaly score is 2 ** (-mean path length /
+expected path length). The threshold is the score that best separates the labels, among those that keep at least
+KEEP_GOOD of the good documents. It counts every labelled document that passes the base rules, scored by the
+trees it was not dealt to. A document is kept if it passes the base rules and its score is below.
 
 Defined results: a null or empty text has no words and fails the base rules; null doc_ids are passed
-through; repeated rows each get a result, and a repeated doc_id counts once in the sample, by its least
-statistics; without labelled rows of both kinds no document is anomalous; an empty table gives an empty
-result. Very long texts are handled whole; other columns are ignored.
+through and take part in the forest; repeated rows each get a result, and a repeated doc_id counts once for the
+threshold, by its least statistics; without labelled rows of both kinds no document is anomalous; an empty table
+gives an empty result. Very long texts are handled whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import load, materialize
+from folioscope.llm.common import in_order, load, materialize
 
-SAMPLE = 8192
 TREES = 100
 TREE_ROWS = 64
+DEPTH = 6
 KEEP_GOOD = 0.99
-CALIBRATION_FOLDS = 3
 SEED = 7
 MIN_WORDS = 50
 
@@ -100,57 +100,92 @@ def features(stats: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([x["n_symbols"] / words, x["word_chars"] / words, x["n_distinct"] / words], axis=1)
 
 
-def expected_path(n: int) -> float:
-    """Mean path length of an unsuccessful search among n rows."""
-    return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
+def expected_path(n: np.ndarray) -> np.ndarray:
+    """Mean path length of an unsuccessful search among n rows, which may be a fraction."""
+    n = np.asarray(n, float)
+    m = np.maximum(n, 2)
+    return np.where(n < 2, np.maximum(n - 1, 0.0), np.maximum(1.0, 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m))
 
 
 class Forest:
-    """Trees as arrays: node i has feature[i] (-1 in a leaf), cut[i], children 2i+1 and 2i+2, depth value[i]."""
-
-    def __init__(self, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        rows = min(rows, len(x))
-        self.depth = max(1, math.ceil(math.log2(max(rows, 2))))
-        self.norm = expected_path(rows) or 1.0
-        size = 2 ** (self.depth + 1) - 1
+    """Trees as arrays: node i has feature[i] (-1 in a leaf), cut[i], children 2i+1 and 2i+2, path length value[i].
+
+    A row of bag b grows the trees b, b + 1, ... up to ``dealt`` of them, modulo the number of trees. A leaf's rows
+    count by their share of the tree's, as if of TREE_ROWS, so scores mean the same however many rows there are.
+    """
+
+    def __init__(self, x: np.ndarray | None = None, n: int | None = None, trees: int = TREES, seed: int = SEED):
+        """A forest for n rows, to be grown by summary() and grow(); from the rows x it is grown at once."""
+        n = n if x is None else len(x)
+        size = 2 ** (DEPTH + 1) - 1
+        self.dealt = min(max(1, math.ceil(trees * TREE_ROWS / max(n, 1))), trees // 2)
+        self.level, self.norm = 0, 1.0
         self.feature = np.full((trees, size), -1)
         self.cut = np.zeros((trees, size))
         self.value = np.zeros((trees, size))
-        for t in range(trees):
-            self._grow(t, 0, x[rng.choice(len(x), rows, replace=False)], 0, rng)
-
-    def _grow(self, t: int, node: int, x: np.ndarray, depth: int, rng) -> None:
-        low, high = x.min(axis=0), x.max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if depth == self.depth or len(x) < 2 or not len(usable):
-            self.value[t, node] = depth + expected_path(len(x))
-            return
-        f = rng.choice(usable)
-        self.feature[t, node], self.cut[t, node] = f, rng.uniform(low[f], high[f])
-        left = x[:, f] < self.cut[t, node]
-        self._grow(t, 2 * node + 1, x[left], depth + 1, rng) if left.any() else self._leaf(t, 2 * node + 1, depth + 1)
-        self._grow(t, 2 * node + 2, x[~left], depth + 1, rng) if (~left).any() else self._leaf(t, 2 * node + 2, depth + 1)
-
-    def _leaf(self, t: int, node: int, depth: int) -> None:
-        self.value[t, node] = depth
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly score in (0, 1]; higher is more anomalous."""
+        self.seed = seed
+        if x is not None:
+            bags = np.random.default_rng(seed).integers(0, trees, len(x))
+            while self.level <= DEPTH:
+                self.grow(*self.summary(x, bags))
+
+    def summary(self, x: np.ndarray, bags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, least and greatest statistics of the rows in each node of the level to be grown, all trees in turn."""
+        trees, width = len(self.feature), 2**self.level
+        count = np.zeros(trees * width, np.int64)
+        low = np.full((trees * width, x.shape[1]), np.inf)
+        high = np.full((trees * width, x.shape[1]), -np.inf)
+        for j in range(self.dealt):
+            tree, rows, node = (bags + j) % trees, x, np.zeros(len(x), int)
+            for _ in range(self.level):
+                f = self.feature[tree, node]
+                on = f >= 0  # the others are in leaves of earlier levels
+                tree, rows, node, f = tree[on], rows[on], node[on], f[on]
+                node = 2 * node + 1 + (rows[np.arange(len(rows)), f] >= self.cut[tree, node])
+            at = tree * width + node - (width - 1)
+            count += np.bincount(at, minlength=trees * width)
+            np.minimum.at(low, at, rows)
+            np.maximum.at(high, at, rows)
+        return count, low, high
+
+    def grow(self, count: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """One level more from the summary of all rows."""
+        trees, width = len(self.feature), 2**self.level
+        nodes = slice(width - 1, 2 * width - 1)
+        if self.level == 0:
+            self.rows = count
+            self.norm = float(expected_path(np.minimum(count, TREE_ROWS)).mean()) or 1.0
+        share = count * np.repeat(np.minimum(self.rows, TREE_ROWS) / np.maximum(self.rows, 1), width)
+        usable = high > low
+        inner = usable.any(axis=1) & (self.level < DEPTH)
+        which, place = np.random.default_rng([self.seed, self.level]).random((2, len(count)))
+        nth = np.floor(which * usable.sum(axis=1)).astype(int) + 1
+        f = np.argmax(np.cumsum(usable, axis=1) == nth[:, None], axis=1)
+        at = np.flatnonzero(inner)
+        cut = np.zeros(len(count))
+        cut[at] = low[at, f[at]] + place[at] * (high[at, f[at]] - low[at, f[at]])
+        self.feature[:, nodes] = np.where(inner, f, -1).reshape(trees, width)
+        self.cut[:, nodes] = cut.reshape(trees, width)
+        self.value[:, nodes] = np.where(inner, 0.0, self.level + expected_path(share)).reshape(trees, width)
+        self.level += 1
+
+    def score(self, x: np.ndarray, bags: np.ndarray | None = None) -> np.ndarray:
+        """Anomaly score in (0, 1]; higher is more anomalous. With bags, by the trees that a row did not grow."""
         if not len(x):
             return np.zeros(0)
+        trees = len(self.feature)
         total = np.zeros(len(x))
         rows = np.arange(len(x))
-        for t in range(len(self.feature)):
+        for t in range(trees):
             node = np.zeros(len(x), int)
-            for _ in range(self.depth):
+            for _ in range(DEPTH):
                 f = self.feature[t, node]
                 inner = f >= 0
                 if not inner.any():
                     break
                 node = np.where(inner, 2 * node + 1 + (x[rows, np.maximum(f, 0)] >= self.cut[t, node]), node)
-            total += self.value[t, node]
-        return 2.0 ** (-total / len(self.feature) / self.norm)
+            total += self.value[t, node] if bags is None else np.where((t - bags) % trees < self.dealt, 0.0, self.value[t, node])
+        return 2.0 ** (-total / (trees if bags is None else trees - self.dealt) / self.norm)
 
 
 def calibrate(scores: np.ndarray, good: np.ndarray, keep_good: float = KEEP_GOOD) -> float:
@@ -168,27 +203,74 @@ def calibrate(scores: np.ndarray, good: np.ndarray, keep_good: float = KEEP_GOOD
     return at
 
 
+def calibrate_rows(scored: DataFrame, keep_good: float = KEEP_GOOD) -> float:
+    """The threshold of calibrate() from a table of score and good, by counts of all its rows below each score."""
+    good = F.col("good").cast("long")
+    cuts = materialize(scored.groupBy("score").agg(F.sum(good).alias("good"), F.sum(1 - good).alias("bad")))
+    goods, bads = cuts.agg(F.sum("good"), F.sum("bad")).first()
+    if not goods or not bads:
+        return math.inf
+    kept, caught = F.col("before_good") / goods, F.lit(1.0) - F.col("before_bad") / bads
+    gain = in_order(cuts, ["score"], ("good", "bad")).select("score", kept.alias("kept"), (kept + caught - 1).alias("gain"))
+    best = gain.filter((F.col("kept") >= keep_good) & (F.col("gain") > 0)).orderBy(F.desc("gain"), "score").first()
+    return best.score if best else math.inf
+
+
 def base_failed(n_words, n_repeat):
     return (n_words < MIN_WORDS) | (100 * n_repeat > 50 * n_words)
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Forest | None, float]:
-    """Forest and threshold from at most ``sample`` labelled documents (the bound is this parameter).
+def bag() -> Column:
+    """Tree that a document is dealt to first, by its id and statistics."""
+    return F.pmod(F.xxhash64(*STATS.fieldNames()), F.lit(TREES)).cast("int")
 
-    The forest sees the sample's documents that pass the base rules, as those are what it will judge.
-    """
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    of = F.min(F.struct(*STATS.fieldNames()[1:])).alias("s")
-    rows = stats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(of).select("doc_id", "quality", "s.*")
-    pdf = rows.toPandas()  # at most ``sample`` rows
-    pdf = pdf[~base_failed(pdf.n_words, pdf.n_repeat_words)].sort_values("doc_id")
-    held = np.array([zlib.crc32(str(i).encode()) % CALIBRATION_FOLDS == 0 for i in pdf.doc_id], bool)
-    if (~held).sum() < 8:
+
+def grow_forest(rows: DataFrame) -> Forest | None:
+    """Forest of all rows (statistics and bag), in one pass for each level; none of fewer than 8 rows."""
+    n = rows.count()
+    if n < 8:
+        return None
+    forest = Forest(n=n)
+    bounds = [f"{side}_{c}" for side in ("low", "high") for c in FEATURES]
+    schema = T.StructType([T.StructField("node", T.IntegerType()), T.StructField("n", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in bounds])
+
+    def run(batches):
+        count, low, high = forest.summary(np.zeros((0, len(FEATURES))), np.zeros(0, int))
+        for batch in batches:
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in STATS.fieldNames()[1:]}
+            c, least, most = forest.summary(features(columns), batch.column("bag").to_numpy())
+            count, low, high = count + c, np.minimum(low, least), np.maximum(high, most)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[at]), *map(pa.array, [*low[at].T, *high[at].T])], schema.fieldNames())
+
+    while forest.level <= DEPTH:
+        folded = [F.min(c).alias(c) if c.startswith("low") else F.max(c).alias(c) for c in bounds]
+        pdf = rows.mapInArrow(run, schema).groupBy("node").agg(F.sum("n").alias("n"), *folded).toPandas()  # one row for each node of the level
+        count, low, high = forest.summary(np.zeros((0, len(FEATURES))), np.zeros(0, int))
+        count[pdf.node] = pdf.n
+        low[pdf.node], high[pdf.node] = pdf[bounds[: len(FEATURES)]].to_numpy(), pdf[bounds[len(FEATURES) :]].to_numpy()
+        forest.grow(count, low, high)
+    return forest
+
+
+def fit(stats: DataFrame, labels: DataFrame) -> tuple[Forest | None, float]:
+    """Forest from all documents and threshold from all labelled documents that pass the base rules."""
+    passed = ~base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    forest = grow_forest(stats.filter(passed).withColumn("bag", bag()))
+    if forest is None:
         return None, math.inf
-    x = features({c: pdf[c].to_numpy() for c in STATS.fieldNames()[1:]})
-    forest = Forest(x[~held])
-    return forest, calibrate(forest.score(x[held]), pdf.quality.to_numpy()[held] > 0)
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    one = stats.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*STATS.fieldNames()[1:])).alias("s"))
+    judged = one.join(known, "doc_id").select("doc_id", "s.*", (F.col("quality") > 0).alias("good")).filter(passed).withColumn("bag", bag())
+    schema = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("good", T.BooleanType())])
+
+    def run(batches):
+        for batch in batches:
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in STATS.fieldNames()[1:]}
+            score = forest.score(features(columns), batch.column("bag").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(score, pa.float64()), batch.column("good")], schema.fieldNames())
+
+    return forest, calibrate_rows(judged.mapInArrow(run, schema))
 
 
 def judge(stats: DataFrame, forest: Forest | None, threshold: float) -> DataFrame:

@@ -94,6 +94,62 @@ def test_forest_separates_junk_from_prose():
     assert quality.Forest(x).score(x).tolist() == score.tolist()
 
 
+def test_forest_and_threshold_use_every_document(spark):
+    """Junk is labelled only past the first 8,192 documents by hash; null and repeated ids, unlabelled rows."""
+    rng = np.random.default_rng(1)
+    known = spark.range(9000).orderBy(F.xxhash64("id"), "id").toPandas().id.to_numpy()
+    junk = set(known[8500:].tolist())
+    words = rng.integers(100, 400, 9000)
+    rows = [(i, int(w), int(w * (9 if i in junk else 5)), int(2 * w) if i in junk else 0, 0, 0, int(w * rng.uniform(0.7, 0.9))) for i, w in enumerate(words)]
+    rows += [(None, 200, 1000, 0, 0, 0, 150)] * 3 + [(5, 99, 999, 99, 0, 0, 40), (9500, 70, 420, 0, 0, 0, 60), (9501, 10, 50, 0, 0, 0, 9)]
+    stats = spark.createDataFrame(rows, quality.STATS).repartition(5)
+    lab = spark.createDataFrame([(i, int(i not in junk), 0) for i in range(9000)] + [(5, 1, 0), (9501, 0, 0)], "doc_id long, quality int, toxic int")
+    forest, threshold = quality.fit(stats, lab)
+    assert math.isfinite(threshold)
+
+    pdf = stats.filter(f"n_words >= {quality.MIN_WORDS}").withColumn("bag", quality.bag()).toPandas()
+    assert len(pdf) == 9005
+    x, bags = quality.features(pdf), pdf.bag.to_numpy()
+    want = quality.Forest(n=len(pdf))
+    while want.level <= quality.DEPTH:
+        want.grow(*want.summary(x, bags))
+    for name in ("feature", "cut", "value"):
+        assert (getattr(forest, name) == getattr(want, name)).all()
+    best = pdf[pdf.doc_id.notna() & (pdf.doc_id < 9000)].sort_values(quality.STATS.fieldNames()).drop_duplicates("doc_id")
+    assert len(best) == 9000
+    good = ~best.doc_id.isin(junk).to_numpy()
+    score = want.score(quality.features(best), best.bag.to_numpy())
+    assert threshold == quality.calibrate(score, good)
+    assert (score[good] < threshold).mean() >= 0.99 and (score[~good] >= threshold).mean() > 0.9
+
+
+def test_out_of_bag_score_leaves_out_the_own_trees():
+    x = np.random.default_rng(3).normal(size=(300, 3))
+    f = quality.Forest(x)
+    bags = np.arange(300) % quality.TREES
+    alone = []
+    for row, b in zip(x, bags, strict=True):
+        paths = []
+        for t in range(quality.TREES):
+            node = 0
+            while f.feature[t, node] >= 0:
+                node = 2 * node + 1 + int(row[f.feature[t, node]] >= f.cut[t, node])
+            if t not in {(b + j) % quality.TREES for j in range(f.dealt)}:
+                paths.append(f.value[t, node])
+        alone.append(2 ** (-np.mean(paths) / f.norm))
+    assert f.dealt == 22 and np.allclose(f.score(x, bags), alone, rtol=1e-12)
+
+
+def test_threshold_by_counts_equals_threshold_in_memory(spark):
+    rng = np.random.default_rng(4)
+    for n, share in ((400, 0.9), (400, 0.5), (50, 1.0), (50, 0.0), (0, 0)):
+        good = rng.random(n) < share
+        score = np.round(rng.random(n) + ~good * 0.3, 2)  # with ties
+        df = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(score, good, strict=True)], "score double, good boolean")
+        for keep in (0.99, 0.5):
+            assert quality.calibrate_rows(df, keep) == quality.calibrate(score, good, keep)
+
+
 # --- mixing
 
 
