@@ -1,9 +1,10 @@
 """Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
 
-The corpus is the sequence of lines of all documents in the order of (doc_id, line number); no match crosses
-documents. A round knows the rank of every line start by its first h lines; ranks of 2h lines come from sorting
-pairs of ranks h lines apart. Starts whose rank nobody shares leave the race, so each round sorts only what still
-repeats, and doubling goes on until no rank is shared.
+The corpus is the sequence of lines of all documents in the order of (doc_id, line number). A line's place in it is one
+number; a place without a line parts two documents, so no match crosses them. Texts are cut into lines once: the hashes
+of the lines are written, and all that follows reads those. A round knows the rank of every line start by its first h
+lines; ranks of 2h lines come from sorting pairs of ranks h lines apart. Starts whose rank nobody shares leave the race,
+so each round sorts only what still repeats, and doubling goes on until no rank is shared.
 
 Starts of one rank after h lines are an interval of the suffix array whose common prefix has h lines or more. A start
 that is not the first of its interval in corpus order is a later copy. Of its last such interval the first start is
@@ -19,7 +20,7 @@ A rank's members are never brought together: a pair of ranks is counted with map
 is joined back, which Spark may split where one line, or the source of many copies, is very frequent.
 
 Defined results: a null text has no lines; an empty text has one empty line; lines are compared as they
-are, without a trailing carriage return; null doc_ids come last in corpus order; rows that share doc_id and text
+are, without one trailing carriage return; null doc_ids come last in corpus order; rows that share doc_id and text
 are one document and lose the same lines; very long texts take time linear in their lines, times the logarithm of the
 longest repeated run; an empty table gives an empty result; other columns, whatever their names, are kept by
 ``drop_repeated_lines``.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import load, materialize, word_count
+from folioscope.llm.common import in_order, load, materialize, word_count
 
 MIN_LINES = 3
 MIN_WORDS = 50
@@ -46,50 +47,53 @@ def _name():
 
 
 def _lines():
-    return F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, "\r$", ""))
+    return F.transform(F.split("text", "\n", -1), lambda x: F.when(x.endswith("\r"), F.left(x, F.char_length(x) - 1)).otherwise(x))
 
 
-def line_table(docs: DataFrame, sized: bool = False) -> DataFrame:
-    """did, pos and two 64-bit hashes for each line; w, its number of words, if ``sized``."""
+def hashed_documents(docs: DataFrame, sized: bool = False) -> DataFrame:
+    """A written table of the documents with a text, each once: did, d (the place of its first line in the corpus) and lines.
+
+    lines has two 64-bit hashes for each line, a and b; and w, its number of words, if ``sized``.
+    """
     w = (lambda x: [word_count(x).alias("w")]) if sized else lambda x: []
-    ids = F.transform(_lines(), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), *w(x)))
-    return docs.select(_name(), F.posexplode(ids).alias("pos", "h")).select("did", "pos", "h.*")
+    lines = F.transform(_lines(), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), *w(x)))
+    rows = docs.filter("text IS NOT NULL").select(_name(), lines.alias("lines"), F.monotonically_increasing_id().alias("uid"))
+    rows = materialize(rows)
+    names = rows.groupBy("did").agg(F.min("uid").alias("uid"), F.min(F.size("lines") + 1).alias("n"))  # one place more than lines
+    names = in_order(names, ["did"], ("n",)).select("uid", F.col("before_n").alias("d"))
+    return materialize(rows.join(names, "uid").select("did", "d", "lines"))
+
+
+def line_table(table: DataFrame) -> DataFrame:
+    """The lines of ``hashed_documents``: d, g (the line's place in the corpus) and what lines has."""
+    return table.select("d", F.posexplode("lines").alias("pos", "h")).select("d", (F.col("d") + F.col("pos")).alias("g"), "h.*")
 
 
 def _rank(starts: DataFrame) -> DataFrame:
-    """starts (did, pos, a, b) -> those whose pair (a, b) repeats, with the pair's rank and first start.
+    """starts (d, g, a, b; a written table, as it is read twice) -> those whose pair (a, b) repeats, with its rank and first start.
 
     Ranks follow the order of the pairs: the pairs are range-partitioned and sorted, so the ids that Spark
     gives to rows rise with them. The table is written, which fixes the ids.
     """
-    pairs = starts.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("did", "pos")).alias("first")).filter("c > 1").drop("c")
+    pairs = starts.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("first")).filter("c > 1").drop("c")
     pairs = materialize(pairs.orderBy("a", "b").withColumn("rank", F.monotonically_increasing_id()))
     return materialize(starts.join(pairs, ["a", "b"]).drop("a", "b"))
 
 
-def _not_first():
-    return (F.col("first.did") != F.col("did")) | (F.col("first.pos") != F.col("pos"))
-
-
-def _mates(ranked: DataFrame, name: str, *more: str) -> DataFrame:
-    """did, pos and rank (as ``name``) of each start once; repeated rows have one mate."""
-    return ranked.groupBy("did", "pos").agg(F.min("rank").alias(name), *[F.min(c).alias(f"{c}_next") for c in more])
-
-
 def _join_ranks(ranked: DataFrame, mate: DataFrame, at: int, sized: bool) -> DataFrame:
     """The ranks of runs that are a run of ``ranked`` and, ``at`` lines on, one of ``mate``."""
     w = ["w"] if sized else []
-    mate = _mates(mate, "b", *w).withColumn("pos", F.col("pos") - at)
-    pairs = ranked.select("did", "pos", F.col("rank").alias("a"), *w).join(mate, ["did", "pos"])
-    return _rank(pairs.withColumn("w", F.col("w") + F.col("w_next")).drop("w_next") if sized else pairs)
+    mate = mate.select((F.col("g") - at).alias("g"), F.col("rank").alias("b"), *[F.col(c).alias("w_next") for c in w])
+    pairs = ranked.select("d", "g", F.col("rank").alias("a"), *w).join(mate, "g")
+    return _rank(materialize(pairs.withColumn("w", F.col("w") + F.col("w_next")).drop("w_next") if sized else pairs))
 
 
-def _ranks(docs: DataFrame, least: int, sized: bool) -> dict[int, DataFrame]:
+def _ranks(table: DataFrame, least: int, sized: bool) -> dict[int, DataFrame]:
     """Length -> the starts whose run of so many lines repeats, with rank and first; up to the last that any repeats.
 
     Below ``least`` the length grows by one line a round if ``sized``, and doubles otherwise.
     """
-    ranks = {1: _rank(line_table(docs, sized))}
+    ranks = {1: _rank(line_table(table))}
     have = 1
     while have < least:
         step = 1 if sized else min(have, least - have)
@@ -104,38 +108,32 @@ def _ranks(docs: DataFrame, least: int, sized: bool) -> dict[int, DataFrame]:
 
 
 def _runs(ranks: dict[int, DataFrame], least: int) -> DataFrame | None:
-    """did, pos, n (lines) and first of later copies of ``least`` lines or more; None if there are none."""
+    """d, g, n (lines) and first of later copies of ``least`` lines or more; None if there are none."""
     long = [h for h in ranks if h >= least]
     if not long:
         return None
-    late = [ranks[h].filter(_not_first()).select("did", "pos", F.struct(F.lit(h).alias("n"), "first").alias("of")) for h in long]
-    late = reduce(DataFrame.union, late).groupBy("did", "pos").agg(F.max("of").alias("of"))
-    before = F.lag(F.struct("pos", "of.first")).over(Window.partitionBy("did").orderBy("pos"))
-    inside = (F.col("before.pos") == F.col("pos") - 1) & (F.col("before.first.did") == F.col("of.first.did")) & (F.col("before.first.pos") == F.col("of.first.pos") - 1)
-    runs = late.withColumn("before", before).filter(~F.coalesce(inside, F.lit(False)))
-    runs = materialize(runs.select("did", "pos", "of.n", F.col("of.first.did").alias("from"), F.col("of.first.pos").alias("start")))
+    late = reduce(DataFrame.union, [ranks[h].filter("first <> g").select("d", "g", F.lit(h).alias("n"), "first") for h in long])
+    # a start's interval lies in its shorter one, so that the last interval has the greatest first, too
+    late = late.groupBy("d", "g").agg(F.max("n").alias("n"), F.max("first").alias("first"))
+    before = F.lag(F.struct("g", "first")).over(Window.partitionBy("d").orderBy("g"))
+    inside = (F.col("before.g") == F.col("g") - 1) & (F.col("before.first") == F.col("first") - 1)
+    runs = materialize(late.withColumn("before", before).filter(~F.coalesce(inside, F.lit(False))).drop("before"))
     for i, h in enumerate(sorted(ranks, reverse=True)[1:], 1):  # no common prefix is twice the last interval's length
-        mate = _mates(ranks[h], "r")
-        mine = mate.select("did", F.col("pos").alias("at"), F.col("r").alias("r1"))
-        theirs = mate.select(F.col("did").alias("from"), F.col("pos").alias("there"), F.col("r").alias("r2"))
-        runs = runs.withColumn("at", F.col("pos") + F.col("n")).withColumn("there", F.col("start") + F.col("n"))
-        runs = runs.join(mine, ["did", "at"], "left").join(theirs, ["from", "there"], "left")
+        mine = ranks[h].select(F.col("g").alias("at"), F.col("rank").alias("r1"))
+        theirs = ranks[h].select(F.col("g").alias("there"), F.col("rank").alias("r2"))
+        runs = runs.withColumn("at", F.col("g") + F.col("n")).withColumn("there", F.col("first") + F.col("n"))
+        runs = runs.join(mine, "at", "left").join(theirs, "there", "left")
         longer = F.col("n") + F.when(F.col("r1") == F.col("r2"), h).otherwise(0)
-        runs = runs.select("did", "pos", longer.alias("n"), "from", "start")
+        runs = runs.select("d", "g", longer.alias("n"), "first")
         runs = materialize(runs) if i % 4 == 0 else runs
     return materialize(runs)
 
 
-def _later_documents(docs: DataFrame, least: int) -> DataFrame:
-    """did, pos (0) and n (lines) of documents of fewer than ``least`` lines that equal an earlier document."""
-    short = docs.filter("text IS NOT NULL").select(_name(), _lines().alias("l")).filter(F.size("l") < least)
-    short = short.select("did", F.size("l").alias("n"), F.xxhash64("l").alias("a"), F.xxhash64(F.lit(1), "l").alias("b"))
-    first = short.groupBy("n", "a", "b").agg(F.min("did").alias("first"))
-    return short.join(first, ["n", "a", "b"]).filter("first <> did").select("did", F.lit(0).alias("pos"), "n")
-
-
-def _no_runs(docs: DataFrame) -> DataFrame:
-    return docs.limit(0).select(_name(), F.lit(0).alias("pos"), F.lit(0).alias("n"), _name().alias("from"), F.lit(0).alias("start"))
+def _later_documents(table: DataFrame, least: int) -> DataFrame:
+    """d, g (the first line) and n (lines) of documents of fewer than ``least`` lines that equal an earlier document."""
+    short = table.filter(F.size("lines") < least).select("d", "lines")
+    first = materialize(short.groupBy("lines").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    return short.join(first, "lines").filter("first <> d").select("d", F.col("d").alias("g"), F.size("lines").alias("n"))
 
 
 def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = MIN_WORDS) -> DataFrame:
@@ -145,26 +143,34 @@ def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = MI
     Runs may overlap by nearly all their lines (one line many times in a row), so they are merged before any line is named.
     """
     sized = words is not None
-    ranks = _ranks(docs, least, sized)
+    table = hashed_documents(docs, sized)
+    ranks = _ranks(table, least, sized)
     runs = _runs(ranks, least)
-    found = [(_no_runs(docs) if runs is None else runs).select("did", "pos", "n")]
+    found = [table.limit(0).select("d", F.col("d").alias("g"), F.lit(0).alias("n"))] if runs is None else [runs.select("d", "g", "n")]
     if sized:
-        found += [_later_documents(docs, least)]
-        found += [ranked.filter(_not_first() & (F.col("w") >= words)).select("did", "pos", F.lit(h).alias("n")) for h, ranked in ranks.items() if h < least]
-    w = Window.partitionBy("did").orderBy("pos")
-    ends = F.max(F.col("pos") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = reduce(DataFrame.union, found).groupBy("did", "pos").agg(F.max("n").alias("n"))
-    rows = rows.withColumn("new", F.coalesce(F.col("pos") > ends, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
-    rows = rows.groupBy("did", "run").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("n")).alias("end"))
-    return rows.select("did", "start", (F.col("end") - F.col("start")).alias("length"))
+        found += [_later_documents(table, least)]
+        found += [ranked.filter((F.col("first") != F.col("g")) & (F.col("w") >= words)).select("d", "g", F.lit(h).alias("n")) for h, ranked in ranks.items() if h < least]
+    w = Window.partitionBy("d").orderBy("g")
+    ends = F.max(F.col("g") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = reduce(DataFrame.union, found).groupBy("d", "g").agg(F.max("n").alias("n"))
+    rows = rows.withColumn("new", F.coalesce(F.col("g") > ends, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
+    rows = rows.groupBy("d", "run").agg(F.min("g").alias("g"), F.max(F.col("g") + F.col("n")).alias("end"))
+    rows = rows.join(table.select("did", "d"), "d")
+    return rows.select("did", (F.col("g") - F.col("d")).cast("int").alias("start"), (F.col("end") - F.col("g")).cast("int").alias("length"))
 
 
 def repeated_runs(docs: DataFrame, least: int = MIN_LINES) -> DataFrame:
     """Later copies of runs of ``least`` lines or more: doc_id, start, length, and first_doc_id, first_start of their source."""
-    docs = docs.select("doc_id", "text")
-    runs = _runs(_ranks(docs, least, False), least)
-    runs = _no_runs(docs) if runs is None else runs
-    return runs.select("did.doc_id", F.col("pos").alias("start"), F.col("n").alias("length"), F.col("from.doc_id").alias("first_doc_id"), F.col("start").alias("first_start"))
+    table = hashed_documents(docs.select("doc_id", "text"))
+    ranks = _ranks(table, least, False)
+    runs = _runs(ranks, least)
+    if runs is None:
+        runs, ranks = table.limit(0).select("d", F.col("d").alias("g"), F.lit(0).alias("n"), F.col("d").alias("first")), {1: line_table(table)}
+    source = ranks[1].select(F.col("g").alias("first"), F.col("d").alias("from"))
+    names = table.select("d", F.col("did.doc_id").alias("doc_id"))
+    runs = runs.join(source, "first").join(names, "d").join(names.select(F.col("d").alias("from"), F.col("doc_id").alias("first_doc_id")), "from")
+    place = lambda at, d: (F.col(at) - F.col(d)).cast("int")
+    return runs.select("doc_id", place("g", "d").alias("start"), F.col("n").alias("length"), "first_doc_id", place("first", "from").alias("first_start"))
 
 
 def removed_runs(docs: DataFrame, least: int = MIN_LINES, words: int | None = MIN_WORDS) -> DataFrame:

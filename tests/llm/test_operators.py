@@ -521,6 +521,30 @@ def test_very_long_texts_of_lines(spark):
     assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()} == {1: text, 2: "", 3: "a\nb"}
 
 
+def test_each_text_is_cut_into_lines_once(spark):
+    rows = [(i, "\n".join(f"line {j}" for j in range(i % 5))) for i in range(20)] + [(None, None), (7, "line 0\nline 1")]
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        reads.add(1)
+        return text
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", seen.asNondeterministic()("text").alias("text"))
+    runs = {(r.doc_id, r.start, r.length) for r in line_dedup.removed_runs(docs).collect()}
+    assert runs == {(i, 0, max(1, i % 5)) for i in range(5, 20)} | {(4, 0, 3)}
+    assert reads.value == len(rows)
+
+
+def test_one_carriage_return_ends_a_line(spark):
+    block, ends = ["alpha", "beta", "gamma"], ["", "\r", "\r\r", "\r\u2028", "\r\r"]
+    rows = [(i, "\n".join([f"u{i}", *[x + end for x in block], f"v{i}"])) for i, end in enumerate(ends)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.drop_repeated_lines(docs)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == brute_lines(rows)
+    assert {r.doc_id for r in line_dedup.removed_runs(docs).collect()} == {1, 4}
+
+
 # --- toxicity
 
 
