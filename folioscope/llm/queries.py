@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from folioscope.llm import automaton_dedup, decontaminate, licenses, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, toxicity
+from folioscope.llm import automaton_dedup, decontaminate, licenses, line_dedup, mixing, periodic_runs, quality, sharding, simhash, suffix_dedup, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_quality_forest": quality.op1_quality_forest,
         "op10_license_scan": licenses.op10_license_scan,
+        "op12_token_counts": token_counts.op12_token_counts,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_hilbert_shards": sharding.op3_hilbert_shards,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
