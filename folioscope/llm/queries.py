@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from folioscope.llm import automaton_dedup, decontaminate, licenses, line_dedup, mixing, periodic_runs, quality, sharding, simhash, suffix_dedup, token_counts, toxicity
+from folioscope.llm import automaton_dedup, collocations, decontaminate, licenses, line_dedup, mixing, periodic_runs, quality, sharding, simhash, suffix_dedup, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_quality_forest": quality.op1_quality_forest,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_collocations": collocations.op11_collocations,
         "op12_token_counts": token_counts.op12_token_counts,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
         "op2_mix_sources": mixing.op2_mix_sources,
@@ -24,6 +25,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op11_collocations": collocations.OP11_SQL,
         "op2_mix_sources": mixing.OP2_SQL,
         "op4_suffix_dedup": suffix_dedup.OP4_SQL,
         "op5_line_runs": line_dedup.OP5_SQL,
