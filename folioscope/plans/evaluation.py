@@ -30,24 +30,26 @@ _PAGES = f"""pf AS (SELECT page_id AS id, {_sql_first('title')} AS title, {_sql_
   replace(regexp_extract(url, '://([^/?#]*)', 1), '.', ' ') AS slug FROM pages)"""
 
 
-def _soft(x: str) -> str:
-    """Folded to ASCII, so that edit distances count the same in bytes and in characters."""
-    return _drop(_drop(_sql_translate(_low(x), *n.SOFT_FOLD), n.NON_WORD), "[^\\x00-\\x7F]")
+def _soft(x: str, fold: bool = True) -> str:
+    return _drop(_sql_translate(_low(x), *n.SOFT_FOLD) if fold else _low(x), n.NON_WORD)
 
 
-def _ascii(c):
-    return F.regexp_replace(c, "[^\\x00-\\x7F]", "")
+def _coded(x: str) -> str:
+    """One byte for each different character of a pair of texts (126 at most), as the distance of bytes is that of characters then."""
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: chr(CAST(list_position(chars, c) AS INTEGER))), '')"
 
 
-_PAIRS = f"""{_PAGES}, rows AS (
+def _pairs(fold: bool) -> str:
+    return f"""{_PAGES}, rows AS (
   SELECT id, 'title' AS field, h1 AS pred, title AS gold FROM pf UNION ALL
   SELECT id, 'lead', lead, title FROM pf UNION ALL
   SELECT id, 'host', slug, h1 FROM pf
-), known AS (SELECT id, field, pred, gold, {_soft('pred')} AS a, {_soft('gold')} AS b FROM rows WHERE trim(gold) <> ''),
+), folded AS (SELECT id, field, pred, gold, {_soft('pred', fold)} AS a, {_soft('gold', fold)} AS b FROM rows WHERE trim(gold) <> ''),
+known AS (SELECT *, list_distinct(regexp_extract_all(a || b, '(?s).')) AS chars FROM folded),
 decided AS (SELECT id, field, trim(pred) <> '' AS predicted, {_collapse('pred')} = {_collapse('gold')} AS strict, a = b AS soft,
   CASE WHEN greatest(length(a), length(b)) = 0 THEN true WHEN least(length(a), length(b)) = 0 THEN false
        WHEN least(length(a), length(b)) * 5 < greatest(length(a), length(b)) * 4 THEN false
-       ELSE levenshtein(a, b) <= greatest(length(a), length(b)) // 5 END AS levenshtein FROM known),
+       ELSE levenshtein({_coded('a')}, {_coded('b')}) <= greatest(length(a), length(b)) // 5 END AS levenshtein FROM known),
 long AS (
   SELECT 'strict' AS mode, field, predicted, predicted AND strict AS m FROM decided UNION ALL
   SELECT 'soft', field, predicted, predicted AND soft FROM decided UNION ALL
@@ -65,15 +67,10 @@ def _rows(spark, sf_dir):
     return p.select("id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(a).alias("pred"), F.array(b).alias("golds")) for f, a, b in parts])))
 
 
-@query(f"WITH {_PAIRS} {_PRF}")
+@query(f"WITH {_pairs(True)} {_PRF}")
 def eval_prf_pages(spark, sf_dir):
     """Three fields of pages in three match modes: support, predicted, matched, precision, recall, F1."""
-    rows = _rows(spark, sf_dir).withColumn("golds", F.filter("golds", lambda g: F.trim(g) != "")).filter(F.size("golds") > 0)
-    one = rows.withColumn("gold", F.explode("golds"))
-    has = F.trim("pred") != ""
-    a, b = _ascii(n.soft_norm(F.col("pred"), True)), _ascii(n.soft_norm(F.col("gold"), True))
-    decided = one.select("id", "field", has.alias("predicted"), (has & (n.strict_norm(F.col("pred")) == n.strict_norm(F.col("gold")))).alias("strict"), (has & (a == b)).alias("soft"), (has & s.levenshtein_match(a, b)).alias("levenshtein"))
-    return e.prf(decided.unpivot(["id", "field", "predicted"], ["strict", "soft", "levenshtein"], "mode", "matched"))
+    return e.prf(e.long_matches(_rows(spark, sf_dir), ("strict", "soft", "levenshtein"), fold=True))
 
 
 @query()
@@ -82,7 +79,8 @@ def eval_prf_four_modes(spark, sf_dir):
     return e.prf(e.long_matches(_rows(spark, sf_dir), fold=True))
 
 
-@query()
+@query(f"""SELECT mode, field, k.f1 AS base, f.f1 AS other, f.f1 - k.f1 AS gain
+  FROM (WITH {_pairs(False)} {_PRF}) k JOIN (WITH {_pairs(True)} {_PRF}) f USING (mode, field)""")
 def eval_fold_gain(spark, sf_dir):
     """F1 with and without folding of diacritics, and the difference."""
     rows = _rows(spark, sf_dir)

@@ -50,6 +50,28 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_pages_in_other_scripts(spark, tmp_path):
+    """Titles of other scripts are compared as they are: equal, one character off, or different."""
+    pairs = [
+        ("Анализ данных", "Совсем другое название", set()),
+        ("数据分析方法", "完全不同的标题", set()),
+        ("数据 分析方法", "数据分析方法", {"soft", "levenshtein"}),
+        ("Анализ данных", "Анализ даннах", {"levenshtein"}),
+        ("Анализ", "Анализ", {"strict", "soft", "levenshtein"}),
+        ("Çalışma ölçümü", "calisma olcumu", {"soft", "levenshtein"}),
+        ("", "x", set()),
+    ]
+    page = "<html><title>{1}</title><h1>{0}</h1><p>-</p></html>"
+    rows = [(i, "http://x.y/z", page.format(*pair)) for i, pair in enumerate(pairs)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = plans.QUERIES["eval_prf_pages"](spark, str(tmp_path)).toPandas()
+    matched = {r.mode: r.matched for r in got[got.field == "title"].itertuples()}
+    assert matched == {m: sum(m in want for *_, want in pairs) for m in ("strict", "soft", "levenshtein")}
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert canon(got) == canon(c.sql(plans.SQL["eval_prf_pages"]).df())
+
+
 def test_f1_follows_from_precision_and_recall(spark):
     rows = [(29.00, 24.39, 26.50), (88.13, 67.80, 76.64), (61.38, 24.25, 34.77), (97.25, 95.38, 96.30)]
     for p, r, f in rows:
