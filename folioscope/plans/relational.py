@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioscope.operators import containment
 from folioscope.operators import sets as o
 from folioscope.plans.registry import query, table
 
@@ -131,21 +132,9 @@ def set_overlap(spark, sf_dir):
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def leakage_intersection(spark, sf_dir):
-    """Test passages that occur word for word in documents.
-
-    A document that holds a passage has its longest inner word; only documents with that word are compared
-    text by text. Passages of one or two words have no inner word; they are looked for in every document."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    inner = F.slice(F.split("passage", "[ \n]"), 2, F.greatest(F.lit(0), F.size(F.split("passage", "[ \n]")) - 2))
-    ranked = F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    keyed = b.withColumn("k", F.array_max(ranked)["w"])
-    items, short = keyed.filter("k IS NOT NULL"), keyed.filter("k IS NULL AND passage IS NOT NULL")
-    d = documents(spark, sf_dir)
-    words = d.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("k"))
-    pairs = words.join(items.select("item_id", "k"), "k").select("doc_id", "item_id")
-    found = pairs.join(d.select("doc_id", "text"), "doc_id").join(items.select("item_id", "passage"), "item_id")
-    everywhere = d.select("doc_id", "text").join(short, F.contains("text", "passage"))
-    return found.filter(F.contains("text", "passage")).select("item_id", "doc_id").union(everywhere.select("item_id", "doc_id"))
+    """Test passages that occur word for word in documents."""
+    b = table(spark, sf_dir, "benchmark")
+    return containment.verbatim(b, "item_id", "text", documents(spark, sf_dir), "doc_id", "text").select("item_id", "doc_id")
 
 
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")

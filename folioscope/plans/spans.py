@@ -10,62 +10,55 @@ from folioscope.functions import normalize as n
 from folioscope.functions import similarity as s
 from folioscope.operators import segments as g
 from folioscope.operators import spans as p
+from folioscope.operators.containment import containment_candidates
 from folioscope.plans.evaluation import page_fields
 from folioscope.plans.registry import query, table
-from folioscope.plans.relational import leakage_intersection
 
 
 def _canvas():
     return F.replace("text", F.lit("\n"), F.lit(" <lb/>"))
 
 
-SEED_WORDS = 5
+_SPACE = r"(?U)[\s\x1c-\x1f<]"
 
 
-#: At most so many passage seeds (some 16 MB of numbers) are sent to every executor; more are joined by a shuffle.
-BROADCAST_SEEDS = 1 << 20
+def _hashes(words):
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _words(t, key, text):
-    """key and hashes h of the words of a text, in lower case, without marks and punctuation; texts without a word are left out."""
-    plain = F.regexp_replace(F.translate(n.glyph_lower(F.col(text)), *n.TURKISH_FOLD), r"[^\p{L}\p{N}_\s]+", "")
-    words = F.filter(F.split(plain, r"\s+"), lambda x: x != "")
-    return t.select(key, F.transform(words, lambda x: F.xxhash64(x)).alias("h")).filter(F.size("h") > 0)
+def _keys(text):
+    """Words as the span search compares them: lowered, folded, without signs."""
+    plain = F.regexp_replace(F.translate(n.glyph_lower(F.regexp_replace(text, _SPACE + "+", " ")), *n.TURKISH_FOLD), r"[^\p{L}\p{N}_ ]+", "")
+    return F.filter(F.split(plain, " +"), lambda w: w != "")
 
 
-def _seeds(k):
-    """Hashes of all k consecutive words. Texts of one hash are only candidates, so a clash costs a comparison."""
-    starts = F.size("h") - (k - 1)
-    runs = F.arrays_zip(*[F.slice("h", i + 1, F.greatest(starts, F.lit(0))).alias(f"h{i}") for i in range(k)])
-    return F.transform(runs, lambda x: F.xxhash64(F.lit(k), x))
+def document_keys(text):
+    """Words of a text; what a hyphen joins to the next piece is one word."""
+    return _keys(F.regexp_replace(F.replace(text, F.lit("<lb/>"), F.lit(" ")), f"-{_SPACE}+", ""))
 
 
-def candidates(spark, sf_dir):
-    """item_id, doc_id where a document may hold a passage, altered or not: they share SEED_WORDS consecutive words, or
-    all words of a shorter passage, or the passage stands there as it is."""
-    b = _words(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("k", F.least(F.size("h"), F.lit(SEED_WORDS)))
-    by_length = F.coalesce(*[F.when(F.col("k") == k, _seeds(k)) for k in range(1, SEED_WORDS + 1)])
-    items = b.select("item_id", "k", F.explode(F.array_distinct(by_length)).alias("seed"))
-    counts = {r["k"]: r["n"] for r in items.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pairs = leakage_intersection(spark, sf_dir)
-    if counts:
-        seeds = F.array_distinct(F.flatten(F.array(*[_seeds(k) for k in sorted(counts)])))
-        d = _words(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.explode(seeds).alias("seed"))
-        items = items.drop("k")
-        pairs = pairs.union(d.join(F.broadcast(items) if sum(counts.values()) <= BROADCAST_SEEDS else items, "seed").select("item_id", "doc_id"))
-    return pairs.distinct()
+def passage_keys(text):
+    """Words of a passage that count: those of more than two characters."""
+    return F.filter(_keys(F.replace(text, F.lit("<"), F.lit(""))), lambda w: F.length(w) > 2)
 
 
-def _located(spark, sf_dir):
-    pairs = candidates(spark, sf_dir)
+def candidates(spark, sf_dir, coverage, density, value=None, keys=(document_keys, passage_keys)):
+    """item_id, doc_id and value where a document can hold a passage with this coverage and density."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", (F.col("text") if value is None else value).alias("value"))
+    words = items.select("item_id", _hashes(keys[1](F.col("value"))).alias("words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", _hashes(keys[0](F.col("text"))).alias("words"))
+    return containment_candidates(words, "item_id", docs, "doc_id", coverage, density).join(items, "item_id")
+
+
+def _located(spark, sf_dir, *args, **kwargs):
     d = table(spark, sf_dir, "documents").select("doc_id", _canvas().alias("canvas"))
-    return pairs.join(d, "doc_id").join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value")), "item_id")
+    return candidates(spark, sf_dir, *args, **kwargs).join(d, "doc_id")
 
 
 @query()
 def find_spans(spark, sf_dir):
     """Where passages are in documents, by matching blocks of words."""
-    x = _located(spark, sf_dir).select("doc_id", "item_id", p.measure_span("canvas", "value").alias("x"))
+    x = _located(spark, sf_dir, *p.REACH).select("doc_id", "item_id", p.measure_span("canvas", "value").alias("x"))
     return x.filter(p.reaches(F.col("x"))).select("doc_id", "item_id", "x.start", "x.end", "x.matched", "x.coverage", "x.density", F.array_join("x.places", " ").alias("places"))
 
 
@@ -81,8 +74,10 @@ def altered(value):
 
 @query()
 def span_threshold_sweep(spark, sf_dir):
-    """How many altered passages are found as thresholds are relaxed. A pair is measured once for all steps."""
-    x = _located(spark, sf_dir).withColumn("value", altered(F.col("value"))).select(p.measure_span("canvas", "value").alias("x"))
+    """How many altered passages are found as thresholds are relaxed. A pair is measured once for all steps; n is the number
+    of pairs that can reach the last."""
+    loosest = min(c for c, _ in STEPS), min(d for _, d in STEPS)
+    x = _located(spark, sf_dir, *loosest, value=altered(F.col("text"))).select(p.measure_span("canvas", "value").alias("x"))
     return x.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(p.reaches(F.col("x"), c, d)).alias(f"at_{round(c * 100)}_{round(d * 100)}") for c, d in STEPS])
 
 
@@ -145,7 +140,9 @@ def title_language(spark, sf_dir):
 @query()
 def subsequence_match(spark, sf_dir):
     """Where the words of a passage agree position by position with a document's."""
-    x = _located(spark, sf_dir).select("doc_id", "item_id", s.subsequence_at(F.lower("canvas"), F.lower(F.replace("value", F.lit("\n"), F.lit(" <lb/>")))).alias("x"))
+    flat = lambda c: F.replace(c, F.lit("\n"), F.lit(" <lb/>"))
+    pieces = lambda c: F.filter(F.split(F.lower(flat(c)), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    x = _located(spark, sf_dir, 0.75, 0.75, keys=(pieces, pieces)).select("doc_id", "item_id", s.subsequence_at(F.lower("canvas"), F.lower(flat(F.col("value")))).alias("x"))
     return x.select("doc_id", "item_id", F.get("x", 0).alias("first"), F.get("x", 1).alias("last"))
 
 

@@ -126,31 +126,94 @@ def test_altered_and_short_passages_are_located(spark, tmp_path):
     assert sorted((r.item_id, r.doc_id) for r in run("leakage_intersection")) == [(7, 1), (8, 4), (9, 4)]
     assert {(r.item_id, r.doc_id) for r in run("find_spans") if r.start is not None} >= {(7, 1), (7, 2)}
     assert {(r.item_id, r.doc_id) for r in run("subsequence_match") if r["first"] is not None} >= {(7, 1), (7, 2), (8, 4), (9, 4)}
-    assert run("span_threshold_sweep")[0].n == 4
+    swept = run("span_threshold_sweep")[0]
+    assert swept.at_45_34 == 0 and swept.n >= swept.at_15_20
     assert run("leakage_intersection")
 
 
-@pytest.mark.parametrize("bound", [0, 1 << 20])
-def test_candidates_share_five_words_or_all_of_a_shorter_passage(spark, tmp_path, monkeypatch, bound):
-    import random
+def _altered(words, share):
+    return [f"qq{i}qq" if i % 10 < share else w for i, w in enumerate(words)]
+
 
+def test_no_pair_within_reach_is_left_out(spark):
+    """Every step of the sweep and the verbatim case against all pairs of sf0.01, measured one by one."""
+    from pyspark.sql import functions as F
+
+    from folioscope.operators import spans as p
+    from folioscope.operators.containment import containment_candidates
     from folioscope.plans import spans
 
-    monkeypatch.setattr(spans, "BROADCAST_SEEDS", bound)  # both ways of joining
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    items = {r.item_id: " ".join(_altered(r.text.split(), r.item_id % 10)) for r in rows} | {1000 + r.item_id: r.text for r in rows}
+    docs = {r.doc_id: p.Canvas((r.text or "").replace("\n", " <lb/>")).keys for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    words = b.select("item_id", spans._hashes(spans.passage_keys(F.col("text"))).alias("words"))
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", spans._hashes(spans.document_keys(F.col("text"))).alias("words"))
+    found = {}
+    for c, dens in sorted(spans.STEPS)[:1] + [p.REACH]:
+        pairs = containment_candidates(words, "item_id", d, "doc_id", c, dens)
+        found[c, dens] = {tuple(r) for r in pairs.collect()}
+    for step in spans.STEPS:
+        found.setdefault(step, found[0.15, 0.20])
+    reached = dict.fromkeys(found, 0)
+    for i, text in items.items():
+        target = p.target_words(text)
+        own = set(target)
+        for k, keys in docs.items():
+            if sum(w in own for w in keys) < 0.15 * len(target):  # not even by count
+                continue
+            hit = p.locate(keys, target)
+            for step, pairs in found.items():
+                if hit and hit.reaches(*step):
+                    reached[step] += 1
+                    assert (i, k) in pairs, (i, k, step)
+    assert all(reached.values()) and reached[0.15, 0.20] > 2 * reached[0.45, 0.34]
+    assert len(found[p.REACH]) < 0.02 * len(items) * len(docs)
+
+
+def test_candidates_are_those_of_the_bound(spark):
+    """Exactly the documents in which `meet` of the first words stand close enough, on random words with repeats."""
+    import math
+    import random
+
+    from folioscope.operators.containment import containment_candidates
+
     rng = random.Random(3)
-    text = lambda n: " ".join(rng.choice(["bir", "iki", "dort"]) for _ in range(n))
-    docs = [(i, text(rng.choice([0, 1, 2, 4, 5, 9, 40]))) for i in range(60)] + [(60, None), (61, "... --"), (62, " ")]
-    items = [(i, text(n)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 12, 20, 5, 4])] + [(50, None), (51, "")]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    draw = lambda n: [rng.randrange(12) for _ in range(n)]
+    docs = {i: draw(rng.choice([0, 1, 4, 9, 40])) for i in range(80)}
+    items = {i: draw(n) for i, n in enumerate([1, 2, 3, 5, 8, 12, 20, 3, 2])} | {50: []}
+    frame = lambda x, k: spark.createDataFrame([(a, b) for a, b in x.items()], f"{k} long, words array<long>")
+    known = {w for v in items.values() for w in v}
+    used = {w: sum(v.count(w) for v in docs.values()) for w in known}
+    for coverage, density, meet in [(0.45, 0.34, 3), (0.15, 0.2, 2), (1.0, 1.0, 1), (0.6, 0.5, 4)]:
+        want = set()
+        for i, v in items.items():
+            n = len(v)
+            need = max(1, math.ceil(coverage * n - 1e-9))
+            least = min(meet, need)
+            first = set(sorted(v, key=lambda w: (used[w], w))[: n - need + least])
+            for k, ws in docs.items():
+                at = [x for x, w in enumerate(ws) if w in first]
+                if any(b - a < math.floor(n / density + 1e-9) for a, b in zip(at, at[least - 1 :], strict=False)):
+                    want.add((i, k))
+        got = [tuple(r) for r in containment_candidates(frame(items, "item_id"), "item_id", frame(docs, "doc_id"), "doc_id", coverage, density, meet).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_verbatim_passages_of_any_length(spark):
+    import random
 
-    def runs(t, k):
-        w = (t or "").split()
-        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+    from folioscope.operators.containment import verbatim
 
-    want = {(j, i) for j, b in items for i, d in docs if d is not None and b is not None and (b in d or runs(b, k := min(5, len(b.split()) or 1)) & runs(d, k))}
-    got = [tuple(r) for r in spans.candidates(spark, str(tmp_path)).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice(["ab", "a", "b", " ", "\n", "ç", "😀"]) for _ in range(n))
+    docs = [(i, text(rng.choice([0, 2, 5, 30, 60]))) for i in range(70)] + [(99, None)]
+    items = [(i, text(n)) for i, n in enumerate([0, 1, 1, 2, 2, 3, 3, 4, 5, 6, 8, 12, 9, 7])] + [(50, None), (51, " "), (52, "a  b"), (53, "ab a b")]
+    items += [(60 + i, t[3:20]) for i, (_, t) in enumerate(docs) if t and len(t) > 30]
+    frame = lambda x, k: spark.createDataFrame(x, f"{k} long, text string")
+    got = [tuple(r) for r in verbatim(frame(items, "item_id"), "item_id", "text", frame(docs, "doc_id"), "doc_id", "text").collect()]
+    assert sorted(got) == sorted((i, k) for i, b in items for k, t in docs if b is not None and t is not None and b in t)
 
 
 def test_every_source_reads_what_was_written(spark, tmp_path):
