@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import greedy
 from folioscope.functions import normalize as n
 from folioscope.functions import rules as r
 from folioscope.functions import similarity as s
@@ -229,14 +230,14 @@ def test_ward_agrees_with_brute_force():
         i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda t: cost(groups[t[0]], groups[t[1]]))
         groups[j] += groups[i]
         del groups[i]
-    labels = d.ward(x, 5)
+    labels = greedy.ward(x, 5)
     assert sorted(sorted(np.flatnonzero(labels == k).tolist()) for k in set(labels)) == sorted(map(sorted, groups))
 
 
 def test_farthest_points_respect_caps():
     x = np.random.default_rng(2).normal(size=(40, 2))
-    m = d.matrix(x)
-    got = d.farthest_points(m, 10, [i % 4 for i in range(40)], 3)
+    m = greedy.matrix(x)
+    got = greedy.farthest_points(m, 10, [i % 4 for i in range(40)], 3)
     assert len(got) == 10 and max(np.bincount([i % 4 for i in got])) <= 3
     chosen = got[:1]
     for i in got[1:]:
@@ -261,15 +262,15 @@ def test_latest_and_caps_with_nulls(spark):
 
 
 def test_caps_give_way_where_no_candidate_is_left():
-    m = d.matrix(np.random.default_rng(3).normal(size=(12, 2)))
-    assert len(d.farthest_points(m, 8, [0] * 12, 3)) == 3
-    assert len(d.farthest_points(m, 8, [0] * 12, 3, relax=True)) == 8
+    m = greedy.matrix(np.random.default_rng(3).normal(size=(12, 2)))
+    assert len(greedy.farthest_points(m, 8, [0] * 12, 3)) == 3
+    assert len(greedy.farthest_points(m, 8, [0] * 12, 3, relax=True)) == 8
 
 
 def test_exchanges_under_a_ceiling_by_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(20):
-        m, over, value = d.matrix(rng.normal(size=(30, 2))), rng.random(30) < 0.6, rng.integers(0, 5, 30)
+        m, over, value = greedy.matrix(rng.normal(size=(30, 2))), rng.random(30) < 0.6, rng.integers(0, 5, 30)
         chosen, ceiling = rng.choice(30, 12, replace=False).tolist(), int(rng.integers(0, 8))
         now = set(chosen)
         for _ in range(80):
@@ -278,15 +279,15 @@ def test_exchanges_under_a_ceiling_by_brute_force():
                 break
             now.discard(min(marked, key=lambda i: (value[i], i)))
             now.add(max(free, key=lambda i: (min((m[i][j] for j in now), default=0), -i)))
-        assert d.class_ceiling(m, chosen, over, value, ceiling) == sorted(now)
+        assert greedy.class_ceiling(m, chosen, over, value, ceiling) == sorted(now)
 
 
 def test_twins_are_exchanged():
     x = np.array([[0, 0], [0.01, 0], [5, 5], [9, 0], [0, 9], [20, 20]], float)
     value, classes = np.array([1, 2, 3, 4, 5, 6]), list("aabbab")
-    assert d.twin_sweep(d.matrix(x), [0, 1, 2], value, classes, 1.0) == [1, 2, 4]  # of its own class
-    assert d.twin_sweep(d.matrix(x), [0, 1, 2], value, list("aabbbb"), 1.0) == [1, 2, 5]  # or the farthest
-    assert d.twin_sweep(d.matrix(x), [0, 1, 2], value, classes, 1.0, clusters=[0, 0, 0, 1, 0, 0], cluster_cap=2) == [1, 2, 3]
+    assert greedy.twin_sweep(greedy.matrix(x), [0, 1, 2], value, classes, 1.0) == [1, 2, 4]  # of its own class
+    assert greedy.twin_sweep(greedy.matrix(x), [0, 1, 2], value, list("aabbbb"), 1.0) == [1, 2, 5]  # or the farthest
+    assert greedy.twin_sweep(greedy.matrix(x), [0, 1, 2], value, classes, 1.0, clusters=[0, 0, 0, 1, 0, 0], cluster_cap=2) == [1, 2, 3]
 
 
 def test_distances_in_blocks(spark):
