@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Frequent words by which Turkish and English texts are told apart.
@@ -227,6 +227,8 @@ def root_cause(text_chars: Column, output: Column, front: Column, title: Column,
 
 def page_measures(pages: DataFrame, key: str, order: str, text: str, first: int = 3, least: int = 100) -> DataFrame:
     """key, pages and scanned: whether the first pages hold fewer than ``least`` characters on average."""
-    per = pages.groupBy(key).agg(F.count(F.lit(1)).alias("pages"), F.slice(F.array_sort(F.collect_list(F.struct(order, F.length(text).alias("n")))), 1, first).alias("_p"))
-    total = F.aggregate("_p", F.lit(0), lambda s, x: s + F.coalesce(x["n"], F.lit(0)))
-    return per.select(key, "pages", (total / F.size("_p") < least).alias("scanned"))
+    count = pages.groupBy(key).agg(F.count(F.lit(1)).alias("pages"))
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    front = pages.select(key, n.alias("_n"), F.coalesce(F.length(text), F.lit(0)).alias("_size")).filter(F.col("_n") <= first)  # limited on the map side
+    mean = front.groupBy(F.col(key).alias("_key")).agg(F.avg("_size").alias("_mean"))
+    return count.join(mean, F.col(key).eqNullSafe(F.col("_key"))).select(key, "pages", (F.col("_mean") < least).alias("scanned"))

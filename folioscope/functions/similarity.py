@@ -1,20 +1,19 @@
 """Similarity measures and decisions on them.
 
-Edit distances and set measures are Column expressions. Longest-match similarity has no Spark equivalent:
-it runs difflib itself in Arrow functions, since its result depends on the order of its arguments and on the
-popularity rule, which differ between call sites.
+Edit distances and set measures are Column expressions. Longest-match similarity has no Spark equivalent: its blocks
+are found by ``matching`` in Arrow batches. The result depends on the order of the arguments and on the popularity
+rule, which differ between call sites.
 """
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import normalize as n
+from folioscope.functions.matching import common_bound, ratio
 
 LEVENSHTEIN_MATCH = 0.80
 LONGEST_MATCH = 0.95
@@ -40,7 +39,7 @@ def levenshtein_match(a: Column, b: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def longest_match_ratio(pred: pd.Series, gold: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio without the popularity rule; the prediction is the first argument."""
-    return pd.Series([None if a is None or b is None else _ratio(a, b, False) for a, b in zip(pred, gold, strict=True)], dtype="float64")
+    return pd.Series([None if a is None or b is None else ratio(a, b, False) for a, b in zip(pred, gold, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(T.BooleanType())
@@ -54,22 +53,15 @@ def longest_match(pred: pd.Series, gold: pd.Series) -> pd.Series:
             return True
         if not a or not b or 2 * min(len(a), len(b)) < LONGEST_MATCH * (len(a) + len(b)):
             return False
-        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-        return m.quick_ratio() >= LONGEST_MATCH and m.ratio() >= LONGEST_MATCH
+        return common_bound(a, b) >= LONGEST_MATCH and ratio(a, b, False) >= LONGEST_MATCH
 
     return pd.Series([decide(a, b) for a, b in zip(pred, gold, strict=True)], dtype="object")
 
 
-def _ratio(a: str, b: str, autojunk: bool) -> float:
-    if not a and not b:
-        return 1.0
-    return difflib.SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
-
-
 @F.pandas_udf(T.DoubleType())
 def score_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest-match ratio with the popularity rule on score-normalised strings, three places; 0 if one is empty."""
-    return pd.Series([round(_ratio(x, y, True), 3) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+    return pd.Series([round(ratio(x, y, True), 3) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -79,7 +71,7 @@ def best_similarity(pred: pd.Series, golds: pd.Series) -> pd.Series:
 
     def one(p, gs):
         some = [g for g in (gs if gs is not None else []) if g is not None and g.strip()]
-        return None if not some else max(round(_ratio(p, g, True), 3) for g in some) if p else 0.0
+        return None if not some else max(round(ratio(p, g, True), 3) for g in some) if p else 0.0
 
     return pd.Series([one(p, gs) for p, gs in zip(pred, golds, strict=True)], dtype="float64")
 
@@ -87,7 +79,7 @@ def best_similarity(pred: pd.Series, golds: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def reference_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest-match ratio of the first 300 characters of two normalised references."""
-    return pd.Series([_ratio((x or "")[:300], (y or "")[:300], True) for x, y in zip(a, b, strict=True)])
+    return pd.Series([ratio((x or "")[:300], (y or "")[:300], True) for x, y in zip(a, b, strict=True)])
 
 
 def words(c: Column, least: int = 1) -> Column:

@@ -70,7 +70,9 @@ def misaligned(a: DataFrame, b: DataFrame, key: str, most: int = 20) -> DataFram
 
     both = numbered(a, "x").join(numbered(b, "y"), [key, "i"], "full_outer")
     bad = both.filter(~F.col("x").eqNullSafe(F.col("y")))
-    return bad.groupBy(key).agg(F.count(F.lit(1)).alias("n_bad"), F.slice(F.array_sort(F.collect_list("i")), 1, most).alias("places"))
+    first = bad.select(key, "i", F.row_number().over(Window.partitionBy(key).orderBy("i")).alias("_n")).filter(F.col("_n") <= most)
+    places = first.groupBy(key).agg(F.array_sort(F.collect_list("i")).alias("places"))
+    return bad.groupBy(key).agg(F.count(F.lit(1)).alias("n_bad")).join(places, key)
 
 
 #: The heading that ends a front part; how a running header shows; lengths of the snippets looked for.

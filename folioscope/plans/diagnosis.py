@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import rules as r
 from folioscope.operators.sets import complete
 from folioscope.plans.registry import query, table
+from folioscope.sources import writers
 
 
 def _hits(words) -> str:
@@ -166,11 +167,14 @@ def reason_categories(spark, sf_dir):
     return found.select(F.explode("hits").alias("h")).groupBy("h.field", "h.category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_MEASURED}, e AS (SELECT doc_id, unnest(list_distinct(list_filter(flags, lambda x: x <> ''))) AS flag FROM measured) SELECT flag, count(*) AS n, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS ids FROM e GROUP BY flag""")
+@query(f"""WITH {_MEASURED}, e AS (SELECT doc_id, unnest(list_distinct(list_filter(flags, lambda x: x <> ''))) AS flag FROM measured),
+r AS (SELECT flag, doc_id, (row_number() OVER (PARTITION BY flag ORDER BY doc_id) - 1) // 100 AS block FROM e)
+SELECT flag, block, count(*) AS n, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS ids FROM r GROUP BY flag, block""")
 def flags_inverted_index(spark, sf_dir):
-    """Label -> sorted ids (as a digest)."""
-    e = measured(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.filter("flags", lambda x: x != ""))).alias("flag"))
-    return e.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("doc_id")), ",")).alias("ids"))
+    """Label -> sorted ids (as a digest), a hundred in a block."""
+    e = measured(spark, sf_dir).select("doc_id", F.filter("flags", lambda x: x != "").alias("flags"))
+    lists = writers.inverted_index(e, "doc_id", "flags", 100)
+    return lists.select(F.col("label").alias("flag"), "block", "n", F.md5(F.array_join("ids", ",")).alias("ids"))
 
 
 @query(f"""WITH {_MEASURED}, f AS (SELECT len(list_distinct(list_filter(flags, lambda x: x <> ''))) AS k FROM measured) SELECT CAST(k AS INTEGER) AS n_flags, count(*) AS n FROM f GROUP BY k""")

@@ -115,9 +115,10 @@ def upsert_rows(spark, sf_dir):
     return writers.upsert(c, c.filter("c_custkey % 2 = 0").withColumn("c_name", F.lit("new")), "c_custkey")
 
 
-@query("""SELECT c_nationkey, '[' || string_agg('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}', ',' ORDER BY c_custkey) || ']' AS data FROM customer GROUP BY c_nationkey""")
+@query("""WITH r AS (SELECT *, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 20 AS block FROM customer)
+SELECT c_nationkey, block, '[' || string_agg('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}', ',' ORDER BY c_custkey) || ']' AS data FROM r GROUP BY c_nationkey, block""")
 def json_payload(spark, sf_dir):
-    return writers.payload(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name"), "c_nationkey")
+    return writers.payload(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name"), "c_nationkey", 20)
 
 
 @query("SELECT p_partkey, '%PDF-' || p_name || '%%EOF' AS content FROM part")

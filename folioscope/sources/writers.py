@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.similarity import compare_runs
+from folioscope.operators import postings
 from folioscope.operators.evaluate import breakdown
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of new replace rows of old with their key: a map-side maximum by generation."""
+def upsert(old: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Rows of new replace rows of old with their key: a map-side maximum by generation, then by ``order`` (all columns,
+    if there is none). Rows without a key are no two versions of one row and all stay."""
     columns = [c for c in new.columns if c != key]
     both = old.select(*new.columns).withColumn("_g", F.lit(0)).union(new.withColumn("_g", F.lit(1)))
-    best = both.groupBy(key).agg(F.max(F.struct("_g", *columns)).alias("_b"))
-    return best.select(key, *[F.col(f"_b.{c}") for c in columns])
+    best = both.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct("_g", *(order or []), F.struct(*columns).alias("_c"))).alias("_b"))
+    kept = best.select(key, *[F.col(f"_b._c.{c}") for c in columns])
+    return kept.union(both.filter(F.col(key).isNull()).select(key, *columns))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -31,15 +34,16 @@ def route(df: DataFrame, path: str, status: str = "status") -> DataFrame:
     return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 
 
-def payload(df: DataFrame, key: str) -> DataFrame:
-    """One JSON array of the rows for each value of key."""
-    return df.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != key])))).alias("data"))
+def payload(df: DataFrame, key: str, size: int = postings.SIZE) -> DataFrame:
+    """key, block and data: JSON arrays of the rows of a value of key, in their order, ``size`` at most in one."""
+    rest = [c for c in df.columns if c != key]
+    blocks = postings.in_blocks(df, key, [F.col(c) for c in rest], size)
+    return blocks.groupBy(key, "block").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rest)))).alias("data"))
 
 
-def inverted_index(df: DataFrame, key: str, labels: str) -> DataFrame:
-    """label -> number and sorted ids."""
-    x = df.select(key, F.explode(F.array_distinct(labels)).alias("label"))
-    return x.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(key)).alias("ids"))
+def inverted_index(df: DataFrame, key: str, labels: str, size: int = postings.SIZE) -> DataFrame:
+    """label, block, n and the sorted ids of the block."""
+    return postings.posting_lists(df, key, labels, size)
 
 
 def publish(df: DataFrame, path: str, version: str) -> str:
@@ -74,14 +78,17 @@ def install(df: DataFrame, path: str) -> None:
 
 
 def inventory(df: DataFrame, key: str, labels: str, columns: list[str]) -> DataFrame:
-    """Lines (part, place, line) of an inventory in Markdown: the ids of each label, a table of all rows with their
-    labels, and how often each label and each number of labels occurs."""
+    """Lines (part, place, line) of an inventory in Markdown: the ids of each label, a line for each block of them; a table
+    of all rows with their labels; and how often each label and each number of labels occurs."""
     ids = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("`"), i.cast("string"), F.lit("`"))), " ")
-    index = inverted_index(df, key, labels)
+    lists = inverted_index(df, key, labels)
+    index = postings.directory(lists)
+    place = F.concat("label", F.lit("\x01"), F.format_string("%012d", "block"))
+    heading = F.when(F.col("block") == 0, F.concat(F.lit("### "), "label", F.lit(" ("), F.col("total").cast("string"), F.lit("): "), ids)).otherwise(ids)
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     head = f"| {key} | {' | '.join(columns)} | labels |"
     parts = [
-        index.select(F.lit(0).alias("part"), F.col("label").alias("place"), F.concat(F.lit("### "), "label", F.lit(" ("), "n", F.lit("): "), ids).alias("line")),
+        lists.join(index.select("label", F.col("n").alias("total")), "label").select(F.lit(0).alias("part"), place.alias("place"), heading.alias("line")),
         df.sparkSession.createDataFrame([(1, "0", head), (1, "1", "|" + "---|" * (len(columns) + 2))], "part int, place string, line string"),
         df.select(F.lit(2).alias("part"), cell(key).alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", cell(key), *map(cell, columns), F.array_join(labels, ";")), F.lit(" |")).alias("line")),
         index.select(F.lit(3).alias("part"), F.format_string("%012d %s", F.lit(10**12 - 1) - F.col("n"), F.col("label")).alias("place"), F.format_string("- `%s` — %d", "label", "n").alias("line")),
