@@ -12,7 +12,7 @@
    one nearly as frequent go.
 
 The sketch has a cell for each CELL_BYTES bytes of text (rounded up to a power of two), so its load stays the same as the
-corpus grows; nothing of it is broadcast or sent to the driver. Per batch and cell met 3 bytes are shuffled. A shelf holds
+corpus grows; nothing of it is broadcast or sent to the driver. Per batch, length and cell met 3 bytes are shuffled. A shelf holds
 about half a million entries whatever the size; a run that all batches hold brings it 3 bytes a batch. What a batch keeps is
 one row for each different surviving run, so a word of every document costs one row a batch.
 
@@ -35,7 +35,7 @@ ORDER = 4
 LEAST = 30
 TOP = 2000
 SUBSUMED = 80
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 CELL_BYTES = 16
 SHELF = 16
 
@@ -95,7 +95,8 @@ class Words:
 def cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The cell of each hash in the two rows; the second row's cells follow the first's."""
     mask, width = np.uint64((1 << bits) - 1), np.uint64(1 << bits)
-    return _mix(h) & mask, (_mix(h * _B) & mask) + width
+    kind = np.uint32 if bits < 32 else np.uint64
+    return (_mix(h) & mask).astype(kind), ((_mix(h * _B) & mask) + width).astype(kind)
 
 
 def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -111,15 +112,19 @@ def _read(table: pa.Table) -> Words:
 def sketches(batches: DataFrame, bits: int, least: int, order: int = ORDER) -> DataFrame:
     """shelf, batch, places and counts: what each batch met, cell by cell."""
 
-    def sketch(key, table):
-        met = [c for _, h in _read(table).runs(order) for c in cells(h, bits)]
-        found = np.sort(np.concatenate(met))
+    def shelves(found: np.ndarray, batch: int) -> pa.Table:
+        found.sort()
         first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
         counts = np.minimum(np.diff(np.append(first, len(found))), least).astype(np.uint8 if least < 256 else np.uint32)
-        shelf, start = np.unique((found[first] >> np.uint64(SHELF)).astype(np.int64), return_index=True)
-        sizes = np.diff(np.append(start, len(first)))
-        places = (found[first] & np.uint64((1 << SHELF) - 1)).astype(np.uint16)
-        return pa.table({"shelf": shelf, "batch": pa.array([key[0].as_py()] * len(shelf), pa.int64()), "places": _binary(places, sizes), "counts": _binary(counts, sizes)})
+        found = found[first]
+        shelf, start = np.unique(found >> found.dtype.type(SHELF), return_index=True)
+        sizes = np.diff(np.append(start, len(found)))
+        places = (found & found.dtype.type((1 << SHELF) - 1)).astype(np.uint16)
+        return pa.table({"shelf": shelf.astype(np.int64), "batch": pa.array([batch] * len(shelf), pa.int64()), "places": _binary(places, sizes), "counts": _binary(counts, sizes)})
+
+    def sketch(key, table):
+        batch = key[0].as_py()
+        return pa.concat_tables([shelves(c, batch) for _, h in _read(table).runs(order) for c in cells(h, bits)])
 
     return batches.groupBy("batch").applyInArrow(sketch, "shelf long, batch long, places binary, counts binary")
 
@@ -149,10 +154,10 @@ class Heavy:
         shelf = np.repeat(np.array(table["shelf"], np.uint64), [len(p) // 2 for p in places]) if places else np.zeros(0, np.uint64)
         self.cells = np.sort((shelf << np.uint64(SHELF)) | np.frombuffer(b"".join(places), np.uint16).astype(np.uint64))
         self.low = np.zeros(_LOW + 1, bool)
-        self.low[self.cells & np.uint64(_LOW)] = True
+        self.low[(self.cells & np.uint64(_LOW)).astype(np.int64)] = True
 
     def holds(self, c: np.ndarray) -> np.ndarray:
-        ok = self.low[c & np.uint64(_LOW)]
+        ok = self.low[c & c.dtype.type(_LOW)]
         maybe = np.flatnonzero(ok)
         if len(maybe):
             at = np.minimum(np.searchsorted(self.cells, c[maybe]), len(self.cells) - 1)
