@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioscope.functions import normalize as n
 from folioscope.operators import reports as r
 from folioscope.plans.registry import query, table
 from folioscope.sources import readers, writers
+from folioscope.sources.scratch import folder
+from folioscope.sources.store import KeyedStore
 
 _FILES = (("run_a", 3), ("run_b", 5), ("run_c", 7))
 
@@ -115,6 +119,16 @@ def upsert_rows(spark, sf_dir):
     return writers.upsert(c, c.filter("c_custkey % 2 = 0").withColumn("c_name", F.lit("new")), "c_custkey")
 
 
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
+def keyed_store(spark, sf_dir):
+    """A stored table of each customer's latest order, filled by three batches of which one comes twice."""
+    store = KeyedStore(spark, f"{folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}", "o_custkey", ["o_orderdate", "o_orderkey"], 8)
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    for number, part in ((0, 2), (1, 0), (2, 1), (1, 0)):
+        store.upsert(orders.filter(F.col("o_orderkey") % 3 == part), number)
+    return store.rows().select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
 @query("""WITH r AS (SELECT *, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 20 AS block FROM customer)
 SELECT c_nationkey, block, '[' || string_agg('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}', ',' ORDER BY c_custkey) || ']' AS data FROM r GROUP BY c_nationkey, block""")
 def json_payload(spark, sf_dir):

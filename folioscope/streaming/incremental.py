@@ -1,7 +1,8 @@
 """Incremental runs: what has a result is not done again.
 
 The batch form is an anti join with the sink. The streaming form reads new files once, in micro-batches, keeps
-what it has read in its checkpoint, and upserts each batch; trigger availableNow ends when all is read.
+what it has read in its checkpoint, and writes each batch to a folder of its own, or merges it into a ``KeyedStore``;
+trigger availableNow ends when all is read.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from folioscope.sources.store import KeyedStore
+
 
 def remaining(wanted: DataFrame, sink: DataFrame, key: str) -> DataFrame:
     return wanted.join(sink.select(key), key, "left_anti")
@@ -33,6 +36,12 @@ def run_available(spark: SparkSession, source: str, schema: StructType | str, tr
     return len(done)
 
 
+def upsert_available(spark: SparkSession, source: str, schema: StructType | str, transform: Callable[[DataFrame], DataFrame], store: KeyedStore, checkpoint: str, files_per_batch: int = 1000) -> int:
+    """Transforms the files that have come since the last run and merges them into a store by key. Returns the number of batches."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    return store.follow(transform(stream), checkpoint)
+
+
 def collect_until(rows: DataFrame, status: str, wanted: str, target: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """The first ``target`` rows of the wanted status, and the counts by status over all rows up to the one that fills
     the target (over all rows if it is not filled): what was tried, and what became of it. The order must be total."""
