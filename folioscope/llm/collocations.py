@@ -38,6 +38,8 @@ SUBSUMED = 80
 BATCH_BYTES = 8 << 20
 CELL_BYTES = 16
 SHELF = 16
+#: Parts of a language's candidates that are ranked by themselves first.
+PARTS = 64
 
 #: Characters that part pieces; within a piece only space and tab are left to part words.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -199,9 +201,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, batch_bytes: int = BATCH_
     """A written table of lang, m, phrase and a: the runs of one to ORDER words found ``least`` times or more, and all words (m = 0)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(SHELF, (size // CELL_BYTES).bit_length())
-    batch = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(size // batch_bytes + 1).cast("long"))
-    batches = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", batch.alias("batch"))
-    exact = survivors(batches, replies(sketches(batches, bits, least), least), bits)
+    n = size // batch_bytes + 1
+    tasks = max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # as many as there is work for
+    batch = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n).cast("long"))
+    batches = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", batch.alias("batch")).repartition(tasks, "batch")
+    heavy = replies(sketches(batches, bits, least).repartition(tasks, "shelf"), least)
+    exact = survivors(batches, heavy, bits)
     counts = exact.groupBy("lang", "m", "phrase").agg(F.sum("a").alias("a"))
     return materialize(counts.filter((F.col("m") == 0) | (F.col("a") >= least)))
 
@@ -235,8 +240,10 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, batch_byte
     counts = phrase_counts(docs, least, batch_bytes)
     rows = scored(counts).join(subsumed(counts), ["lang", "phrase"], "left")
     rows = rows.filter(~F.coalesce(F.col("f").cast("decimal(28,0)") * 100 >= F.col("a").cast("decimal(28,0)") * SUBSUMED, F.lit(False)))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    rows = rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))  # a language's first are among its parts' first
+    rows = rows.withColumn("rank", rank("part")).filter(F.col("rank") <= top)
+    rows = rows.withColumn("rank", rank()).filter(F.col("rank") <= top)
     totals = counts.filter("m = 0").select("lang", F.col("a").alias("n"))
     return rows.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
