@@ -20,8 +20,8 @@ A rank's members are never brought together: a pair of ranks is counted with map
 is joined back, which Spark may split where one line, or the source of many copies, is very frequent.
 
 Defined results: a null text has no lines; an empty text has one empty line; lines are compared as they
-are, without one trailing carriage return; null doc_ids come last in corpus order; rows that share doc_id and text
-are one document and lose the same lines; very long texts take time linear in their lines, times the logarithm of the
+are, without one trailing carriage return; null doc_ids come last in corpus order; of rows that share doc_id and text
+one is the document and the others lose all their lines, as later copies of it; very long texts take time linear in their lines, times the logarithm of the
 longest repeated run; an empty table gives an empty result; other columns, whatever their names, are kept by
 ``drop_repeated_lines``.
 """
@@ -179,11 +179,22 @@ def removed_runs(docs: DataFrame, least: int = MIN_LINES, words: int | None = MI
 
 
 def mark_lines(docs: DataFrame, least: int = MIN_LINES, words: int | None = MIN_WORDS) -> DataFrame:
-    """row (the columns of docs as a struct) and drop, the numbers of the lines to delete (null where there are none)."""
+    """row (the columns of docs as a struct) and drop, the numbers of the lines to delete (null where there are none).
+
+    Of rows that share doc_id and text the first one written is the document; the others are later copies of all of it.
+    """
     lines = F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("length") - 1)))
     drop = later_copies(docs.select("doc_id", "text"), least, words).groupBy("did").agg(lines.alias("drop"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _name())
-    return rows.join(drop, "did", "left").select("row", "drop")
+    again = docs.filter("text IS NOT NULL").groupBy(_name()).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("did")
+    again = materialize(again)
+    if again.isEmpty():
+        return rows.join(drop, "did", "left").select("row", "drop")
+    once = rows.join(again, "did", "left_anti").join(drop, "did", "left").select("row", "drop")
+    many = materialize(rows.join(again, "did", "left_semi").withColumn("uid", F.monotonically_increasing_id()))
+    first = many.groupBy("did").agg(F.min("uid").alias("first")).join(drop, "did", "left")
+    whole = F.sequence(F.lit(0), F.size(F.split("row.text", "\n", -1)) - 1)
+    return once.union(many.join(first, "did").select("row", F.when(F.col("uid") == F.col("first"), F.col("drop")).otherwise(whole)))
 
 
 @F.pandas_udf(T.StringType())

@@ -451,22 +451,34 @@ def test_short_runs_with_many_words_and_whole_documents_go_too(spark, save):
 
 
 def brute_lines(rows):
-    """Texts left by the rule: later copies of runs of three lines, or of 50 words, or of short whole documents."""
-    docs = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None})
-    lines = {d: [x.removesuffix("\r") for x in d[2].split("\n")] for d in docs}
-    seen, gone = set(), defaultdict(set)
-    for d in docs:
-        for p in range(len(lines[d])):
+    """Texts left by the rule: later copies of runs of three lines, or of 50 words, or of short whole documents. Every row
+    is a document of its own; of equal ones any may be the first."""
+    order = sorted((r[0] is None, r[0] or 0, r[1], i) for i, r in enumerate(rows) if r[1] is not None)
+    seen, left = set(), {i: None for i in range(len(rows))}
+    for _, _, text, i in order:
+        lines, gone = [x.removesuffix("\r") for x in text.split("\n")], set()
+        for p in range(len(lines)):
             for n in (1, 2, 3):
-                run = tuple(lines[d][p : p + n])
+                run = tuple(lines[p : p + n])
                 if len(run) == n and (n == 3 or sum(len(x.encode().split()) for x in run) >= 50):
-                    gone[d] |= set(range(p, p + n)) if run in seen else set()
+                    gone |= set(range(p, p + n)) if run in seen else set()
                     seen.add(run)
-        if len(lines[d]) < 3:
-            gone[d] |= set(range(len(lines[d]))) if ("whole", *lines[d]) in seen else set()
-            seen.add(("whole", *lines[d]))
-    left = lambda d: "\n".join(x for i, x in enumerate(d[2].split("\n")) if i not in gone[d])
-    return Counter((r[0], None if r[1] is None else left((r[0] is None, r[0] or 0, r[1]))) for r in rows)
+        if len(lines) < 3:
+            gone |= set(range(len(lines))) if ("whole", *lines) in seen else set()
+            seen.add(("whole", *lines))
+        left[i] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+    return Counter((r[0], left[i]) for i, r in enumerate(rows))
+
+
+def test_copies_without_an_id_or_with_the_same_one(spark):
+    six = "\n".join(f"line {c}" for c in "abcdef")
+    rows = [(None, six)] * 3 + [(9, "p p\nq q"), (9, "p p\nq q"), (None, "one"), (None, "one"), (None, None), (None, None), (3, f"z\n{six}"), (3, f"z\n{six}"), (None, "")]
+    for part in (rows, rows[:3], rows[:3] + [(5, six)], rows[3:7]):
+        docs = spark.createDataFrame(part, "doc_id long, text string").withColumn("n", F.monotonically_increasing_id()).repartition(3)
+        got = line_dedup.drop_repeated_lines(docs)
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == brute_lines(part)
+        assert sorted(r.n for r in got.collect()) == sorted(r.n for r in docs.collect())
+    assert sum(r.text == six for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect()) == 1
 
 
 def test_line_runs_by_brute_force_and_clashing_names(spark, messy, messy_rows):
