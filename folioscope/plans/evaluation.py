@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from folioscope.functions import normalize as n
 from folioscope.functions import similarity as s
 from folioscope.operators import evaluate as e
-from folioscope.plans.normalization import _collapse, _drop, _low, _sql_translate
+from folioscope.operators.layout import layout_features
+from folioscope.operators.spans import overlap_share
+from folioscope.plans.normalization import _collapse, _drop, _low, _sql_translate, _table
 from folioscope.plans.registry import query, table
 
 
@@ -153,13 +155,22 @@ def exact_year_score(spark, sf_dir):
 _NAMES = "list_filter(list_distinct(string_split(replace({0}, '#', ' '), ' ')), lambda t: length(t) >= 3)"
 
 
-@query("""
+_ANY_NAMES = """
 WITH per AS (SELECT p_brand, p_type, list_sort(list_distinct(list(p_name))) AS names FROM part GROUP BY p_brand, p_type),
 g AS (SELECT p_brand, list_sort(list_distinct(list(p_name))) AS gold FROM part GROUP BY p_brand),
 pair AS (SELECT per.p_brand, p_type, list_transform(names, lambda x: list_filter(string_split(x, ' '), lambda t: length(t) >= 3)) AS p,
   list_transform(gold, lambda x: list_filter(string_split(x, ' '), lambda t: length(t) >= 3)) AS g FROM per JOIN g USING (p_brand))
 SELECT p_brand, p_type, round(CAST(len(list_filter(g, lambda x: len(list_filter(p, lambda y: list_has_any(x, y))) > 0)) AS DOUBLE) / len(g), 6) AS recall,
-  round(CAST(len(list_filter(p, lambda x: len(list_filter(g, lambda y: list_has_any(x, y))) > 0)) AS DOUBLE) / len(p), 6) AS precision FROM pair""")
+  round(CAST(len(list_filter(p, lambda x: len(list_filter(g, lambda y: list_has_any(x, y))) > 0)) AS DOUBLE) / len(p), 6) AS precision FROM pair"""
+
+
+@query(f"SELECT p_brand, p_type, CAST(floor(recall * 100 + 0.5) / 100 AS DOUBLE) AS recall FROM ({_ANY_NAMES})")
+def author_recall(spark, sf_dir):
+    """Recall of names that share a token, at two decimals."""
+    return names_any_overlap(spark, sf_dir).select("p_brand", "p_type", F.round("recall", 2).alias("recall"))
+
+
+@query(_ANY_NAMES)
 def names_any_overlap(spark, sf_dir):
     """Names that share a token of three letters: recall and precision of each brand and type against its brand."""
     part = table(spark, sf_dir, "part")
@@ -169,7 +180,13 @@ def names_any_overlap(spark, sf_dir):
     return x.select("p_brand", "p_type", F.round("x.recall", 6).alias("recall"), F.round("x.precision", 6).alias("precision"))
 
 
-@query()
+@query("""
+WITH n AS (SELECT DISTINCT p_brand, p_type, p_name, (list_sort(list_transform(list_filter(string_split(p_name, ' '), lambda t: length(t) >= 3), lambda t: {'l': -length(t), 't': t})))[1].t AS k FROM part),
+gold AS (SELECT DISTINCT p_brand, p_name, k FROM n), size AS (SELECT p_brand, count(*) AS n FROM gold GROUP BY 1),
+hit AS (SELECT t.p_brand, t.p_type, count(*) AS h FROM (SELECT DISTINCT p_brand, p_type, k FROM n) t JOIN gold g ON g.p_brand = t.p_brand AND g.k = t.k GROUP BY 1, 2),
+own AS (SELECT p_brand, p_type, CAST(count(k) AS DOUBLE) / count(*) AS p FROM n GROUP BY 1, 2),
+x AS (SELECT p_brand, p_type, CAST(coalesce(h, 0) AS DOUBLE) / size.n AS r, p FROM own LEFT JOIN hit USING (p_brand, p_type) JOIN size USING (p_brand))
+SELECT p_brand, p_type, round(r, 6) AS recall, round(p, 6) AS precision, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM x""")
 def names_strict_overlap(spark, sf_dir):
     """Names whose longest token is the same."""
     part = table(spark, sf_dir, "part")
@@ -261,3 +278,41 @@ def two_runs_in_points(spark, sf_dir):
     d = _decided(spark, sf_dir)
     out = d.agg(*[(F.lit(100.0) * F.count_if(F.col(c) == F.col("gold")) / F.count(F.lit(1))).alias(name) for c, name in (("a", "first"), ("b", "second"))])
     return out.withColumn("points", F.col("second") - F.col("first"))
+
+
+def _long_words(x: str) -> str:
+    word = _drop(_sql_translate(_low(_table("w", n.GLYPHS)), *n.TURKISH_FOLD), n.NON_WORD)
+    return f"list_distinct(list_filter(list_transform(regexp_split_to_array({x}, '\\s+'), lambda w: {word}), lambda w: length(w) > 2))"
+
+
+@query(f"""WITH {_PAGES}, w AS (SELECT id, {_long_words('lead')} AS a, {_long_words('title')} AS g FROM pf)
+SELECT id, CASE WHEN len(g) > 0 THEN round(CAST(len(list_intersect(a, g)) AS DOUBLE) / len(g), 6) END AS share FROM w""")
+def header_overlap(spark, sf_dir):
+    """Share of a title's words that the first paragraph has."""
+    return page_fields(spark, sf_dir).select("id", F.round(overlap_share(F.col("lead"), F.col("title")), 6).alias("share"))
+
+
+_BOXES = """boxes AS (SELECT page_id, CAST(CASE WHEN page_id % 2 = 0 AND i % 3 = 2 THEN 330 + k % 5 ELSE 50 + k % 7 END AS DOUBLE) AS x0, CAST(810 - (i * 14) % 760 AS DOUBLE) - z AS y0,
+  CAST(CASE WHEN page_id % 2 = 0 AND i % 3 = 2 THEN 330 + k % 5 ELSE 50 + k % 7 END + least(k * 4, 230) AS DOUBLE) AS x1, CAST(810 - (i * 14) % 760 AS DOUBLE) AS y1, CAST(z AS DOUBLE) AS size, line
+  FROM (SELECT page_id, i, line, length(line) AS k, CASE WHEN i = 3 THEN 18 ELSE 8 + length(line) % 3 END AS z FROM (SELECT page_id, unnest(regexp_extract_all(html, '>([^<>]+)<', 1)) AS line, generate_subscripts(regexp_extract_all(html, '>([^<>]+)<', 1), 1) - 1 AS i FROM pages)))"""
+
+
+@query(f"""WITH {_BOXES}, p AS (SELECT page_id, min(x0) AS l, max(x1) AS r, max(y1) AS t, min(y0) AS b, median(size) AS m, quantile_cont(size, 0.9) - quantile_cont(size, 0.1) AS s,
+  count(*) FILTER (WHERE x0 < 270) AS nl, count(*) FILTER (WHERE x0 > 300 AND x0 < 540) AS nr, median(x0) FILTER (WHERE x0 > 300 AND x0 < 540) AS mode_, quantile_cont(x1, 0.9) FILTER (WHERE x0 < 270) AS edge,
+  avg(CASE WHEN y1 > 842 * 0.92 THEN 1.0 ELSE 0.0 END) AS h, avg(CASE WHEN y0 < 842 * 0.08 THEN 1.0 ELSE 0.0 END) AS f, sum(length(line)) AS n FROM boxes GROUP BY page_id),
+g AS (SELECT page_id, y1 - lead(y1) OVER (PARTITION BY page_id ORDER BY y1 DESC, x0) AS gap FROM boxes),
+l AS (SELECT page_id, median(gap) AS gap FROM g JOIN p USING (page_id) WHERE gap > 0 AND gap < 5 * m GROUP BY page_id),
+big AS (SELECT page_id, x0, x1, y1, size FROM boxes JOIN p USING (page_id) WHERE size >= 1.35 * m QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY y1 DESC, x0, size DESC, x1 DESC) = 1),
+q AS (SELECT p.*, l.gap, big.y1, big.x0, big.x1, big.size, nr > 6 AND nl > 6 AND CAST(nr AS DOUBLE) / greatest(nl, 1) > 0.25 AS two FROM p LEFT JOIN l USING (page_id) LEFT JOIN big USING (page_id))
+SELECT page_id, CASE WHEN two THEN 2 ELSE 1 END AS n_cols, round(l / 600, 4) AS margin_l, round(1 - r / 600, 4) AS margin_r, round(1 - t / 842, 4) AS margin_t, round(b / 842, 4) AS margin_b, round(m, 2) AS med_fontsize, round(s / greatest(m, 1), 3) AS font_spread,
+  round(CASE WHEN two THEN (edge + mode_) / 2 / 600 ELSE 0 END, 4) AS gutter_center, round(CASE WHEN two THEN greatest(0, mode_ - edge) / 600 ELSE 0 END, 4) AS gutter_w, round(CASE WHEN two THEN mode_ - l ELSE r - l END / 600, 4) AS col_w, round(h, 3) AS hdr_band, round(f, 3) AS ftr_band,
+  round(1 - coalesce(y1, t) / 842, 4) AS title_y, round(coalesce(size / m, 1.0), 3) AS title_ratio, round(CASE WHEN y1 IS NULL THEN l + r ELSE x0 + x1 END / 2 / 600, 3) AS title_cx, round(coalesce(gap / m, 1.2), 3) AS leading, round(n / (600 * 842.0) * 1000, 3) AS txt_density FROM q""")
+def layout_fingerprint(spark, sf_dir):
+    """Layout features of pages whose texts are set out in boxes: every third line in a right column on even pages, the fourth a title."""
+    lines = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(">([^<>]+)<"), F.lit(1))).alias("i", "text"))
+    k, i = F.length("text"), F.col("i")
+    size = F.when(i == 3, 18).otherwise(8 + k % 3)
+    x0 = F.when((F.col("page_id") % 2 == 0) & (i % 3 == 2), 330 + k % 5).otherwise(50 + k % 7)
+    y1 = 810 - (i * 14) % 760
+    boxes = lines.select("page_id", "text", *[c.cast("double").alias(name) for name, c in (("x0", x0), ("y0", y1 - size), ("x1", x0 + F.least(k * 4, F.lit(230))), ("y1", y1), ("size", size))])
+    return layout_features(boxes, "page_id", 600, 842)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import containment
 from folioscope.operators import sets as o
+from folioscope.operators import sketches
 from folioscope.plans.registry import query, table
 
 
@@ -233,6 +234,17 @@ def percentiles(spark, sf_dir):
     return q.select("l_returnflag", *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("p2", "p5", "p10", "p25", "p50"))])
 
 
+@query("""SELECT l_returnflag, count(*) AS n, true AS p2, true AS p5, true AS p10, true AS p25, true AS p50, true AS parts FROM lineitem GROUP BY 1""")
+def merged_sketches(spark, sf_dir):
+    """Sketches of four runs merged: whether each quantile's true rank is within a hundredth, and the distinct count within a tenth."""
+    rows = lineitem(spark, sf_dir).select("l_returnflag", "l_extendedprice", "l_partkey", "l_linenumber")
+    runs = [sketches.summary(rows.filter(F.col("l_linenumber") % 4 == i), ["l_returnflag"], F.col("l_extendedprice"), F.col("l_partkey")) for i in range(4)]
+    shares = {"p2": 0.02, "p5": 0.05, "p10": 0.10, "p25": 0.25, "p50": 0.5}
+    m = sketches.merged(runs, ["l_returnflag"]).select("l_returnflag", "n", sketches.distinct().alias("items"), *[sketches.quantile(q).alias(c) for c, q in shares.items()])
+    x = rows.join(m, "l_returnflag").groupBy("l_returnflag", "n", "items").agg(F.count_distinct("l_partkey").alias("known"), *[F.avg((F.col("l_extendedprice") <= F.col(c)).cast("double")).alias(c) for c in shares])
+    return x.select("l_returnflag", "n", *[(F.abs(F.col(c) - q) <= 0.01).alias(c) for c, q in shares.items()], (F.abs(F.col("items") / F.col("known") - 1) <= 0.1).alias("parts"))
+
+
 @query("SELECT count(*) AS total, count(CASE WHEN c_acctbal > 0 THEN c_acctbal END) AS known, round(avg(CASE WHEN c_acctbal > 0 THEN c_acctbal END), 4) AS mean FROM customer")
 def null_skipping_average(spark, sf_dir):
     x = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
@@ -274,10 +286,11 @@ def hit_ratio_bands(spark, sf_dir):
     return h.agg(_n(), F.count_if(F.col("r") == 0).alias("none"), F.count_if(F.col("r") < 0.5).alias("low"), F.count_if(F.col("r") >= 0.8).alias("high"))
 
 
-@query("SELECT l_shipmode_n AS bucket, CAST(sum(q) AS BIGINT) AS gold, CAST(sum(f) AS BIGINT) AS found, CAST(sum(CASE WHEN f > 0 THEN 1 ELSE 0 END) AS BIGINT) AS matched FROM (SELECT l_linenumber AS l_shipmode_n, CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS f FROM lineitem) GROUP BY 1")
+@query("SELECT l_shipmode_n AS bucket, CAST(sum(q) AS BIGINT) AS gold, CAST(sum(f) AS BIGINT) AS found, CAST(sum(CASE WHEN f > 0 AND q > 25 THEN 1 ELSE 0 END) AS BIGINT) AS matched FROM (SELECT l_linenumber AS l_shipmode_n, CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS f FROM lineitem) GROUP BY 1")
 def micro_totals(spark, sf_dir):
-    f = (F.col("l_returnflag") == "R").cast("long")
-    return lineitem(spark, sf_dir).groupBy(F.col("l_linenumber").alias("bucket")).agg(F.sum(F.col("l_quantity").cast("long")).alias("gold"), F.sum(f).alias("found"), F.sum(f).alias("matched"))
+    """References that are known, that were found, and of those found the ones that match."""
+    f, q = (F.col("l_returnflag") == "R").cast("long"), F.col("l_quantity").cast("long")
+    return lineitem(spark, sf_dir).groupBy(F.col("l_linenumber").alias("bucket")).agg(F.sum(q).alias("gold"), F.sum(f).alias("found"), F.sum(F.when(q > 25, f).otherwise(0)).alias("matched"))
 
 
 # --- windows and orders
