@@ -117,15 +117,21 @@ def api_record(df: DataFrame, column: str = "value") -> DataFrame:
     return filled.withColumn("durum", completeness(baslik=F.col("gercek_baslik"), ozet=F.col("gercek_ozet"), yazar=F.col("gercek_yazarlar")))
 
 
+def broken_markup(markup: Column) -> Column:
+    """The markup, if it is not well-formed; else null."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
+    return F.from_xml(markup, "corrupt string", options)["corrupt"]
+
+
 def article_record(df: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """Journal article markup to a flat row. XPath raises on malformed markup, so give it well-formed rows."""
-    x = F.col(column)
+    """Journal article markup to a flat row. A row whose markup is broken keeps it in ``corrupt`` and has no fields."""
+    x = F.when(broken_markup(F.col(column)).isNull(), F.col(column))
 
     def one(path):
         return F.trim(F.regexp_replace(F.xpath_string(x, F.lit(path)), r"\s+", " "))
 
     names = F.zip_with(F.xpath(x, F.lit("//contrib[@contrib-type='author']/name/given-names/text()")), F.xpath(x, F.lit("//contrib[@contrib-type='author']/name/surname/text()")), lambda g, s: F.concat_ws(" ", g, s))
-    return df.select(key, one("//article-meta//article-title").alias("title"), one("//article-meta//abstract").alias("abstract"), names.alias("authors"), F.xpath(x, F.lit("//kwd/text()")).alias("keywords"), one("//pub-date/year").alias("year"), one("//journal-title").alias("journal"), one("//article-id[@pub-id-type='doi']").alias("doi"))
+    return df.select(key, one("//article-meta//article-title").alias("title"), one("//article-meta//abstract").alias("abstract"), names.alias("authors"), F.xpath(x, F.lit("//kwd/text()")).alias("keywords"), one("//pub-date/year").alias("year"), one("//journal-title").alias("journal"), one("//article-id[@pub-id-type='doi']").alias("doi"), broken_markup(F.col(column)).alias("corrupt"))
 
 
 def header_record(df: DataFrame, key: str, column: str = "text") -> DataFrame:

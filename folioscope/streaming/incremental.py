@@ -52,6 +52,52 @@ def collect_until(rows: DataFrame, status: str, wanted: str, target: int, order:
     return hits, tried.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 
 
+class Collection:
+    """collect_until over a stream: what is collected, and what was tried, is kept by micro-batch under a path.
+
+    A batch takes what is still missing when the batches before it are counted, so a batch that is run again replaces
+    itself and changes nothing else. Once the target is filled batches are passed over. The rows of later batches come
+    after those of earlier ones; ``order`` is that inside a batch. The two tables are those of collect_until, however the
+    stream is cut into batches."""
+
+    def __init__(self, spark: SparkSession, path: str, status: str, wanted: str, target: int, order: list[str]):
+        self.spark, self.path, self.status, self.wanted, self.target, self.order = spark, path, status, wanted, target, order
+
+    def _stored(self, table: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.path}/{table}")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+
+    def missing(self, number: int | None = None) -> int:
+        """How many rows the target lacks, before a batch or in all."""
+        stored = self._stored("hits")
+        if stored is None:
+            return self.target
+        return self.target - (stored if number is None else stored.filter(F.col("batch") < number)).count()
+
+    def add(self, rows: DataFrame, number: int) -> None:
+        left = self.missing(number)
+        hits, tried = collect_until(rows, self.status, self.wanted, left, self.order) if left > 0 else (rows.limit(0), rows.limit(0).groupBy(self.status).agg(F.count(F.lit(1)).alias("n")))
+        hits.write.mode("overwrite").parquet(f"{self.path}/hits/batch={number}")
+        tried.write.mode("overwrite").parquet(f"{self.path}/tried/batch={number}")
+
+    def follow(self, stream: DataFrame, checkpoint: str) -> int:
+        """Collects from what a stream has now; returns how many rows the target still lacks."""
+        query = stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return self.missing()
+
+    def tables(self) -> tuple[DataFrame, DataFrame]:
+        """The rows collected, and the counts by status of all that was tried."""
+        hits, tried = self._stored("hits"), self._stored("tried")
+        if hits is None or tried is None:
+            raise FileNotFoundError(self.path)
+        return hits.drop("batch"), tried.groupBy(self.status).agg(F.sum("n").alias("n"))
+
+
 def cached(wanted: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
     """Results of compute for the wanted keys, of which those stored under path are not computed again.
 

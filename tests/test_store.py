@@ -66,3 +66,20 @@ def test_a_stream_feeds_the_store(spark, tmp_path):
     put([("a", 2, "a2"), ("b", 1, "b1")], "3")
     assert go() == 1
     assert stored(store) == sorted([("a", 3, "a3"), ("b", 1, "b1"), (None, 1, "x")], key=str)
+
+
+@pytest.mark.parametrize("files", [1, 2, 7])
+def test_a_collection_is_the_same_however_the_stream_is_cut(spark, tmp_path, files):
+    from folioscope.streaming.incremental import Collection, collect_until
+
+    rows = [(i, "ok" if i % 4 == 1 else "bad" if i % 3 else "late") for i in range(140)]
+    want = [sorted(map(tuple, t.collect())) for t in collect_until(spark.createDataFrame(rows, "id long, status string"), "status", "ok", 20, ["id"])]
+    c = Collection(spark, str(tmp_path / "c"), "status", "ok", 20, ["id"])
+    stream = lambda: spark.readStream.schema("id long, status string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/src/*")
+    step = 140 // files
+    for n in range(files):
+        spark.createDataFrame(rows[n * step : (n + 1) * step], "id long, status string").coalesce(1).write.parquet(f"{tmp_path}/src/{n}")
+        left = c.follow(stream(), str(tmp_path / "mark"))
+    assert left == 0
+    c.add(spark.createDataFrame(rows[:step], "id long, status string"), 0)  # delivered twice
+    assert [sorted(map(tuple, t.select(*k).collect())) for t, k in zip(c.tables(), (["id", "status"], ["status", "n"]), strict=True)] == want
