@@ -115,7 +115,7 @@ def test_shapes_of_a_front_page():
     assert got["abstract_en"].startswith("In this study") and got["abstract_en"].endswith("field.")
     assert got["keyword_tr"] == "verim, kalite" and got["keyword_en"] == "yield, quality, crops"
     assert got["doi"] == "10.1234/tarim.567" and got["date"] == "12.03.2019"
-    assert not p.is_author_line("BİTKİSEL ÜRETİMDE VERİM") and not p.is_author_line("Sorumlu yazar: Ayşe YILMAZ")
+    assert not p.of_authors("BİTKİSEL ÜRETİMDE VERİM") and not p.of_authors("Sorumlu yazar: Ayşe YILMAZ")
 
 
 def test_an_abstract_without_a_heading():
