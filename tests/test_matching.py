@@ -50,3 +50,17 @@ def test_blocks_of_null_groups_and_ties(spark):
     rows = spark.createDataFrame([(None, 1), (None, 1), (None, None), ("a", 2)], "k string, v int")
     got = sorted((r.k or "", r.block, r.v or 0) for r in postings.in_blocks(rows, "k", [F.col("v")], 2).collect())
     assert got == [("", 0, 0), ("", 0, 1), ("", 1, 1), ("a", 0, 2)]
+
+
+def test_resolved_spans_are_those_settled_one_by_one(spark):
+    from folioscope.operators import spans as p
+
+    r = random.Random(9)
+    fields = [*p.PRIORITY[::2], "unknown"]
+    rows = []
+    for i in range(120):
+        spans = [(s := r.randrange(0, 120), s + r.choice([0, 3, 9, 14, 40, 130]), r.choice(fields)) for _ in range(r.randrange(0, 7))]
+        rows.append((i, spans))
+    df = spark.createDataFrame([*rows, (999, None)], "id long, spans array<struct<start: long, end: long, field: string>>")
+    got = {x.id: [(s.start, s.end, s.field) for s in x.s] for x in df.select("id", p.resolve(F.col("spans")).alias("s")).collect()}
+    assert got == {i: p.settle(spans) for i, spans in rows} | {999: []}

@@ -97,3 +97,50 @@ def test_empty_and_null_groups(spark):
     assert c.farthest(rows, 5, start=1).count() == 0 and c.Selection().extend(rows, 3) == []
     rows = spark.createDataFrame([(i, [float(i)], None) for i in range(6)], "id long, v array<double>, group long")
     assert len(order(c.farthest(rows, 6, cap=2))) == 2 and len(order(c.farthest(rows, 6, cap=2, relax=True))) == 6
+
+
+@pytest.fixture(scope="module")
+def pool():
+    import pyarrow.parquet as pq
+
+    from tests.conftest import SF
+
+    pdf = pq.read_table(f"{SF}/embeddings.parquet").to_pandas().sort_values("vec_id").reset_index(drop=True)
+    return pdf.vec_id.to_numpy(), np.stack(pdf.embedding.to_numpy()).astype(float), pdf.label.tolist()
+
+
+def run(spark, name):
+    from folioscope import plans
+    from tests.conftest import SF
+
+    return plans.QUERIES[name](spark, SF)
+
+
+def test_selection_queries_by_brute_force(spark, pool):
+    ids, x, label = pool
+    m = greedy.matrix(x)
+    got = [r.id for r in run(spark, "farthest_point").orderBy("place").collect()]
+    assert got == [ids[i] for i in greedy.farthest_points(m, 60, label, 12, relax=True)]
+    soft, want = (ids % 25).tolist(), []
+    for block, k in ((0, 20), (1, 20), (2, 20), (3, 40)):
+        penalty = np.where(ids % 3 == 0, -0.4, 0.0) + np.where(ids % 4 == block, 0.0, -np.inf)
+        picked = greedy.farthest_points(m, k, label, 40, soft=soft, soft_cap=6, penalty=penalty, twin=0.5, seed=[i for i, _ in want])
+        want += [(i, block) for i in picked if ids[i] % 4 == block]
+    assert sorted(map(tuple, run(spark, "quota_selection").collect())) == sorted((ids[i], b) for i, b in want)
+
+
+def test_exchange_queries_by_brute_force(spark, pool):
+    ids, x, label = pool
+    m, value, first = greedy.matrix(x), ids * 7 % 101, list(range(min(100, len(ids))))
+    bound = float(np.percentile(m[np.triu_indices(len(m), 1)], 2))
+    want = greedy.twin_sweep(m, first, value, label, bound, clusters=(ids % 60).tolist())
+    assert sorted(r.id for r in run(spark, "twin_sweep").collect()) == sorted(ids[want].tolist())
+    want = greedy.class_ceiling(m, first, ids % 2 == 0, value, 30)
+    assert sorted(r.id for r in run(spark, "language_ceiling").collect()) == sorted(ids[want].tolist())
+
+
+def test_ward_query_by_brute_force(spark, pool):
+    ids, x, _ = pool
+    got = {r.id: (r.cluster, r.cluster_fine) for r in run(spark, "ward_clusters").collect()}
+    coarse, fine = greedy.ward(x, max(20, round(len(x) / 3.5))), greedy.ward(x, round(len(x) / 2.2))
+    assert got == {i: (a, b) for i, a, b in zip(ids.tolist(), coarse.tolist(), fine.tolist(), strict=True)}
