@@ -1,17 +1,17 @@
 """Licence scans: a trained paragraph classifier, an unknown class, and confirmation by templates.
 
-A paragraph is a line of a text, or up to RUN_LINES neighbouring lines without a blank one between them, since
-notices are often wrapped; of overlapping ones the one nearest to a template counts. A multinomial logistic
-regression over sparse word 1- and 2-grams tells the licence families and "none" apart. It is trained here: on
-the templates below with words dropped, replaced and put in other text; on at most PARAGRAPHS different lines of
-the corpus, chosen by hash, that share no word with a licence; and on short pieces of the templates put in such
-text, as where prose speaks of licences, which are "none" too. Held-back examples calibrate the least
-probability that a family needs, and the least probability of any licence that an unknown one needs. A
-predicted family is confirmed if the paragraph has at least OVERLAP of the word pairs of one of its templates, or
-SHORT_OVERLAP where a template has fewer than SHORT_PAIRS, and at least half of the template's pairs that no other
-family has. What is likelier a licence than none but is below its
-family's threshold or not confirmed is of the family "unknown". A paragraph without any word pair of a template
-is not scored.
+A paragraph is a line of a text, or neighbouring lines without a blank one between them, up to the line that reaches
+RUN_WORDS words, since notices are often wrapped, however short their lines; of overlapping ones the one nearest to a
+template counts. A multinomial logistic regression over sparse word 1- and 2-grams tells the licence families, licences
+of no listed family ("unknown") and "none" apart. It is trained here: on the templates and the unlisted notices below with words
+dropped, replaced and put in other text; on at most PARAGRAPHS different lines of the corpus, chosen by hash, that share
+no word with a licence; and on short pieces of the notices put in such text, as where prose speaks of licences, which are
+"none" too. Held-back examples calibrate the least probability that a family needs, and the least probability of any
+licence that an unknown one needs. The classifier sees every paragraph with a sign of a licence: a long word or a word pair of
+any notice it was trained with. Templates only confirm: a predicted family stands if the paragraph has at least OVERLAP of the
+word pairs of one of its templates, or SHORT_OVERLAP where a template has fewer than SHORT_PAIRS, and at least half of the
+template's pairs that no other family has. What is likelier a licence than none but is below its family's threshold,
+not confirmed, or of no listed family is "unknown". A licence none of whose words stands in a notice here is not seen.
 
 Defined results: null, empty and licence-free texts have family null, 0 paragraphs, confidence and overlap 0;
 a document's family is that of its most confident confirmed paragraph, the earlier at ties; without one it is
@@ -39,10 +39,11 @@ LONGEST = 2000
 EXAMPLES = 60
 OVERLAP = 0.6
 SHORT_OVERLAP, SHORT_PAIRS = 0.8, 8
-RUN_LINES = 8
+RUN_WORDS = 90
+MARK = 6
 #: Shares of held-back examples of other classes that may reach a family's threshold, and that of "unknown".
 FALSE_RATE = 0.002
-UNKNOWN_RATE = 0.05
+UNKNOWN_RATE = 0.12
 SEED = 11
 EPOCHS = 60
 
@@ -62,10 +63,49 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain."],
     "proprietary": ["Copyright. All rights reserved.", "No part of this publication may be reproduced without prior written permission of the publisher."],
 }
+#: Notices of licences that are of no family above, and how licences of any name are declared ({} stands for the
+#: name); they are what the unknown class is trained with.
+UNLISTED = [
+    "Licensed under the {} License.",
+    "Licensed under the {} Public License, version 2.0.",
+    "This software is released under the {} license.",
+    "This work is distributed under the terms of the {} License as published by {}.",
+    "You may use this file under the terms of the {} licence.",
+    "Use of this source code is governed by a {} license that can be found in the LICENSE file.",
+    "SPDX-License-Identifier: {}",
+    "Permission is granted to copy, distribute and modify this document under the terms of the {} License.",
+    "Redistribution and use are permitted under the {} terms.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which accompanies this distribution.",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "SPDX-License-Identifier: GPL-3.0-or-later",
+    "Licensed under the Artistic License 2.0.",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+    "Licensed under the EUPL, Version 1.2.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "This license governs use of the accompanying software. If you use the software, you accept this license.",
+]
 NONE = "none"
 UNKNOWN = "unknown"
 
 
+def notices() -> list[list[bytes]]:
+    return [words_of(t.replace("{}", "")) for t in [x for ts in TEMPLATES.values() for x in ts] + UNLISTED]
+
+
+def named(notice: str, filler: list[bytes], rng: random.Random) -> list[bytes]:
+    """The words of a notice, with a few words for each name that it leaves open."""
+    parts = [words_of(x) for x in notice.split("{}")]
+    return [w for i, p in enumerate(parts) for w in ([*rng.choices(filler, k=rng.randrange(1, 4)), *p] if i else p)]
+
+
+def marks() -> frozenset[bytes]:
+    """The long words of the notices."""
+    return frozenset(w for t in notices() for w in t if len(w) >= MARK)
+
+
 def grams(words: list[bytes]) -> list[tuple[bytes, ...]]:
     return [(w,) for w in words] + list(zip(words, words[1:], strict=False))
 
@@ -98,7 +138,9 @@ class LicenceModel:
 
     def __init__(self, weights: dict, families: list[str], least: np.ndarray):
         self.weights, self.families, self.least = weights, families, least
-        self.pairs = {f: [frozenset(zip(w, w[1:], strict=False)) for w in map(words_of, TEMPLATES[f])] for f in families if f != NONE}
+        self.pairs = {f: [frozenset(zip(w, w[1:], strict=False)) for w in map(words_of, TEMPLATES[f])] for f in families if f in TEMPLATES}
+        self.listed = list(self.pairs)
+        self.signs = marks() | frozenset(p for w in notices() for p in zip(w, w[1:], strict=False))
         self.all_pairs = frozenset().union(*[p for ps in self.pairs.values() for p in ps])
         shared = {f: frozenset().union(*[p for g, ps in self.pairs.items() if g != f for p in ps]) for f in self.pairs}
         self.own_pairs = {f: [t - shared[f] for t in ts] for f, ts in self.pairs.items()}
@@ -134,7 +176,7 @@ class LicenceModel:
         p = self.probabilities(words)
         k = int(p.argmax())
         family = self.families[k]
-        if family == NONE or p[k] < self.least[k]:
+        if family not in self.pairs or p[k] < self.least[k]:
             return None
         return (family, float(p[k]), self.overlap(own, [family])) if self.confirms(own, [family]) else None
 
@@ -147,13 +189,13 @@ class LicenceModel:
         runs = []
         for i in range(len(lines)):
             own, joined = set(), []
-            for j in range(i, min(i + RUN_LINES, len(lines)) if hits[i] else i):
-                if not lines[j]:
+            for j in range(i, len(lines) if hits[i] else i):
+                if not lines[j] or len(joined) >= RUN_WORDS:
                     break
                 own |= hits[j]
                 joined += lines[j]
                 new = hits[j] or (j > i and hits[j - 1])
-                if new and self.confirms(own, self.families[1:]) and (r := self.paragraph(joined)):
+                if new and self.confirms(own, self.listed) and (r := self.paragraph(joined)):
                     runs.append((-r[2], j - i, i, r))
         found, taken = [], set()
         for _, more, i, r in sorted(runs):
@@ -162,21 +204,27 @@ class LicenceModel:
                 found.append((i, i + more, r))
         return found
 
+    def signed(self, words: list[bytes]) -> bool:
+        """Whether the paragraph has a sign of any licence."""
+        return not (self.signs.isdisjoint(words) and self.signs.isdisjoint(zip(words, words[1:], strict=False)))
+
     def unknown(self, words: list[bytes]) -> tuple[str, float, float] | None:
         """(UNKNOWN, probability of any licence, largest overlap) of a paragraph that is likelier a licence than none."""
+        p = 1 - float(self.probabilities(words)[0]) if self.signed(words) else 0.0
         own = self.all_pairs.intersection(zip(words, words[1:], strict=False))
-        p = 1 - float(self.probabilities(words)[0]) if own else 0.0
-        return (UNKNOWN, p, self.overlap(own, self.families[1:])) if p > self.least[0] else None
+        return (UNKNOWN, p, self.overlap(own, self.listed)) if p > self.least[0] else None
 
-    def unconfirmed(self, lines: list[list[bytes]], hits: list[set], taken: set[int]) -> list[tuple[int, tuple]]:
-        """(line, result) of unknown paragraphs: neighbouring lines outside ``taken`` that hold template pairs,
-        RUN_LINES at most, of which one or all together are likelier a licence than none."""
+    def unconfirmed(self, lines: list[list[bytes]], signs: list[bool], taken: set[int]) -> list[tuple[int, tuple]]:
+        """(line, result) of unknown paragraphs: neighbouring lines outside ``taken`` with signs of a licence, RUN_WORDS
+        words at most before the last, of which one or all together are likelier a licence than none."""
         found, i = [], 0
         while i < len(lines):
-            j = i
-            while j < min(i + RUN_LINES, len(lines)) and j not in taken and lines[j] and (hits[j] or (j > i and hits[j - 1])):
+            j, size = i, 0
+            while j < len(lines) and size < RUN_WORDS and j not in taken and lines[j] and (signs[j] or (j > i and signs[j - 1])):
+                size += len(lines[j])
                 j += 1
-            each = [(i, self.unknown([w for line in lines[i:j] for w in line]))] + [(k, self.unknown(lines[k])) for k in range(i, j)]
+            each = [(i, self.unknown([w for line in lines[i:j] for w in line]))] if j > i + 1 else []
+            each += [(k, self.unknown(lines[k])) for k in range(i, j)]
             if some := [(-r[1], k, r) for k, r in each if r]:
                 found.append(min(some)[1:])
             i = max(j, i + 1)
@@ -186,10 +234,11 @@ class LicenceModel:
         """(family, confirmed paragraphs, probability, overlap, line number, unknown paragraphs) of a text."""
         lines = [words_of(line) for line in (text or "").split("\n")]
         hits = [self.all_pairs.intersection(zip(a, [*a[1:], *b[:1]], strict=False)) for a, b in zip(lines, [*lines[1:], []], strict=True)]
-        if not any(hits):
+        signs = [self.signed(a + b[:1]) for a, b in zip(lines, [*lines[1:], []], strict=True)]
+        if not any(signs):
             return None, 0, 0.0, 0.0, None, 0
         found = self.confirmed(lines, hits)
-        rest = self.unconfirmed(lines, hits, {k for i, j, _ in found for k in range(i, j + 1)})
+        rest = self.unconfirmed(lines, signs, {k for i, j, _ in found for k in range(i, j + 1)})
         best = [(i, r) for i, _, r in found] or rest
         if not best:
             return None, 0, 0.0, 0.0, None, 0
@@ -200,20 +249,21 @@ class LicenceModel:
 def fit(paragraphs: list[list[bytes]], seed: int = SEED, examples: int = EXAMPLES, epochs: int = EPOCHS) -> LicenceModel:
     """Trains on the templates and on paragraphs (word lists) without licences."""
     rng = random.Random(seed)
-    families = [NONE, *TEMPLATES]
-    marks = {w for ts in TEMPLATES.values() for t in ts for w in words_of(t) if len(w) > 5}
-    none = [p for p in paragraphs if p and marks.isdisjoint(p)]
+    families = [NONE, *TEMPLATES, UNKNOWN]
+    licence_words = marks()
+    none = [p for p in paragraphs if p and licence_words.isdisjoint(p)]
     filler = [w for p in none for w in p] or [b"text"]
     rows = [(0, p) for p in none]
-    notices = [words_of(t) for f in families[1:] for t in TEMPLATES[f]]
+    texts = notices()
     for k, f in enumerate(families[1:], 1):
-        for t in TEMPLATES[f]:
-            rows += [(k, v) for v in variants(words_of(t), filler, rng, examples)]
-            rows += [(0, v) for v in mentions(words_of(t), rng.choice(notices), filler, rng, examples // 2)]
+        for t in TEMPLATES.get(f, UNLISTED):
+            for _ in range(6 if "{}" in t else 1):
+                rows += [(k, v) for v in variants(named(t, filler, rng), filler, rng, examples // 6 if "{}" in t else examples)]
+            rows += [(0, v) for v in mentions(words_of(t.replace("{}", "")), rng.choice(texts), filler, rng, examples // 2)]
     rng.shuffle(rows)
     cut = len(rows) * 3 // 4
     train, held = rows[:cut], rows[cut:]
-    known = sorted({g for k, w in train if k for g in grams(w)} & {g for f in TEMPLATES for t in TEMPLATES[f] for g in grams(words_of(t))})
+    known = sorted({g for k, w in train if k for g in grams(w)} & {g for t in texts for g in grams(t)})
     ids = {g: i for i, g in enumerate(known)}
     y = np.array([k for k, _ in train])
     r, c = zip(*[(i, ids[g]) for i, (_, w) in enumerate(train) for g in set(grams(w)) if g in ids], strict=True)
@@ -242,8 +292,8 @@ def fit(paragraphs: list[list[bytes]], seed: int = SEED, examples: int = EXAMPLE
     # and the probability of any licence on held-back paragraphs without one must not reach that of unknown;
     # neighbouring lines are scored together too, so joined paragraphs count
     free = [w for k, w in held if k == 0]
-    free += [[w for p in free[i : i + RUN_LINES] for w in p] for i in range(0, len(free), RUN_LINES)]
-    other = sorted(1 - model.probabilities(w)[0] for w in free if not model.all_pairs.isdisjoint(zip(w, w[1:], strict=False)))
+    free += [[w for p in free[i : i + 8] for w in p] for i in range(0, len(free), 8)]
+    other = sorted(1 - model.probabilities(w)[0] for w in free if model.signed(w))
     if other:
         least[0] = max(0.5, other[min(len(other) - 1, int(len(other) * (1 - UNKNOWN_RATE)))])
     model.least = least
