@@ -877,3 +877,91 @@ def test_licences_that_no_template_confirms_are_unknown(spark):
     assert [got[i].n_unknown for i in range(1, 7)] == [1, 1, 0, 1, 0, 2]
     assert got[1].line == rows[0][1].count("\n") and got[1].confidence > 0.5
     assert {model.text(prose(i, 400))[0] for i in range(40)} == {None}
+
+
+def test_unlisted_licences_are_never_nothing(monkeypatch):
+    """Notices of no family, also of names and wordings that no training text has; one word a line; prose that only shares words."""
+    lines = [licenses.words_of(line) for i in range(40) for line in prose(i, 90).split("\n")]
+    model = licenses.fit(lines)
+    isc, zlib_, eclipse, wtfpl = (next(t for t in licenses.UNLISTED if t.startswith(x)) for x in ("Permission to use", "This software is provided", "This program and the accompanying", "Everyone"))
+    spdx = ["SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: BSD-2-Clause"]
+    unseen = ["Licensed under the European Space Agency Public License", "This software is released under the Python Software Foundation License"]
+    for t in (isc, zlib_, eclipse, wtfpl, *spdx, *unseen):
+        family, confirmed, p, _, line, n = model.text(f"{prose(1, 30)}\n\n{t}\n\n{prose(2, 30)}")
+        assert (family, confirmed, n) == ("unknown", 0, 1) and p > 0.5 and line == prose(1, 30).count("\n") + 2
+        assert model.text("\n".join(t.split()))[0] == "unknown" or t in spdx
+    mit = licenses.TEMPLATES["mit"][2]
+    assert model.text("\n".join(mit.split()))[:2] == ("mit", 1)
+    for t in ("We played football in the public garden and the author of the book provided a copy", "The library published a notice about the following program"):
+        assert model.text(t)[0] is None
+    pairs = lambda w: set(zip(w, w[1:]))
+    known = set().union(*[pairs(licenses.words_of(t)) for ts in licenses.TEMPLATES.values() for t in ts])
+    every, rng, filler = list(licenses.UNLISTED), random.Random(3), [w for p in lines for w in p]
+    found = wrong = n = 0
+    for i, t in enumerate(every):  # each kind of notice left out of training in turn
+        if "{}" in t:
+            continue
+        monkeypatch.setattr(licenses, "UNLISTED", every[:i] + every[i + 1 :])
+        held = licenses.fit(lines, examples=30, epochs=40)
+        got = [held.text(b" ".join(v).decode())[0] for v in licenses.variants(licenses.words_of(t), filler, rng, 6)]
+        found, wrong, n = found + got.count("unknown"), wrong + sum(f not in ("unknown", None) for f in got), n + len(got)
+    assert found > 0.4 * n and wrong == 0
+    free = [t for t in every if "{}" not in t and not known & pairs(licenses.words_of(t))]
+    assert free and all(model.text(t)[0] == "unknown" for t in free)  # share no pair with a template
+
+
+def plain_scan(model, text):
+    """All columns of a document by plain loops over the model's weights and the templates' word pairs."""
+    lines = [licenses.words_of(x) for x in (text or "").split("\n")]
+
+    def chance(w):
+        z = model.weights[()] + sum((model.weights[g] for g in {(x,) for x in w} | set(zip(w, w[1:])) if g in model.weights), 0.0)
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    def share(w, f):
+        have = set(zip(w, w[1:]))
+        return max((len(have & set(zip(t, t[1:]))) / len(set(zip(t, t[1:]))) for t in map(licenses.words_of, licenses.TEMPLATES[f])), default=0.0)
+
+    runs = []
+    for i in range(len(lines)):
+        for j in range(i, len(lines)):
+            if not lines[j] or sum(map(len, lines[i:j])) >= licenses.RUN_WORDS:
+                break
+            w = [x for line in lines[i : j + 1] for x in line]
+            p = chance(w)
+            k = int(p.argmax())
+            f = model.families[k]
+            if f in licenses.TEMPLATES and p[k] >= model.least[k] and model.confirms(set(zip(w, w[1:])), [f]):
+                runs.append((-share(w, f), j - i, i, f, p[k]))
+    taken, best = set(), []
+    for o, more, i, f, p in sorted(runs):
+        if taken.isdisjoint(range(i, i + more + 1)):
+            taken |= set(range(i, i + more + 1))
+            best.append((-round(p, 6), i, f, -o))
+    if not best:
+        return None
+    p, i, f, o = min(best)
+    return f, len(best), -p, round(o, 6), i
+
+
+def test_confirmed_documents_by_plain_loops(spark, save):
+    rng = random.Random(12)
+    every = [t for ts in licenses.TEMPLATES.values() for t in ts] + [t.replace("{}", "Name") for t in licenses.UNLISTED]
+    rows = []
+    for i in range(60):
+        parts = [prose(i * 9 + k, 12) if rng.random() < 0.4 else wrap(rng.choice(every), rng.choice([12, 40, 90])) for k in range(rng.randrange(0, 5))]
+        rows.append((i, rng.choice(["\n", "\n\n"]).join(parts)))
+    path = save(documents=spark.createDataFrame([*rows, (99, None)], "doc_id long, text string"))
+    model = licenses.train(spark.read.parquet(f"{path}/documents.parquet"))
+    got = {r.doc_id: r for r in licenses.op10_license_scan(spark, path).collect()}
+    confirmed = 0
+    for i, text in rows:
+        r, want = got[i], plain_scan(model, text)
+        if want is None:
+            assert r.family in (None, "unknown") and r.n_paragraphs == 0 and (r.family is None) == (r.n_unknown == 0)
+        else:
+            confirmed += 1
+            assert (r.family, r.n_paragraphs, r.line) == (want[0], want[1], want[4])
+            assert r.confidence == pytest.approx(want[2], abs=2e-6) and r.overlap == pytest.approx(want[3], abs=2e-6)
+    assert confirmed > 15 and sum(got[i].family == "unknown" for i, _ in rows) > 3 and got[99].family is None
