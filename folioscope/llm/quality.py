@@ -226,9 +226,9 @@ def bag() -> Column:
 
 
 def grow_forest(rows: DataFrame) -> Forest | None:
-    """Forest of all rows (statistics and bag), in one pass for each level; none of fewer than 8 rows."""
+    """Forest of all rows (statistics and bag), however few, in one pass for each level; none without a row."""
     n = rows.count()
-    if n < 8:
+    if n == 0:
         return None
     forest = Forest(n=n)
     bounds = [f"{side}_{c}" for side in ("low", "high") for c in FEATURES]

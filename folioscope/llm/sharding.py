@@ -121,9 +121,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows") ->
     return rows.select("uid", "row").join(placed, "uid").select(*kept, "cell", "shard", "slot")
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, rows in slot order: file statistics of all three dimensions stay narrow."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 1 << 18) -> None:
+    """One folder per shard, rows in slot order: file statistics of all three dimensions stay narrow. A file is a run of slots,
+    so tasks hold as many rows as a file, not as a shard."""
+    run = F.floor(F.col("slot") / rows_per_file)
+    sharded.repartition(F.col("shard"), run).sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
 
 
 def _size() -> Column:

@@ -150,6 +150,41 @@ def test_threshold_by_counts_equals_threshold_in_memory(spark):
             assert quality.calibrate_rows(df, keep) == quality.calibrate(score, good, keep)
 
 
+def plain_verdicts(path, spark):
+    """Verdicts of the query with both kinds of labels: the forest's trees walked one document and one tree at a time."""
+    docs, labels_ = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality.document_stats(docs)
+    forest, threshold = quality.fit(stats, labels_)
+    out = {}
+    for r in stats.collect():
+        x = quality.features({c: np.array([r[c]]) for c in quality.STATS.fieldNames()[1:]})[0]
+        length = 0.0
+        for f, cut, value in zip(forest.feature, forest.cut, forest.value, strict=True):
+            node = 0
+            while f[node] >= 0:
+                node = 2 * node + (2 if x[f[node]] >= cut[node] else 1)
+            length += value[node]
+        score = 2 ** (-length / len(forest.feature) / forest.norm)
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        out[r.doc_id] = (failed, not failed and score < threshold)
+    return out, threshold
+
+
+def test_quality_verdicts_with_both_labels(spark, save):
+    rng = random.Random(2)
+    junk = lambda i: " ".join(rng.choice(["#", "$$", "%&", "zz"]) * rng.randrange(1, 9) + str(rng.random()) for _ in range(60 + i % 40))
+    rows = [(i, prose(i, 60 + i % 90)) for i in range(300)] + [(1000 + i, junk(i)) for i in range(24)] + [(2000, "few words"), (2001, "same " * 80), (None, prose(7, 80))]
+    path = save(documents=spark.createDataFrame(rows, "doc_id long, text string"), labels=spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)] + [(1000 + i, 0, 0) for i in range(0, 24, 2)], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in quality.op1_quality_forest(spark, path).collect()}
+    want, threshold = plain_verdicts(path, spark)
+    assert math.isfinite(threshold) and {i: (r.base_failed, r.kept) for i, r in got.items()} == want
+    kept = sum(got[1000 + i].kept for i in range(24)), sum(got[i].kept for i in range(300))
+    assert kept[0] < 12 and kept[1] >= 290, kept
+    few = save(documents=spark.createDataFrame(rows[:3] + rows[300:302], "doc_id long, text string"), labels=spark.createDataFrame([(0, 1, 0), (1, 1, 0), (1000, 0, 0)], "doc_id long, quality int, toxic int"))
+    want, _ = plain_verdicts(few, spark)  # a forest of five rows is a forest
+    assert {r.doc_id: (r.base_failed, r.kept) for r in quality.op1_quality_forest(spark, few).collect()} == want
+
+
 # --- mixing
 
 
