@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Bytes of a model file that name its kind and size.
+HEADER = 64
 GOLD_FIELDS = ("id", "dosya_adi", "gercek_baslik", "gercek_ozet", "gercek_yazarlar", "gercek_anahtar_kelimeler", "gercek_yil", "gercek_dergi", "gercek_doi", "gercek_baslik_en", "gercek_ozet_en", "gercek_anahtar_kelimeler_en", "durum")
 GOLD_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in GOLD_FIELDS])
 API_SCHEMA = (
@@ -82,10 +88,23 @@ def read_features(spark: SparkSession, path: str, least: int = 12) -> DataFrame:
     return spark.read.text(path).select(parts.alias("f")).filter(F.size("f") >= least).select(F.col("f")[0].alias("token"), F.col("f").alias("features"))
 
 
+@F.arrow_udf(T.BinaryType())
+def first_bytes(paths: pa.Array) -> pa.Array:
+    """The first HEADER bytes of files, and no more of them; of any store that pyarrow's file systems reach."""
+    out = []
+    for path in paths.to_pylist():
+        local = path.startswith("file:")
+        store, place = (fs.LocalFileSystem(), re.sub("^file:/+", "/", path)) if local else fs.FileSystem.from_uri(quote(path, safe=":/"))
+        with store.open_input_file(place) as f:
+            out.append(f.read(HEADER))
+    return pa.array(out, pa.binary())
+
+
 def read_model_headers(spark: SparkSession, path: str) -> DataFrame:
-    """path, kind and count of model files, from their first bytes."""
-    head = F.decode(F.substring("content", 1, 64), "ISO-8859-1")
-    return spark.read.format("binaryFile").load(path).select("path", F.regexp_extract(head, r"^#mdl#(\d+)#", 1).alias("kind"), F.regexp_extract(head, r"^#mdl#\d+#(\d+)", 1).alias("count"))
+    """path, kind and count of model files, from their first bytes. Spark lists the files and deals them out; contents are not loaded."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    head = F.decode(first_bytes("path"), "ISO-8859-1")
+    return files.select("path", head.alias("head")).select("path", F.regexp_extract("head", r"^#mdl#(\d+)#", 1).alias("kind"), F.regexp_extract("head", r"^#mdl#\d+#(\d+)", 1).alias("count"))
 
 
 def cut_pdf(content: Column) -> Column:
@@ -211,8 +230,6 @@ class _RecordReader(DataSourceReader):
         return [_Page(q, p) for q in self.queries for p in range(self.pages)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        from pyarrow import fs
-
         store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
         there = lambda page: store.get_file_info(f"{root}/{partition.query}_{page}.json").type == fs.FileType.File
         if not there(partition.page):

@@ -109,3 +109,15 @@ def test_broken_articles_are_kept_apart(spark):
     assert (got[1].title, got[1].year, got[1].corrupt) == ("A b", "2001", None)
     assert got[2].title is None and got[2].corrupt == rows[1][1] and got[3].corrupt == "no markup"
     assert got[4].corrupt is None and got[4].title is None and got[5].corrupt is None
+
+
+def test_only_the_first_bytes_of_a_file_are_read(spark, tmp_path):
+    """Two sparse files of five gigabytes, which no row could hold, and files that are short or of another kind."""
+    heads = {"a.bin": b"#mdl#2#15545\nrest", "b.bin": b"#mdl#1#7 " + b"x" * 99, "c.bin": b"#", "d d.bin": b"other"}
+    for name, head in heads.items():
+        with open(tmp_path / name, "wb") as f:
+            f.write(head)
+            if name < "c":
+                f.truncate(5 << 30)
+    got = {r.path.rsplit("/", 1)[1]: (r.kind, r["count"]) for r in readers.read_model_headers(spark, str(tmp_path)).collect()}
+    assert {k.replace("%20", " "): v for k, v in got.items()} == {"a.bin": ("2", "15545"), "b.bin": ("1", "7"), "c.bin": ("", ""), "d d.bin": ("", "")}
