@@ -117,3 +117,21 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataF
     ahead = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_ahead"))
     out = at.withColumn("_part", part).join(F.broadcast(ahead), "_part")  # one row per partition
     return out.withColumn(name, F.col("_ahead") + F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_seq", "_ahead")
+
+
+def percentiles_by_rank(rows: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+    """group and q, an array of exact percentiles with linear interpolation, one for each share; nulls are left out.
+
+    Values are put in order by ranges of (group, value), and only those of the wanted ranks are taken, so no task holds the
+    values of a group. Sizes and first places, one row a group, are map-side aggregates."""
+    at = numbered(rows.select(group, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL"), [F.col(group), F.col("_v")], "_place")
+    size = at.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    x = at.join(size, F.col(group).eqNullSafe(F.col("_group"))).withColumn("_rank", F.col("_place") - F.col("_first"))
+    place = {i: F.lit(s) * (F.col("_n") - 1) for i, s in enumerate(shares)}
+    low = {i: F.floor(p + 1e-9) for i, p in place.items()}
+    near = F.array(*[low[i] for i in place], *[low[i] + 1 for i in place])
+    x = x.filter(F.array_contains(near, F.col("_rank")))
+    edges = [F.max(F.when(F.col("_rank") == low[i] + k, F.col("_v"))).alias(f"_{k}_{i}") for i in place for k in (0, 1)]
+    wide = x.groupBy(group, "_n").agg(*edges)
+    q = [F.col(f"_0_{i}") + (F.coalesce(f"_1_{i}", f"_0_{i}") - F.col(f"_0_{i}")) * (p - low[i]) for i, p in place.items()]
+    return wide.select(group, F.array(*q).alias("q"))

@@ -230,7 +230,7 @@ def rows_and_clusters(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.02), 6) AS p2, round(quantile_cont(l_extendedprice, 0.05), 6) AS p5, round(quantile_cont(l_extendedprice, 0.10), 6) AS p10, round(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round(median(l_extendedprice), 6) AS p50 FROM lineitem GROUP BY 1")
 def percentiles(spark, sf_dir):
-    q = lineitem(spark, sf_dir).groupBy("l_returnflag").agg(F.percentile("l_extendedprice", [0.02, 0.05, 0.10, 0.25, 0.5]).alias("q"))
+    q = o.percentiles_by_rank(lineitem(spark, sf_dir), "l_returnflag", "l_extendedprice", [0.02, 0.05, 0.10, 0.25, 0.5])
     return q.select("l_returnflag", *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("p2", "p5", "p10", "p25", "p50"))])
 
 

@@ -64,3 +64,17 @@ def test_resolved_spans_are_those_settled_one_by_one(spark):
     df = spark.createDataFrame([*rows, (999, None)], "id long, spans array<struct<start: long, end: long, field: string>>")
     got = {x.id: [(s.start, s.end, s.field) for s in x.s] for x in df.select("id", p.resolve(F.col("spans")).alias("s")).collect()}
     assert got == {i: p.settle(spans) for i, spans in rows} | {999: []}
+
+
+def test_percentiles_by_rank(spark):
+    import numpy as np
+
+    from folioscope.operators.sets import percentiles_by_rank
+
+    r = random.Random(4)
+    rows = [(g, None if r.random() < 0.1 else round(r.random() * 9, 1)) for g in ["a"] * 200 + ["b"] * 3 + [None] * 7 + ["one"] for _ in range(1)] + [("nothing", None)]
+    shares = [0.0, 0.02, 0.25, 0.5, 0.9, 1.0]
+    got = {x.g: x.q for x in percentiles_by_rank(spark.createDataFrame(rows, "g string, v double").repartition(3), "g", "v", shares).collect()}
+    for g in {x for x, v in rows if v is not None}:
+        assert got.pop(g) == pytest.approx(np.percentile([v for x, v in rows if x == g and v is not None], [100 * s for s in shares]))
+    assert not got
