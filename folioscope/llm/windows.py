@@ -179,6 +179,18 @@ def digests(tokens: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return np.frombuffer(b"".join([of(raw[s:e]) for s, e in zip((start * size).tolist(), (end * size).tolist(), strict=True)]), np.uint64).reshape(-1, 2)
 
 
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places of x that have one of the known values (sorted, 32 bits): a table by low bits turns most away, a search decides."""
+    low = np.uint32((1 << 20) - 1)
+    table = np.zeros(1 << 20, bool)
+    table[known & low] = True
+    maybe = np.flatnonzero(table[x & low])
+    if len(maybe):
+        at = np.minimum(np.searchsorted(known, x[maybe]), len(known) - 1)
+        maybe = maybe[known[at] == x[maybe]]
+    return maybe
+
+
 def _fresh(*columns: np.ndarray) -> np.ndarray:
     """Whether a row differs from the one before it in any column."""
     new = np.ones(len(columns[0]), bool)
@@ -395,7 +407,8 @@ def covered(rules: Rules, table: pa.Table, replies: pa.Table) -> tuple[Batch, li
         names, ranges, least = names[order], ranges[order], least[order]
         name = np.ascontiguousarray(names["find"])
         whole = (mix(b.hashes.all(w) + np.uint64(w)) & _LOW).astype(np.uint32)  # single windows of hot keys have their own names
-        windows = np.flatnonzero(b.valid & np.isin(whole[: len(b.valid)], name))
+        windows = among(whole[: len(b.valid)], name)
+        windows = windows[b.valid[windows]]
         starts = np.concatenate([b.seg_start, windows])
         docs = np.concatenate([b.seg_doc, np.searchsorted(b.ends, windows, "right")])
         own = np.concatenate([(b.seg_hash() & _LOW).astype(np.uint32), whole[windows]])
