@@ -115,13 +115,15 @@ def find_runs(w: np.ndarray, least: int = LEAST) -> np.ndarray:
         ok = end - start >= np.maximum(least, 2 * p)
         if not ok.any():
             continue
-        rows, at = np.unique(np.stack([start[ok], end[ok], p[ok]], axis=1), axis=0, return_index=True)
-        for (s, e, q), point in zip(rows.tolist(), i[ok][at].tolist(), strict=True):
-            if (w[s : e - q] != w[s + q : e]).any():
+        rows, of = np.unique(np.stack([start[ok], end[ok], p[ok]], axis=1), axis=0, return_inverse=True)
+        for k, (s, e, q) in enumerate(rows.tolist()):
+            if (w[s : e - q] == w[s + q : e]).all():
+                found[s, e] = min(q, found.get((s, e), q))
+                continue
+            for point in i[ok][of.ravel() == k].tolist():  # hashes clashed: several stretches may look like one
                 s, e = measured(w, point, q)
-                if e - s < max(least, 2 * q):
-                    continue
-            found[s, e] = min(q, found.get((s, e), q))
+                if e - s >= max(least, 2 * q):
+                    found[s, e] = min(q, found.get((s, e), q))
         if n * 8 > CHUNK:
             cover = np.zeros(n, np.int32)
             periods = [1, *found.values()]

@@ -51,7 +51,7 @@ def brute_collocations(rows, least, top):
 def test_collocations_equal_brute_force(spark, messy, messy_rows, batch_bytes):
     got = collocations.collocations(messy, top=40, least=3, batch_bytes=batch_bytes)
     want = brute_collocations([(r[2], r[1]) for r in messy_rows], 3, 40)
-    assert len(want) > 40 and "und" in {r[0] for r in want}
+    assert len(want) > 40 and {r[0] for r in want} == {"en", "fr", "tr"}
     assert plain(got.collect()) == plain(want)
 
 
