@@ -3,8 +3,9 @@
 A passage of n words that a document holds with coverage c has m = ceil(c n) of its words or more there, and with density
 d these lie within n / d words of the document. However the words are ordered, the n - m + l that come first include at
 least l of any m of them. So words are put in the order of how often documents use them, rarest first; only the first
-n - m + l of a passage are looked for; and a document is a candidate if l of them stand within n / d words. No pair that
-reaches coverage and density is left out.
+n - m + l of a passage are looked for; and a document goes on if l of them stand within n / d words. Of those that do, all
+words are counted: in two neighbouring stretches of n / d words there must be m of the passage's, a word as often as the
+passage has it at most. No pair that reaches coverage and density is left out.
 
 Documents are cut into words once; those that some passage has are written with their places and serve both the counts
 and the join, which is by word. Nothing is collected or broadcast by hand; a word of very many documents is looked for
@@ -49,7 +50,14 @@ def containment_candidates(items: DataFrame, item: str, docs: DataFrame, doc: st
     found = hits.join(rare_words(items, item, hits, coverage, density, meet), "w").select(item, doc, "pos", "meet", "reach")
     near = Window.partitionBy(item, doc).orderBy("pos")
     back = F.coalesce(*[F.when(F.col("meet") == k, F.lag("pos", k - 1).over(near)) for k in range(1, meet + 1)])
-    return found.withColumn("back", back).filter("pos - back < reach").select(item, doc).distinct()
+    pairs = written(found.withColumn("back", back).filter("pos - back < reach").select(item, doc).distinct())
+    size = F.size("words")
+    own = items.select(item, F.greatest(F.lit(1), F.ceil(size * coverage - 1e-9)).alias("need"), F.greatest(F.lit(1), F.ceil(size / density)).alias("wide"), F.explode("words").alias("w"))
+    own = own.groupBy(item, "need", "wide", "w").agg(F.count(F.lit(1)).alias("times"))
+    met = pairs.join(own, item).join(hits, [doc, "w"])
+    at = F.floor(F.col("pos") / F.col("wide"))
+    met = met.withColumn("stretch", F.explode(F.array(at, at - 1))).groupBy(item, doc, "stretch", "need", "w").agg(F.least(F.count(F.lit(1)), F.max("times")).alias("met"))
+    return met.groupBy(item, doc, "stretch", "need").agg(F.sum("met").alias("met")).filter("met >= need").select(item, doc).distinct()
 
 
 def grams(text: Column, k: int) -> Column:

@@ -13,6 +13,7 @@ from folioscope.operators import spans as p
 from folioscope.operators.containment import containment_candidates
 from folioscope.plans.evaluation import page_fields
 from folioscope.plans.registry import query, table
+from folioscope.sources.scratch import written
 
 
 def _canvas():
@@ -47,7 +48,8 @@ def candidates(spark, sf_dir, coverage, density, value=None, keys=(document_keys
     items = table(spark, sf_dir, "benchmark").select("item_id", (F.col("text") if value is None else value).alias("value"))
     words = items.select("item_id", _hashes(keys[1](F.col("value"))).alias("words"))
     docs = table(spark, sf_dir, "documents").select("doc_id", _hashes(keys[0](F.col("text"))).alias("words"))
-    return containment_candidates(words, "item_id", docs, "doc_id", coverage, density).join(items, "item_id")
+    pairs = containment_candidates(words, "item_id", docs, "doc_id", coverage, density)
+    return written(pairs.join(items, "item_id"))  # of a known size, so that Spark can send them to the texts
 
 
 def _located(spark, sf_dir, *args, **kwargs):
