@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from folioscope.operators import pivots
+from folioscope.operators import distance, pivots
 
 
 def clustered(n, seed, dims=8, clusters=12):
@@ -51,3 +51,26 @@ def test_one_vector_and_none(spark):
     one, none = frame(spark, np.ones((1, 3))), frame(spark, np.ones((1, 3))).limit(0)
     for df in (one, none):
         assert pivots.near_pairs(df, 1.0).count() == pivots.closest(df, 3).count() == pivots.nearest(df).count() == 0
+
+
+def test_blocks_grow_with_the_table(spark):
+    """Few groups: a pair of blocks holds thousands of vectors, and results stay those of all pairs."""
+    x = np.random.default_rng(2).normal(size=(6000, 4)).round(3)
+    assert pivots.Partitions(frame(spark, x)).ranges.count() <= 4  # blocks of 512 were 12 and more
+
+
+def test_nearest_of_two_sides_with_ties():
+    x = np.random.default_rng(3).integers(0, 3, (700, 3)).astype(float)
+    left, right = distance.Side(np.arange(300), x[:300]), distance.Side(np.arange(300, 700), x[300:])
+    got = {r.id: (r.other, r.cost) for r in distance.minima(left, right).itertuples()}
+    square = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    for i in range(700):
+        others = range(300, 700) if i < 300 else range(300)
+        assert got[i] == min(((j, square[i, j]) for j in others), key=lambda p: (p[1], p[0]))
+
+
+def test_percentiles_of_many_equal_distances(spark):
+    x = np.repeat(np.random.default_rng(5).normal(size=(40, 3)), 12, axis=0)
+    d = all_distances(x)[np.triu_indices(len(x), 1)]
+    n, got = distance.pair_percentiles(frame(spark, x), [0.0, 0.02, 0.3, 1.0], block=100, bins=16, most=500)
+    assert n == len(d) and got == pytest.approx(np.percentile(d, [0, 2, 30, 100]).tolist(), abs=1e-12)
