@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from folioscope.operators.distance import BLOCK, block_pairs, pair_arrays
+from folioscope.operators.distance import both_sides, dealt_blocks, exact, tiles, together
+from folioscope.sources.scratch import written
 
 TOP = 256
 
@@ -48,17 +49,28 @@ def near_to(points: np.ndarray) -> Column:
     return near(F.col("v")) if len(points) else F.lit(math.inf)
 
 
-def most_remote(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """id and total: the sum of distances to all others, by block pairs."""
-    import pandas as pd
+def most_remote(rows: DataFrame, block: int | None = None) -> DataFrame:
+    """id and total: the sum of distances to all others, by block pairs. A total is right to rounding."""
 
-    def run(pdf):
-        a, b, d = pair_arrays(pdf)
-        both = pd.DataFrame({"id": np.concatenate([a, b]), "total": np.concatenate([d, d])})
-        return both.groupby("id", as_index=False).sum()
+    def run(t: pa.Table) -> pa.Table:
+        ids, totals = np.zeros(0, np.int64), np.zeros(0)
+        if two := both_sides(t):
+            (left, a, _), (right, b, _) = two
+            mine, theirs = np.zeros(len(a)), np.zeros(len(b))
+            slack, squares = tiles(a, b)
+            for s, c, q in squares:
+                i, j = np.nonzero(q < 1e6 * slack)  # roots of small squares are too far off
+                q[i, j] = exact(a, b, i + s, j + c)
+                q[np.isinf(q)] = 0.0
+                d = np.sqrt(q, out=q)
+                mine[s : s + len(d)] += d.sum(axis=1)
+                theirs[c : c + d.shape[1]] += d.sum(axis=0)
+            ids, totals = np.concatenate([left, right]), np.concatenate([mine, theirs])
+        return pa.table([pa.array(ids), pa.array(totals)], ["id", "total"])
 
-    part = block_pairs(rows, block).groupBy("_x", "_y").applyInPandas(run, "id long, total double")
-    return part.groupBy("id").agg(F.sum("total").alias("total"))
+    rows = rows.select("id", "v")
+    blocks, pairs = dealt_blocks(rows, rows.count(), block)
+    return together(blocks, pairs).applyInArrow(run, "id long, total double").groupBy("id").agg(F.sum("total").alias("total"))
 
 
 def _among(c: Column, values: list) -> Column:
@@ -106,8 +118,11 @@ class Selection:
         self.jobs += 1
         n = crowd.count()
         mean = F.coalesce(F.col("total"), F.lit(0.0)) / max(n, 1)
-        best = rows.join(most_remote(crowd.select("id", "v")), "id", "left").orderBy(F.desc(mean + F.col("bias")), "id").first()
-        return best and best.asDict()
+        scored = written(rows.join(most_remote(crowd.select("id", "v")), "id", "left").withColumn("_mean", mean + F.col("bias")).drop("total"))
+        best = scored.agg(F.max("_mean").alias("m")).first()["m"]
+        if best is None:
+            return None
+        return scored.filter(F.col("_mean") >= best - 1e-11 * max(1.0, abs(best))).drop("_mean").orderBy("id").first().asDict()  # sums differ by rounding
 
     def _best(self, rows: DataFrame) -> list[dict]:
         """The TOP best rows now, the best first."""
