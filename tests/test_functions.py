@@ -332,3 +332,27 @@ def test_front_ends(spark):
     docs = spark.createDataFrame([(i, "\n".join(x), [title, "Too short"], [abstract, ""]) for i, x in lines.items()], "id int, text string, t array<string>, a array<string>")
     got = {r.id: r.front_end for r in g.front_end(docs, "id", "text", "t", "a").collect()}
     assert got == {1: 1, 2: 3, 3: 4, 4: 2, 5: 1, 6: 1, 7: 1, 8: 1}  # in 8 the title is a running header
+
+
+def test_word_spans_of_hard_texts(spark):
+    """Places in code points, nulls and texts without words, as a search with a pattern finds them."""
+    import re
+
+    from folioscope.functions import normalize
+
+    texts = ["İki kısa çizgi", None, "", "...", "a𝒳b ığüşöç\nx", "ß1é2", "son", "İ"] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(2)
+    got = {r.id: r.s and [tuple(x) for x in r.s] for r in rows.select("id", normalize.word_spans("t").alias("s")).collect()}
+    for i, t in enumerate(texts):
+        want = None if t is None else [(m.group(), m.start(), m.end()) for m in re.finditer("[a-zA-Z0-9ığüşöçİĞÜŞÖÇ]+", t)]
+        assert (got[i] or (None if t is None else [])) == want
+
+
+def test_word_spans_are_flat_arrays():
+    """No object for each word: a batch costs its own text and places."""
+    import pyarrow as pa
+
+    from folioscope.functions.normalize import _word_spans
+
+    made = _word_spans(["kelime " * 50_000, None, "son"])
+    assert isinstance(made, pa.ListArray) and made.nbytes < 8_000_000 and [len(x) if x.is_valid else None for x in made] == [50_000, None, 1]
