@@ -356,3 +356,13 @@ def test_word_spans_are_flat_arrays():
 
     made = _word_spans(["kelime " * 50_000, None, "son"])
     assert isinstance(made, pa.ListArray) and made.nbytes < 8_000_000 and [len(x) if x.is_valid else None for x in made] == [50_000, None, 1]
+
+
+def test_texts_of_few_large_files_are_dealt_out(spark, tmp_path, monkeypatch):
+    from folioscope.plans import registry
+
+    spark.range(4000).selectExpr("id AS doc_id", "sha2(string(id), 512) AS text").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(registry, "TASK_BYTES", 1 << 15)
+    assert registry.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() > 8  # two were read in place
+    monkeypatch.setattr(registry, "TASK_BYTES", 1 << 30)
+    assert registry.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() <= 4
