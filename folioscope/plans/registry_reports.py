@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import normalize as n
 from folioscope.operators import reports as r
-from folioscope.plans.registry import query, table
+from folioscope.plans.registry import dealt_out, query, table
 from folioscope.sources import readers, writers
 from folioscope.sources.scratch import folder
 from folioscope.sources.store import KeyedStore
@@ -69,7 +69,7 @@ def api_records(spark, sf_dir):
 def article_records(spark, sf_dir):
     """Article markup to fields by paths."""
     x = F.format_string("<article><journal-title>%s</journal-title><article-meta><article-title>%s</article-title><contrib contrib-type='author'><name><surname>%s</surname><given-names>A</given-names></name></contrib><pub-date><year>%s</year></pub-date></article-meta></article>", "p_brand", "p_name", "p_type", (1990 + F.col("p_size") % 20).cast("string"))
-    rows = table(spark, sf_dir, "part").select(x.alias("text"), "p_partkey")
+    rows = dealt_out(table(spark, sf_dir, "part").select("p_brand", "p_name", "p_type", "p_size", "p_partkey")).select(x.alias("text"), "p_partkey")
     r = readers.article_record(rows, "p_partkey")
     return r.select("p_partkey", "title", "journal", "year", F.array_join("authors", ", ").alias("surname"))
 
