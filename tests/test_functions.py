@@ -366,3 +366,21 @@ def test_texts_of_few_large_files_are_dealt_out(spark, tmp_path, monkeypatch):
     assert registry.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() > 8  # two were read in place
     monkeypatch.setattr(registry, "TASK_BYTES", 1 << 30)
     assert registry.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() <= 4
+
+
+def test_a_text_is_cut_into_words_once_for_its_pairs(monkeypatch):
+    import pandas as pd
+
+    from folioscope.operators import spans
+
+    made, cut = [], spans.Canvas
+
+    def counted(text):
+        made.append(text)
+        return cut(text)
+
+    monkeypatch.setattr(spans, "Canvas", counted)
+    texts = ["one two three four", "one two three four", "five six seven one", None, "five six seven one"]
+    got = spans.measure_span.func(pd.Series(texts), pd.Series(["two three", "three four", "six seven", "six seven", None]))
+    assert made.count("one two three four") == 1
+    assert got["matched"].tolist()[:3] == [2, 2, 2] and got["matched"].isna().tolist()[3:] == [True, True]
