@@ -35,20 +35,18 @@ _byte_values = np.random.default_rng(20240607).integers(0, 2**64, 256, np.uint64
 
 def eight_bytes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The eight bytes at each place as one big-endian number; text has eight bytes of padding."""
-    out = np.zeros(len(at), np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | text[at + i]
-    return out
+    return np.ndarray(len(text) - 7, ">u8", np.ascontiguousarray(text), 0, (1,))[at].astype(np.uint64)
 
 
-def smaller_than_next(text: np.ndarray) -> np.ndarray:
-    """For each suffix, whether it is smaller than the suffix after it; the end counts as the least suffix."""
-    n = len(text)
-    step = np.zeros(n, np.int16)
-    step[:-1] = np.diff(text.astype(np.int16))
-    step[-1] = -1
-    where = np.where(step != 0, np.arange(n), n)
-    return step[np.minimum.accumulate(where[::-1])[::-1]] > 0
+def smaller_than_next(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix, whether it is smaller than the suffix after it (the end counts as the least suffix); and the
+    places where DEPTH equal bytes or more start."""
+    last = np.flatnonzero(np.append(text[1:] != text[:-1], True))  # of each run of equal bytes
+    size = np.diff(last, prepend=-1)
+    small = np.repeat(np.append(text[last[:-1] + 1] > text[last[:-1]], False), size)
+    long = np.flatnonzero(size >= DEPTH)
+    many = size[long] - DEPTH + 1
+    return small, np.repeat(last[long] - size[long] + 1 - (np.cumsum(many) - many), many) + np.arange(many.sum())
 
 
 def sort_directly(padded: np.ndarray, at: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -75,18 +73,38 @@ def sort_directly(padded: np.ndarray, at: np.ndarray, depth: int = DEPTH) -> np.
     return at
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffix array of a byte sequence, right to DEPTH bytes at least."""
+def needed(small: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The places whose suffixes must be sorted to order the asked ones: after one that is induced also its successor."""
+    out = np.append(asked, True)
+    at = np.flatnonzero(asked & ~out[1:])
+    while len(at := at[~small[at]] + 1):
+        at = at[~out[at]]
+        out[at] = True
+    return out[:-1]
+
+
+def suffix_order(text: np.ndarray, asked: np.ndarray | None = None) -> np.ndarray:
+    """Suffix array of a byte sequence, right to DEPTH bytes at least; of the asked places, and those needed for them.
+
+    Induced suffixes that start with DEPTH equal bytes are the last induced ones of their bucket and tie, so a run
+    of one byte takes DEPTH steps at most, however long it is.
+    """
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
     padded = np.concatenate([text, np.zeros(DEPTH + 8, np.uint8)])
-    small = smaller_than_next(text)
-    counts = np.bincount(text, minlength=256)
+    small, long = smaller_than_next(text)
+    sort = np.ones(n, bool) if asked is None else needed(small, asked)
+    counts = np.bincount(text[sort], minlength=256)
     heads = np.cumsum(counts) - counts
     ends = heads + counts
-    out = np.empty(n, np.int64)
-    direct = sort_directly(padded, np.flatnonzero(small))
+    out = np.empty(ends[-1], np.int64)
+    direct = sort_directly(padded, np.flatnonzero(small & sort))
+    tied = long[~small[long] & sort[long]]
+    tied = tied[np.argsort(text[tied], kind="stable")]
+    borders = np.searchsorted(text[tied], np.arange(257))
+    sort &= ~small
+    sort[tied] = False  # from here on: what is induced one by one
     n_small = np.bincount(text[direct], minlength=256)
     at = 0
     for c in range(256):
@@ -96,7 +114,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
 
     def induce(found: np.ndarray) -> None:
         before = found[found > 0] - 1
-        before = before[~small[before]]
+        before = before[sort[before]]
         if not len(before):
             return
         first = text[before]
@@ -115,6 +133,9 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
             stop = free[c]
             induce(out[done:stop])
             done = stop
+        last = tied[borders[c] : borders[c + 1]]
+        out[free[c] : free[c] + len(last)] = last
+        induce(last)
         induce(out[ends[c] - n_small[c] : ends[c]])
     return out
 
@@ -125,10 +146,10 @@ def solve(text: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray,
     text = np.concatenate(parts)
     size = end - start
     end = np.cumsum(size)
-    owner = np.repeat(np.arange(len(size)), size)
-    places = np.arange(len(text))
-    window = end[owner] - places >= WIDTH
-    order = suffix_order(text)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    windows = np.maximum(size - WIDTH + 1, 0)
+    window = np.repeat(np.tile([True, False], len(size)), np.column_stack([windows, size - windows]).ravel())
+    order = suffix_order(text, window)
     order = order[window[order]]
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     same = np.ones(max(len(order) - 1, 0), bool)
@@ -136,10 +157,10 @@ def solve(text: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray,
         left = np.flatnonzero(same)
         same[left] = eight_bytes(padded, order[left] + d) == eight_bytes(padded, order[left + 1] + d)
     cuts = np.flatnonzero(np.concatenate([[True], ~same]))
-    least = np.zeros(len(text), np.int64)
+    least = np.empty(len(text), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(doc[owner[order]], cuts), np.diff(np.append(cuts, len(order))))
-    use = window & ((least < doc[owner]) | (count[owner] > 1))
-    at = np.flatnonzero(use)
+    at = np.flatnonzero(window)
+    at = at[(least[at] < doc[owner[at]]) | (count[owner[at]] > 1)]
     if not len(at):
         none = np.zeros(0, np.int64)
         return none, none, none, none

@@ -39,10 +39,11 @@ from pyspark.sql import types as T
 
 from folioscope.llm.common import spread
 
-#: About so many bytes of text are a batch, and about so many keys or segment bytes a bucket.
+#: About so many bytes of text are a batch, and about so many keys or segment bytes a bucket. CHUNK windows are hashed at a time.
 BATCH_BYTES = 2 << 20
 BUCKET_KEYS = 1 << 19
 HOT = 1 << 15
+CHUNK = 1 << 14
 NO_ID = np.int64(2**63 - 1)
 
 #: Name of a segment: 32 bits of a hash from prefix sums, which finds it, and 64 of its XXH3 hash, which decide.
@@ -63,9 +64,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xE9846AF9B1A615D5)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xE9846AF9B1A615D5)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 class Hashes:
@@ -80,8 +84,11 @@ class Hashes:
         return (self.prefix[end] - self.prefix[start]) * self.down[start]
 
     def all(self, n: int) -> np.ndarray:
-        m = len(self.prefix) - n
-        return (self.prefix[n:] - self.prefix[:m]) * self.down[:m] if m > 0 else np.zeros(0, np.uint64)
+        return self.some(n, 0, len(self.prefix) - n)
+
+    def some(self, n: int, low: int, high: int) -> np.ndarray:
+        """Of the stretches of n tokens that start from low to before high."""
+        return (self.prefix[low + n : high + n] - self.prefix[low:high]) * self.down[low:high] if high > low else np.zeros(0, np.uint64)
 
 
 @dataclass
@@ -128,14 +135,17 @@ class Batch:
             self.key = np.zeros(0, np.uint64)
             self.valid = np.zeros(0, bool)
             return
-        pieces = mix(self.hashes.all(self.rules.piece))
-        least, have = pieces, 1
-        span = w - self.rules.piece + 1
-        while have < span:  # least of `have` pieces -> of up to twice as many
-            step = min(have, span - have)
-            least = np.minimum(least[:-step], least[step:])
-            have += step
-        m = len(least)
+        m, span = len(self.tokens) - w + 1, w - self.rules.piece + 1
+        pieces, least = np.empty(m + span - 1, np.uint64), np.empty(m, np.uint64)
+        for low in range(0, m, CHUNK):  # parts that stay in a core's cache
+            high = min(low + CHUNK, m)
+            part, have = mix(self.hashes.some(self.rules.piece, low, high + span - 1)), 1
+            pieces[low : high + span - 1] = part
+            while have < span:  # least of `have` pieces -> of up to twice as many
+                step = min(have, span - have)
+                part = np.minimum(part[:-step], part[step:])
+                have += step
+            least[low:high] = part
         edge = np.zeros(m + 1, np.int8)
         np.add.at(edge, self.starts[long], 1)
         np.add.at(edge, self.ends[long] - w + 1, -1)
@@ -348,14 +358,14 @@ def segments(rules: Rules, buckets: int, table: pa.Table, replies: pa.Table) ->
         p = pick[sub[s:e]]
         tokens = np.concatenate([b.tokens[i:j] for i, j in zip(start[p].tolist(), end[p].tolist(), strict=True)])
         rows.append((int(k), batch, _bytes(names[p]), _bytes((end[p] - start[p]).astype(np.int64)), _bytes(b.ids[doc[p]]), _bytes(count[sub[s:e]]), _bytes(tokens)))
-    if len(text):
-        rows.append((-1 - batch, batch, b"", b"", _bytes(text), b"", b""))
+    if len(text) or len(burning):  # and whether single windows went out
+        rows.append((-1 - batch, batch, b"", b"1" if len(burning) else b"", _bytes(text), b"", b""))
     return _table(rows, SEGMENTS)
 
 
 def answers(rules: Rules, table: pa.Table) -> pa.Table:
     if table.column("bucket")[0].as_py() < 0:
-        return _table([(b, 0, b"", b"", d) for b, d in zip(table.column("batch").to_pylist(), table.column("docs").to_pylist(), strict=True)], ANSWERS)
+        return _table([(b, 0, b"", s, d) for b, s, d in zip(*(table.column(c).to_pylist() for c in ("batch", "sizes", "docs")), strict=True)], ANSWERS)
     batches = table.column("batch").to_numpy()
     names, sizes = _join(table, "names", NAME), _join(table, "sizes", np.int64)
     of = np.repeat(np.arange(len(names)), [len(x) for x in names])
@@ -393,10 +403,11 @@ def covered(rules: Rules, table: pa.Table, replies: pa.Table) -> tuple[Batch, li
     b.cut()
     w = rules.width
     marks = np.zeros(len(b.tokens) + 1, np.int32)
-    settled, at = [], 0
-    for kind, docs in zip(replies.column("kind").to_pylist(), replies.column("docs").to_pylist(), strict=True):
+    settled, single = [], False
+    for kind, sent, docs in zip(*(replies.column(c).to_pylist() for c in ("kind", "ranges", "docs")), strict=True):
         if kind == 0:
             settled.append(np.frombuffer(docs, np.int64).reshape(-1, 4))
+            single |= sent == b"1"
     other, stands = _copies(b, np.concatenate(settled) if settled else np.zeros((0, 4), np.int64))
     asked = replies.filter(pa.compute.equal(replies.column("kind"), 1)) if replies.num_rows else replies
     if asked.num_rows:
@@ -406,9 +417,11 @@ def covered(rules: Rules, table: pa.Table, replies: pa.Table) -> tuple[Batch, li
         order = np.argsort(names["find"], kind="stable")
         names, ranges, least = names[order], ranges[order], least[order]
         name = np.ascontiguousarray(names["find"])
-        whole = (mix(b.hashes.all(w) + np.uint64(w)) & _LOW).astype(np.uint32)  # single windows of hot keys have their own names
-        windows = among(whole[: len(b.valid)], name)
-        windows = windows[b.valid[windows]]
+        whole, windows = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if single:  # windows of hot keys have their own names
+            whole = (mix(b.hashes.all(w) + np.uint64(w)) & _LOW).astype(np.uint32)
+            windows = among(whole[: len(b.valid)], name)
+            windows = windows[b.valid[windows]]
         starts = np.concatenate([b.seg_start, windows])
         docs = np.concatenate([b.seg_doc, np.searchsorted(b.ends, windows, "right")])
         own = np.concatenate([(b.seg_hash() & _LOW).astype(np.uint32), whole[windows]])
@@ -423,7 +436,7 @@ def covered(rules: Rules, table: pa.Table, replies: pa.Table) -> tuple[Batch, li
             use &= least[pick] < b.ids[doc]
         np.add.at(marks, start[use] + ranges[pick[use], 0], 1)
         np.add.at(marks, start[use] + ranges[pick[use], 1] + w, -1)
-    inside = np.cumsum(marks) > 0
+    inside = np.cumsum(marks, dtype=np.int32) > 0
     out = []
     for i, (s, e) in enumerate(zip(b.starts.tolist(), b.ends.tolist(), strict=True)):
         at = inside[s:e]
