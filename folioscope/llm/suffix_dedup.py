@@ -27,7 +27,8 @@ from folioscope.llm.common import load
 from folioscope.llm.windows import NO_ID, Rules, search
 
 WIDTH = 50
-PIECE = 16
+#: Longer pieces make more segments, but fewer that only share a piece, whose number grows faster than the corpus.
+PIECE = 24
 DEPTH = 56
 
 _byte_values = np.random.default_rng(20240607).integers(0, 2**64, 256, np.uint64)

@@ -1,7 +1,7 @@
 """Finding repeated windows of W tokens in a corpus, without loss and without skew.
 
-A window's key is the least hash of its k-token pieces (its minimizer), so equal windows have equal keys.
-Consecutive windows of equal key are a segment; each window is in exactly one segment. The search goes:
+A window's key is the least hash of its k-token pieces (its minimizer), of which 48 bits are kept and sent, so equal
+windows have equal keys. Consecutive windows of equal least hash are a segment; each window is in exactly one segment. The search goes:
 
 1. anchors: batches of documents give their distinct keys, each once, to buckets of keys;
 2. shared: a bucket answers to each batch which of its keys can hold a repeated window;
@@ -132,7 +132,7 @@ class Batch:
         long = self.ends - self.starts >= w
         if not long.any():
             self.seg_start = self.seg_last = self.seg_doc = np.zeros(0, np.int64)
-            self.key = np.zeros(0, np.uint64)
+            self.key = self.least = np.zeros(0, np.uint64)
             self.valid = np.zeros(0, bool)
             return
         m, span = len(self.tokens) - w + 1, w - self.rules.piece + 1
@@ -158,7 +158,8 @@ class Batch:
         last = valid.copy()
         last[:-1] &= first[1:] | ~valid[1:]
         self.seg_start, self.seg_last = np.flatnonzero(first), np.flatnonzero(last)
-        self.key, self.valid = least[self.seg_start], valid
+        self.least, self.valid = least[self.seg_start], valid
+        self.key = self.least >> np.uint64(16)
         self.seg_doc = np.searchsorted(self.ends, self.seg_start, "right")
         self.pieces = pieces
 
@@ -169,7 +170,7 @@ class Batch:
         n = len(self.pieces) + 1
         known, which = np.unique(self.pieces, return_inverse=True)
         places = np.sort(which.astype(np.int64) * n + np.arange(n - 1))
-        block = np.searchsorted(known, self.key) * n
+        block = np.searchsorted(known, self.least) * n
         second = np.searchsorted(places, block + self.seg_start) + 1
         end = block + self.seg_last + self.rules.width - self.rules.piece
         return (second < len(places)) & (places[np.minimum(second, len(places) - 1)] <= end)
@@ -183,6 +184,20 @@ def _bytes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def _six(keys: np.ndarray) -> bytes:
+    """Keys as six bytes each."""
+    return _bytes(np.ascontiguousarray(keys, "<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _keys(table: pa.Table) -> list[np.ndarray]:
+    out = []
+    for b in table.column("keys").to_pylist():
+        wide = np.zeros((len(b) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+        out.append(wide.view("<u8").ravel())
+    return out
+
+
 def digests(tokens: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """128-bit hashes of stretches of tokens, two words each."""
     raw, size, of = memoryview(_bytes(tokens)), tokens.itemsize, xxhash.xxh3_128_digest
@@ -260,12 +275,12 @@ def anchors(rules: Rules, buckets: int, table: pa.Table) -> pa.Table:
         pick = order[s:e]
         part = np.column_stack([b.text_hash[pick].view(np.int64), b.ids[pick]])
         rows.setdefault(int(k), [np.zeros(0, np.uint64), np.zeros(0, np.int32), None])[2] = part
-    return _table([(k, batch, _bytes(r[0]), _bytes(r[1]), _bytes(r[2]) if r[2] is not None else b"") for k, r in sorted(rows.items())], KEYS)
+    return _table([(k, batch, _six(r[0]), _bytes(r[1]), _bytes(r[2]) if r[2] is not None else b"") for k, r in sorted(rows.items())], KEYS)
 
 
 def shared(rules: Rules, table: pa.Table) -> pa.Table:
     batches = table.column("batch").to_numpy()
-    keys, counts = _join(table, "keys", np.uint64), _join(table, "counts", np.int32)
+    keys, counts = _keys(table), _join(table, "counts", np.int32)
     of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     key, count = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key, kind="stable")
@@ -298,7 +313,7 @@ def shared(rules: Rules, table: pa.Table) -> pa.Table:
     for i, name in enumerate(batches.tolist()):
         s, e, a, b = cut[i], cut[i + 1], text_cut[i], text_cut[i + 1]
         if s < e or a < b:
-            rows.append((name, _bytes(key[s:e]), _bytes(hot[s:e]), _bytes(text[a:b])))
+            rows.append((name, _six(key[s:e]), _bytes(hot[s:e]), _bytes(text[a:b])))
     return _table(rows, SHARED)
 
 
@@ -327,7 +342,7 @@ def segments(rules: Rules, buckets: int, table: pa.Table, replies: pa.Table) ->
     w = rules.width
     text = np.concatenate(_join(replies, "texts", np.int64)).reshape(-1, 4)
     _, stands = _copies(b, text)
-    keys, hot = np.concatenate(_join(replies, "keys", np.uint64)), np.concatenate(_join(replies, "hot", np.uint8))
+    keys, hot = np.concatenate(_keys(replies)), np.concatenate(_join(replies, "hot", np.uint8))
     order = np.argsort(keys)
     keys, hot = keys[order], hot[order]
     at = np.minimum(np.searchsorted(keys, b.key), max(len(keys) - 1, 0))
