@@ -86,6 +86,19 @@ def test_ward_labels_are_those_of_chains(spark, n, dims, block):
         assert got[f"cluster_{i}"].tolist() == greedy.ward(x, k).tolist()
 
 
+def test_ward_ends_in_one_task_once_two_blocks_hold_what_is_left(spark):
+    from folioscope.sources import scratch
+
+    x = np.random.default_rng(4).normal(size=(260, 24))  # of many dimensions: many rounds join few
+    want, tables = [greedy.ward(x, k).tolist() for k in (74, 118)], {}
+    for block in (None, 100):
+        before = len(scratch._made)
+        got = ward(frame(spark, x), 74, 118, block=block).orderBy("id").toPandas()
+        tables[block] = len(scratch._made) - before
+        assert [got["cluster_0"].tolist(), got["cluster_1"].tolist()] == want
+    assert tables[None] < 14 and tables[None] < tables[100] < 26
+
+
 def test_ward_of_repeated_vectors(spark):
     x = np.repeat(np.random.default_rng(3).normal(size=(6, 2)), 7, axis=0)
     got = ward(frame(spark, x), 6).orderBy("id").toPandas()
